@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import projection
+from airgrid.operators.binding import with_bound
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def spread_nulls(key: Column, row: Sequence[str]) -> Column:
 
 def with_projected(points: DataFrame, view: projection.Geostationary, lon: str, lat: str) -> DataFrame:
     x, y = view.from_lonlat(F.col(lon), F.col(lat))
-    return points.withColumns({"x_m": x, "y_m": y})
+    return with_bound(points, {"x_m": x, "y_m": y})
 
 
 def with_nearest_cell(points: DataFrame, x_axis: RegularAxis, y_axis: RegularAxis, tolerance: float,
@@ -72,7 +73,7 @@ def with_nearest_cell(points: DataFrame, x_axis: RegularAxis, y_axis: RegularAxi
     """Cell index of each point; null on both axes unless both are within the tolerance."""
     ix, iy = x_axis.nearest_within(F.col(x), tolerance), y_axis.nearest_within(F.col(y), tolerance)
     both = ix.isNotNull() & iy.isNotNull()
-    return points.withColumns({"cell_y": F.when(both, iy), "cell_x": F.when(both, ix)})
+    return with_bound(points, {"cell_y": F.when(both, iy), "cell_x": F.when(both, ix)})
 
 
 def nearest_cell_join(points: DataFrame, grid: DataFrame, x_axis: RegularAxis, y_axis: RegularAxis, tolerance: float,
@@ -113,8 +114,6 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, node: str) -
     bucket lists those nodes and the points meet it by an equi-join; the points
     are not sorted.  Only the one-dimensional axis is ordered.
     """
-    from pyspark.sql import Window
-
     nodes = axis.select(F.col(node).cast("double").alias("v")).dropna().distinct()
     gap = nodes.select((F.lead("v").over(Window.orderBy("v")) - F.col("v")).alias("gap"), "v")
     width, low, high = gap.agg(F.max("gap"), F.min("v"), F.max("v")).first()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.projection import Geostationary
+from airgrid.operators.binding import with_bound
 from airgrid.operators.matching import RegularAxis
 
 
@@ -23,7 +24,7 @@ def weights_at(cells: DataFrame, row_position: Column, column_position: Column,
     column still has all it needs.
     """
     corner = F.array(F.lit(0), F.lit(1))
-    placed = (cells.select("y", "x", row_position.alias("fi"), column_position.alias("fj"))
+    placed = (with_bound(cells, {"fi": row_position, "fj": column_position}).select("y", "x", "fi", "fj")
               .filter(F.col("fi").between(0, row_axis.size - 1) & F.col("fj").between(0, column_axis.size - 1)))
     sides = {"i0": F.floor("fi").cast("int"), "j0": F.floor("fj").cast("int")}
     shares = {"t": F.col("fi") - F.col("i0"), "u": F.col("fj") - F.col("j0")}
@@ -50,9 +51,9 @@ def between_satellites_weights(cells: DataFrame, view_a: Geostationary, view_b:
     cells B cannot see get no weights.
     """
     lon, lat = view_a.to_lonlat(F.col("x_m"), F.col("y_m"))
-    located = cells.select("y", "x", lon.alias("lon"), lat.alias("lat"))
+    located = with_bound(cells.select("y", "x", "x_m", "y_m"), {"lon": lon, "lat": lat})
     x_b, y_b = view_b.from_lonlat(F.col("lon"), F.col("lat"))
-    seen = located.select("y", "x", x_b.alias("x_b"), y_b.alias("y_b")).dropna()
+    seen = with_bound(located, {"x_b": x_b, "y_b": y_b}).dropna(subset=["x_b", "y_b"])
     return weights_at(seen, row_axis.position(F.col("y_b")), column_axis.position(F.col("x_b")), row_axis, column_axis)
 
 

@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
     # five aerosol components for the composite mass
     "aerosol": """
         SELECT l_shipdate AS time, CAST(l_suppkey % 5 AS INT) AS lat, CAST(l_partkey % 5 AS INT) AS lon,
-               l_quantity / 1e9 AS DUSMASS25, l_tax / 1e9 AS SSSMASS25, l_discount / 1e9 AS BCSMASS,
+               l_quantity / 1e9 AS DUSMASS25, l_tax / 9.89e8 AS SSSMASS25, l_discount / 9.97e8 AS BCSMASS,
                CASE WHEN l_linenumber <> 7 THEN l_extendedprice / 9.973e12 END AS OCSMASS, l_quantity / 2e9 AS SO4SMASS
         FROM {lineitem}""",
     # one closed concave ring (an L) per supplier

@@ -1,3 +1,3 @@
 """Importing this module fills the catalog."""
 
-from airgrid.plans import grid_queries, matching_queries, temporal_queries  # noqa: F401
+from airgrid.plans import grid_queries, matching_queries, report_queries, temporal_queries  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions import calendar, text
+from airgrid.operators.binding import if_small
 from airgrid.operators.ranking import with_rank
 
 MONTHS = [f"month_{m}" for m in range(1, 13)]
@@ -94,9 +95,9 @@ def group_fold_table(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     table = df.sparkSession.createDataFrame(stretches, "n_rows bigint, ends array<bigint>")
     ranked = with_rank(sizes.withColumn("_down", -F.col("n_rows")), ["_down", *group], "_rank").drop("_down")
     fold = F.size(F.filter("ends", lambda e: e < F.col("_rank")))
-    return ranked.join(table, "n_rows").select(*group, "n_rows", fold.cast("int").alias("fold"))
+    return ranked.join(if_small(table, F.size("ends")), "n_rows").select(*group, "n_rows", fold.cast("int").alias("fold"))
 
 
 def group_folds(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     """Add the fold of each row's group; no group is in two folds."""
-    return df.join(group_fold_table(df, group, k).drop("n_rows"), list(group))
+    return df.join(if_small(group_fold_table(df, group, k).drop("n_rows")), list(group))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import projection
-from airgrid.operators.binding import with_bound
+from airgrid.operators.binding import if_small, with_bound
+from airgrid.operators.ranking import with_ranges
 
 
 @dataclass(frozen=True)
@@ -100,37 +101,43 @@ def match_outcome(x_axis: RegularAxis, y_axis: RegularAxis, value: str = "AOD",
 
 
 def nearest_node_join(points: DataFrame, nodes: DataFrame, lon_axis: RegularAxis, lat_axis: RegularAxis,
-                      on: Sequence[str], values: Sequence[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Left join to the nearest node of a regular grid; places past the ends take the last node."""
+                      on: Sequence[str], values: Sequence[str], lon: str = "lon", lat: str = "lat",
+                      how: str = "left") -> DataFrame:
+    """Join to the nearest node of a regular grid; places past the ends take the last node."""
     keyed = points.withColumns({"i": lat_axis.nearest_clamped(F.col(lat)), "j": lon_axis.nearest_clamped(F.col(lon))})
-    return keyed.join(nodes.select(*on, "i", "j", *values), [*on, "i", "j"], "left")
+    return keyed.join(nodes.select(*on, "i", "j", *values), [*on, "i", "j"], how)
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, node: str) -> DataFrame:
     """Nearest node of an unevenly spaced axis (ties go to the lower node), as column ``node``.
 
-    The axis is cut into buckets as wide as its largest gap, so the nearest node
-    of a place lies in its own bucket or in one of the two beside it.  Each
-    bucket lists those nodes and the points meet it by an equi-join; the points
-    are not sorted.  Only the one-dimensional axis is ordered.
+    Nodes and the distinct places are ordered together in key ranges.  Within a
+    range, running windows find the node before and after each place; across
+    ranges the driver carries over one node per range.  No matter how nodes
+    cluster or how many points share a place, no task gets more than a range.
     """
-    nodes = axis.select(F.col(node).cast("double").alias("v")).dropna().distinct()
-    gap = nodes.select((F.lead("v").over(Window.orderBy("v")) - F.col("v")).alias("gap"), "v")
-    width, low, high = gap.agg(F.max("gap"), F.min("v"), F.max("v")).first()
-    if low is None:
-        return points.withColumn(node, F.lit(None).cast("double"))
-    width = width or 1.0
-
-    def bucket(c: Column) -> Column:
-        return F.floor((c - F.lit(low)) / F.lit(width)).cast("int")
-
-    listed = (nodes.select("v", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                                                      lambda d: bucket(F.col("v")) + d)).alias("_b"))
-              .groupBy("_b").agg(F.collect_list("v").alias("_nodes")))
-    clamped = F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))
-    nearest = F.array_min(F.transform("_nodes", lambda n: F.struct(F.abs(n - F.col(value)).alias("d"), n.alias("n"))))["n"]
-    return (points.withColumn("_b", bucket(clamped)).join(listed, "_b", "left")
-            .withColumn(node, F.when(F.col(value).isNotNull(), nearest)).drop("_b", "_nodes"))
+    nodes = axis.select(F.col(node).cast("double").alias("v"), F.lit(True).alias("is_node")).dropna().distinct()
+    places = points.select(F.col(value).cast("double").alias("v"), F.lit(False).alias("is_node")).dropna().distinct()
+    ranged = with_ranges(nodes.unionByName(places), ["v"])
+    ends = {r[0]: (r[1], r[2]) for r in
+            ranged.filter("is_node").groupBy("_range").agg(F.min("v"), F.max("v")).collect()}  # one row per range
+    size = max(ends, default=0) + 1
+    below = [max((hi for r, (_, hi) in ends.items() if r < n), default=None) for n in range(size + 1)]
+    above = [min((lo for r, (lo, _) in ends.items() if r > n), default=None) for n in range(size + 1)]
+
+    def carried(values: list) -> Column:
+        listed = F.array(*[F.lit(v).cast("double") for v in values])
+        return F.get(listed, F.least(F.col("_range"), F.lit(size)))
+
+    here = F.last(F.when(F.col("is_node"), F.col("v")), ignorenulls=True)
+    running = [Window.unboundedPreceding, Window.currentRow]
+    low = F.coalesce(here.over(Window.partitionBy("_range").orderBy("v").rangeBetween(*running)), carried(below))
+    high = F.coalesce(here.over(Window.partitionBy("_range").orderBy(F.desc("v")).rangeBetween(*running)), carried(above))
+    nearest = (F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low"))
+               .when(F.col("v") - F.col("low") <= F.col("high") - F.col("v"), F.col("low")).otherwise(F.col("high")))
+    lookup = (ranged.withColumns({"low": low, "high": high}).filter(~F.col("is_node"))
+              .select(F.col("v").alias("_v"), nearest.alias(node)))
+    return (points.withColumn("_v", F.col(value).cast("double")).join(if_small(lookup), "_v", "left").drop("_v"))
 
 
 def mean_per_cell(points: DataFrame, value: str, on: Sequence[str] = ("time",)) -> DataFrame:
@@ -205,12 +212,12 @@ def files_for_tiles(files: DataFrame, points: DataFrame, lon: str, lat: str, til
     """The files whose tile holds at least one of the points."""
     tile_h, tile_v, _, _ = projection.to_sinusoidal_tile(F.col(lon), F.col(lat))
     wanted = points.select(projection.tile_name(tile_h, tile_v).alias(tile)).distinct()
-    return files.join(wanted, tile, "left_semi")
+    return files.join(if_small(wanted), tile, "left_semi")
 
 
 def densify_grid(field: DataFrame, cells: DataFrame, time: str = "time") -> DataFrame:
     """The dense form of a sparse field: every cell at every time that occurs."""
     low, high = field.agg(F.min(time), F.max(time)).first()
-    present = field.select(time).distinct()
+    present = if_small(field.select(time).distinct())
     spine = cells.withColumn(time, F.explode(F.sequence(F.lit(low), F.lit(high), F.expr("INTERVAL 1 DAY"))))
     return spine.join(present, time, "left_semi").join(field, [time, "y", "x"], "left")

@@ -71,7 +71,13 @@ def with_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFra
 
 
 def monotonic_axis(axis: DataFrame, by: Sequence[str], position: str, value: str) -> DataFrame:
-    """Whether a coordinate strictly decreases along each axis, and how often it does not."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(position))
-    return (axis.select(*by, step.alias("step")).filter(F.col("step").isNotNull()).groupBy(*by)
-            .agg(F.bool_and(F.col("step") < 0).alias("decreasing"), F.count_if(F.col("step") >= 0).alias("n_violations")))
+    """Whether a coordinate strictly decreases along each axis, and how often it does not.
+
+    Positions are consecutive, so neighbours meet by an equi-join and a long
+    axis is not sorted in one task.
+    """
+    here = axis.select(*by, position, value)
+    before = axis.select(*by, (F.col(position) + 1).alias(position), F.col(value).alias("_before"))
+    step = F.col(value) - F.col("_before")
+    return here.join(before, [*by, position]).groupBy(*by).agg(
+        F.bool_and(step < 0).alias("decreasing"), F.count_if(step >= 0).alias("n_violations"))

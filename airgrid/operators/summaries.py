@@ -15,6 +15,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airgrid.operators.binding import if_small
 from airgrid.operators.ranking import with_running_total
 from airgrid.session import materialise
 
@@ -165,9 +166,9 @@ def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop:
     shuffled is one row per group, grid point and task.
     """
     step = (stop - start) / (points - 1)
-    stats = df.groupBy(*by).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).withColumn(
-        "h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    spread = df.select(*by, F.col(value).alias("v")).filter("v IS NOT NULL").join(stats.select(*by, "h"), list(by))
+    stats = if_small(df.groupBy(*by).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).withColumn(
+        "h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
+    spread = df.select(*by, F.col(value).alias("v")).filter("v IS NOT NULL").join(stats, list(by))
     reach = F.col("h") * KERNEL_REACH
     first = F.greatest(F.ceil((F.col("v") - reach - start) / step), F.lit(0)).cast("int")
     last = F.least(F.floor((F.col("v") + reach - start) / step), F.lit(points - 1)).cast("int")
@@ -189,7 +190,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one named column per probability."""
     upto = with_running_total(counts, [*by, value], F.col("n"), "upto")
-    groups = upto.groupBy(*by).agg(F.sum("n").alias("total"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    groups = if_small(upto.groupBy(*by).agg(F.sum("n").alias("total"), F.min(F.col("upto") - F.col("n")).alias("before")))
     placed = upto.join(groups, list(by)).withColumn("within", F.col("upto") - F.col("before"))
     picks: list[Column] = []
     for name, p in probabilities.items():
@@ -227,7 +228,7 @@ def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     box = quantiles_of_counts(counts, by, value, QUARTILES).withColumns({
         "low_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
         "high_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    joined = counts.join(box, list(by))
+    joined = counts.join(if_small(box), list(by))
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from airgrid.functions import projection, text
 from airgrid.functions.projection import Geostationary
 from airgrid.operators import masking, matching
+from airgrid.operators.binding import if_small
 from airgrid.operators.matching import RegularAxis
 from airgrid.plans.catalog import register
 from airgrid.plans.sql_text import CELL_AXES, MET_AXES, to_geostationary
 from airgrid.plans.temporal_queries import DAILY, daily
 from airgrid.plans.text import rounded
+from airgrid.sources import sinks
 
 EAST_VIEW = Geostationary(-75.0)
 TOLERANCE_M = 60000.0
@@ -168,10 +170,9 @@ def _(t):
 def _(t):
     lon_axis, lat_axis = met_axes(t)
     located = t.daily_grid.join(t.grid_cells.select("y", "x", "lat", "lon"), ["y", "x"])
-    weather = matching.nearest_node_join(located, t.met_daily, lon_axis, lat_axis, ["time"], ["t2m", "blh"])
-    monitor_days = site_days(t).groupBy("time").agg(F.avg("value").alias("PM25"))
-    met_days = t.met_daily.select("time").distinct()
-    return rounded(weather.join(met_days, "time", "left_semi").join(monitor_days, "time")
+    weather = matching.nearest_node_join(located, t.met_daily, lon_axis, lat_axis, ["time"], ["t2m", "blh"], how="inner")
+    monitor_days = if_small(site_days(t).groupBy("time").agg(F.avg("value").alias("PM25")))
+    return rounded(weather.join(monitor_days, "time")
                    .select("time", "y", "x", "AOD", "t2m", "blh", "PM25"))
 
 
@@ -179,7 +180,7 @@ def _(t):
     SELECT time, y, x, n_snapshots FROM daily_grid
     WHERE time IN (SELECT time FROM daily_grid GROUP BY 1 HAVING count(AOD) > 0)""")
 def _(t):
-    days = t.daily_grid.filter(F.col("AOD").isNotNull()).select("time").distinct()
+    days = if_small(t.daily_grid.filter(F.col("AOD").isNotNull()).select("time").distinct())
     return t.daily_grid.join(days, "time", "left_semi").select("time", "y", "x", "n_snapshots")
 
 
@@ -191,9 +192,8 @@ def _(t):
 def _(t):
     lon_axis, lat_axis = met_axes(t)
     joined = matching.nearest_node_join(site_days(t), t.met_daily, lon_axis, lat_axis, ["time"], ["t2m"],
-                                        "longitude", "latitude")
-    return rounded(joined.join(t.met_daily.select("time").distinct(), "time", "left_semi")
-                   .select("time", "latitude", "longitude", "value", "i", "j", "t2m"))
+                                        "longitude", "latitude", how="inner")
+    return rounded(joined.select("time", "latitude", "longitude", "value", "i", "j", "t2m"))
 
 
 @register("nearest_axis_asof", """
@@ -423,7 +423,5 @@ def _(t):
     WITH done AS (SELECT DISTINCT time FROM daily_grid WHERE n_snapshots >= 4)
     SELECT DISTINCT CAST(ts AS DATE) AS time FROM events WHERE CAST(ts AS DATE) NOT IN (SELECT time FROM done)""")
 def _(t):
-    from airgrid.sources.sinks import pending
-
     wanted = t.events.select(F.to_date("ts").alias("time")).distinct()
-    return pending(wanted, t.daily_grid.filter("n_snapshots >= 4"), ["time"])
+    return sinks.pending(wanted, t.daily_grid.filter("n_snapshots >= 4"), ["time"])

@@ -352,3 +352,19 @@ def _(t):
 @register("group_kfold")
 def _(t):
     return features.group_fold_table(t.features, ["lat", "lon"], 10)
+
+
+@register("group_kfold_loads", """
+    WITH RECURSIVE sizes AS (SELECT lat, lon, count(*) AS n FROM features GROUP BY 1, 2),
+    ordered AS (SELECT n, row_number() OVER (ORDER BY n DESC, lat, lon) AS r FROM sizes),
+    placed AS (
+      SELECT CAST(0 AS BIGINT) AS r, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS groups
+      UNION ALL
+      SELECT o.r, list_transform(loads, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN n ELSE 0 END),
+             list_transform(groups, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END)
+      FROM placed p JOIN ordered o ON o.r = p.r + 1)
+    SELECT CAST(unnest(range(10)) AS INT) AS fold, unnest(groups) AS n_groups, unnest(loads) AS n_rows
+    FROM placed WHERE r = (SELECT max(r) FROM ordered)""")
+def _(t):
+    table = features.group_fold_table(t.features, ["lat", "lon"], 10)
+    return table.groupBy("fold").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"))

@@ -211,19 +211,20 @@ def _(t):
 
 
 @register("parse_orbit_timestamps", """
-    SELECT y, x, day, CAST(pos AS INT) AS orbit, strptime(left(stamp, 11), '%Y%j%H%M') AS t FROM (
-      SELECT y, x, day, unnest(string_split(stamps, '  ')) AS stamp, generate_subscripts(string_split(stamps, '  '), 1) - 1 AS pos
-      FROM (SELECT y, x, CAST(t AS DATE) AS day,
+    SELECT y, x, day, chunk, CAST(pos AS INT) AS orbit, strptime(left(stamp, 11), '%Y%j%H%M') AS t FROM (
+      SELECT y, x, day, chunk, unnest(string_split(stamps, '  ')) AS stamp, generate_subscripts(string_split(stamps, '  '), 1) - 1 AS pos
+      FROM (SELECT y, x, CAST(t AS DATE) AS day, event_id // 200 AS chunk,
                    string_agg(strftime(t, '%Y%j%H%M') || CASE sat WHEN 16 THEN 'T' ELSE 'A' END, '  ' ORDER BY event_id) AS stamps
-            FROM snapshots GROUP BY 1, 2, 3))""")
+            FROM snapshots GROUP BY 1, 2, 3, 4))""")
 def _(t):
     stamp = F.concat(F.date_format("t", "yyyyDDDHHmm"), F.when(F.col("sat") == 16, "T").otherwise("A"))
-    # one list per cell and day, as the file attribute holds it
-    lists = t.snapshots.groupBy("y", "x", F.to_date("t").alias("day")).agg(
+    # the file attribute is a short list: at most as many stamps as a chunk of snapshots
+    chunk = F.floor(F.col("event_id") / 200).alias("chunk")
+    lists = t.snapshots.groupBy("y", "x", F.to_date("t").alias("day"), chunk).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", stamp.alias("s")))), lambda s: s["s"]),
                      "  ").alias("stamps"))
-    parts = lists.select("y", "x", "day", F.posexplode(F.split("stamps", "  ")).alias("orbit", "stamp"))
-    return parts.select("y", "x", "day", "orbit",
+    parts = lists.select("y", "x", "day", "chunk", F.posexplode(F.split("stamps", "  ")).alias("orbit", "stamp"))
+    return parts.select("y", "x", "day", "chunk", "orbit",
                         calendar.orbit_timestamp(F.col("stamp")).cast("timestamp_ntz").alias("t"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from airgrid.learning.base import feature_means, moments
 from airgrid.learning.linear import centred
 from airgrid.operators import summaries
-from airgrid.operators.ranking import with_rank
+from airgrid.operators.ranking import with_running_totals
 from airgrid.session import materialise
 
 if TYPE_CHECKING:
@@ -79,22 +79,22 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     table = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df)
     ordered = table.select("features", label, F.col(fold).cast("int").alias("fold"), *keys,
                            F.xxhash64(*keys).alias("_hash"))
+    # position of a row among the training rows of each fold, all folds in one pass
+    places = {f"_rank{f}": F.when(F.col("fold") != f, 1).otherwise(0) for f in range(n_folds)}
+    ranked = materialise(with_running_totals(ordered, ["_hash", *keys], places))
+    sizes = ranked.agg(*[F.max(c).alias(c) for c in places]).first()
     prediction = pipeline.getStages()[-1].getPredictionCol()
     results = []
     for f in range(n_folds):
-        train = with_rank(ordered.filter(F.col("fold") != f), ["_hash", *keys], "_rank").persist()
-        test = ordered.filter(F.col("fold") == f)
-        n = train.count()
         for share in shares:
-            size = max(1, int(round(share * n)))
-            part = train.filter(F.col("_rank") <= size)
+            size = max(1, int(round(share * sizes[f"_rank{f}"])))
+            part = ranked.filter((F.col("fold") != f) & (F.col(f"_rank{f}") <= size))
             model = pipeline.fit(part.select("features", label))
-            both = (model.transform(part.select("features", label)).withColumn("kind", F.lit("train"))
-                    .unionByName(model.transform(test.select("features", label)).withColumn("kind", F.lit("test"))))
-            scores = {r["kind"]: r["r2"] for r in
-                      summaries.regression_scores(both, label, [prediction], by=["kind"]).collect()}  # two rows
-            results.append((f, size, scores["train"], scores["test"]))
-        train.unpersist()
+            scored = model.transform(ranked.filter((F.col("fold") == f) | (F.col(f"_rank{f}") <= size))
+                                     .select("features", label, (F.col("fold") == f).alias("held_out")))
+            scores = {r["held_out"]: r["r2"] for r in
+                      summaries.regression_scores(scored, label, [prediction], by=["held_out"]).collect()}  # two rows
+            results.append((f, size, scores[False], scores[True]))
     return df.sparkSession.createDataFrame(results, "fold int, train_size int, train_r2 double, test_r2 double")
 
 

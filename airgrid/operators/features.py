@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from airgrid.functions import calendar, text
 from airgrid.operators.binding import if_small
 from airgrid.operators.ranking import with_rank
+from airgrid.session import materialise
 
 MONTHS = [f"month_{m}" for m in range(1, 13)]
 # Order of the numeric model inputs.
@@ -75,7 +76,7 @@ def group_fold_table(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     groups there are of each size, never the groups.  It hands every fold a
     stretch of the groups of that size, and a group finds its fold by its rank.
     """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n_rows"))
+    sizes = materialise(df.groupBy(*group).agg(F.count("*").alias("n_rows")))
     classes = sizes.groupBy("n_rows").agg(F.count("*").alias("n_groups")).orderBy(F.desc("n_rows"))
     loads = [(0, f) for f in range(k)]
     heapq.heapify(loads)

@@ -146,6 +146,22 @@ def mean_per_cell(points: DataFrame, value: str, on: Sequence[str] = ("time",))
             .groupBy(*on, F.col("cell_y").alias("y"), F.col("cell_x").alias("x")).agg(F.avg(value).alias(value)))
 
 
+def mean_of_readings(readings: DataFrame, value: str, lon: str, lat: str, view: projection.Geostationary,
+                     x_axis: RegularAxis, y_axis: RegularAxis, tolerance: float,
+                     on: Sequence[str] = ("time",)) -> DataFrame:
+    """Mean of all readings of a cell, the readings of a place summed up first.
+
+    Sums and counts per place combine on the map side, so the projection runs
+    once per place and time instead of once per reading; the mean over sums is
+    the mean over readings.
+    """
+    sums = readings.groupBy(*on, lon, lat).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    placed = with_nearest_cell(with_projected(sums, view, lon, lat), x_axis, y_axis, tolerance)
+    return (placed.filter(F.col("cell_y").isNotNull())
+            .groupBy(*on, F.col("cell_y").alias("y"), F.col("cell_x").alias("x"))
+            .agg((F.sum("_sum") / F.sum("_n")).alias(value)))
+
+
 def assign_points_to_grid(grid: DataFrame, points: DataFrame, value: str, name: str,
                           on: Sequence[str] = ("time",)) -> DataFrame:
     """Add the mean of the points of each cell to the grid as ``name``; null where there is none."""

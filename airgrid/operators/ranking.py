@@ -53,16 +53,23 @@ def with_ranges(df: DataFrame, keys: Sequence[str], name: str = "_range") -> Dat
     return df.withColumn(name, _range_number(keys, splits, df.schema))
 
 
-def with_running_total(df: DataFrame, keys: Sequence[str], weight: Column, name: str = "running") -> DataFrame:
-    """Total of ``weight`` over this row and all rows before it in key order; the keys must be unique."""
+def with_running_totals(df: DataFrame, keys: Sequence[str], weights: dict[str, Column]) -> DataFrame:
+    """Totals of several weights over this row and all rows before it in key order; the keys must be unique."""
     ranged = with_ranges(df, keys)
-    totals = {r[0]: r[1] for r in ranged.groupBy("_range").agg(F.sum(weight)).collect()}  # one row per range
+    totals = {r["_range"]: r for r in ranged.groupBy("_range").agg(
+        *[F.sum(w).alias(name) for name, w in weights.items()]).collect()}  # one row per range
     size = max(totals, default=0) + 1
-    offsets = [0, *accumulate(totals.get(n, 0) for n in range(size))][:size]
-    inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(*keys)
-                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_range") + 1)
-    return ranged.withColumn(name, before + inside).drop("_range")
+    order = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def running(name: str, weight: Column) -> Column:
+        offsets = [0, *accumulate(totals[n][name] if n in totals else 0 for n in range(size))][:size]
+        return F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_range") + 1) + F.sum(weight).over(order)
+
+    return ranged.withColumns({name: running(name, w) for name, w in weights.items()}).drop("_range")
+
+
+def with_running_total(df: DataFrame, keys: Sequence[str], weight: Column, name: str = "running") -> DataFrame:
+    return with_running_totals(df, keys, {name: weight})
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from airgrid.functions import text
 from airgrid.learning import selection
 from airgrid.learning.collection import (ModelCollection, ModelStack, column_name, default_models, feature_importances,
                                          tree_lines)
@@ -14,12 +15,13 @@ from airgrid.learning.linear import BayesianRidge
 from airgrid.learning.network import Perceptron
 from airgrid.learning.trees import AdaBoost, ExtraTrees
 from airgrid.operators import features, matching, scoring
+from airgrid.operators.binding import if_small
 from airgrid.plans.catalog import register
 from airgrid.plans.matching_queries import met_axes
 from airgrid.plans.report_queries import IN_TEST, ROW_KEY
 from airgrid.plans.streaming_queries import stream
 from airgrid.plans.text import rounded
-from airgrid.session import scratch_path
+from airgrid.session import scratch_path, spread
 from airgrid.streaming import incremental
 
 INPUTS = ["AOD", "t2m", "blh"]
@@ -28,7 +30,7 @@ SITE = ["lat", "lon"]
 
 
 def split(t):
-    marked = features.holdout_split(t.features, ["l_orderkey", "l_linenumber"])
+    marked = features.holdout_split(spread(t.features), ["l_orderkey", "l_linenumber"])
     return marked.filter(~F.col("is_test")), marked.filter("is_test")
 
 
@@ -117,7 +119,8 @@ def _(t):
 
 
 def site_folds(t, k):
-    return features.group_folds(t.features, SITE, k)
+    table = features.group_fold_table(t.features, SITE, k).drop("n_rows")
+    return spread(t.features).join(if_small(table), SITE)
 
 
 @register("cross_val_scores")
@@ -190,13 +193,55 @@ def _(t):
     models = default_models(LABEL)
     inputs = [*INPUTS, *features.MONTHS]
     collection = ModelCollection(inputs, LABEL, {n: models[n] for n in ("Linear Regression", "Bayesian Ridge")})
-    collection.fit(features.model_inputs(t.features, inputs, keep=[LABEL]))
+    collection.fit(features.model_inputs(spread(t.features), inputs, keep=[LABEL]))
     return rounded(scoring.score_grid(weather_grid(t), inputs, collection.predict), 4)
 
 
-@register("stream_scoring")
+LINE = "line AS (SELECT regr_slope(PM25, AOD) AS b, regr_intercept(PM25, AOD) AS a FROM features)"
+
+
+@register("grid_scoring_linear", f"""WITH {LINE}
+    SELECT time, y, x, round(a + b * AOD, 4) AS linear_regression FROM daily_grid, line""")
+def _(t):
+    collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
+    collection.fit(t.features)
+    return rounded(scoring.score_grid(t.daily_grid, ["AOD"], collection.predict), 4)
+
+
+@register("cross_val_linear", """
+    WITH folded AS (SELECT AOD, PM25, CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 // 20 AS INT) AS fold
+                    FROM features),
+    folds AS (SELECT DISTINCT fold FROM folded),
+    lines AS (SELECT s.fold, regr_slope(PM25, AOD) AS b, regr_intercept(PM25, AOD) AS a
+              FROM folds s JOIN folded r ON r.fold <> s.fold GROUP BY 1)
+    SELECT fold, round(1 - sum(pow(PM25 - a - b * AOD, 2)) / (var_pop(PM25) * count(*)), 6) AS r2,
+           round(-avg(abs(PM25 - a - b * AOD)), 6) AS neg_mae, round(-sqrt(avg(pow(PM25 - a - b * AOD, 2))), 6) AS neg_rmse, count(*) AS n
+    FROM folded JOIN lines USING (fold) GROUP BY 1""")
+def _(t):
+    folded = spread(t.features).withColumn("fold", F.floor(text.hash_percent(F.col("l_orderkey")) / 20).cast("int"))
+    collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
+    scores = collection.cross_validate(folded, "fold", 5, parallel=2)
+    return rounded(scores.select("fold", "r2", "neg_mae", "neg_rmse", "n"))
+
+
+@register("inclusion_linear", """
+    WITH folded AS (SELECT blh, PM25, CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 // 20 AS INT) AS fold
+                    FROM features),
+    folds AS (SELECT DISTINCT fold FROM folded),
+    lines AS (SELECT s.fold, regr_slope(PM25, blh) AS b, regr_intercept(PM25, blh) AS a
+              FROM folds s JOIN folded r ON r.fold <> s.fold GROUP BY 1)
+    SELECT 1 AS n_features, fold, round(1 - sum(pow(PM25 - a - b * blh, 2)) / (var_pop(PM25) * count(*)), 6) AS r2
+    FROM folded JOIN lines USING (fold) GROUP BY 2""")
+def _(t):
+    folded = t.features.withColumn("fold", F.floor(text.hash_percent(F.col("l_orderkey")) / 20).cast("int"))
+    return rounded(selection.inclusion_curve(folded, ["blh"], LABEL, "fold", 5))
+
+
+@register("stream_scoring", f"""WITH {LINE}
+    SELECT event_id, s.y, s.x, round(a + b * s.AOD, 4) AS linear_regression
+    FROM snapshots s JOIN grid_cells c ON c.y = s.y AND c.x = s.x, line WHERE s.AOD IS NOT NULL""")
 def _(t):
-    collection = ModelCollection(["AOD", "lat"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
+    collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
     collection.fit(t.features)
     cells = t.grid_cells.select("y", "x", "lat")
     scored = incremental.scored_stream(stream(t).filter("AOD IS NOT NULL").select("event_id", "y", "x", "AOD"), cells,

@@ -144,8 +144,8 @@ def _(t):
       AND abs(y_m - (y0 + dy * y)) <= {TOLERANCE_M} GROUP BY 1, 2, 3""")
 def _(t):
     x_axis, y_axis = cell_axes(t)
-    readings = matching.with_projected(masking.valid_readings(t.monitors), EAST_VIEW, "longitude", "latitude")
-    return rounded(matching.mean_per_cell(matching.with_nearest_cell(readings, x_axis, y_axis, TOLERANCE_M), "value"))
+    return rounded(matching.mean_of_readings(masking.valid_readings(t.monitors), "value", "longitude", "latitude",
+                                             EAST_VIEW, x_axis, y_axis, TOLERANCE_M))
 
 
 @register("assign_points_to_grid", f"""WITH {PLACED},

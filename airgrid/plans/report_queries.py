@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import calendar, text
+from airgrid.learning.collection import stacked
 from airgrid.operators import features, masking, summaries
 from airgrid.operators.binding import with_bound
 from airgrid.plans.catalog import register
 from airgrid.plans.text import rounded
+from airgrid.session import spread
 
 MODELS = ["linear", "forest", "trees"]
 LONG = """long AS (SELECT l_orderkey, l_linenumber, truth, model, value FROM predictions
@@ -40,8 +42,6 @@ def _(t):
                 + (CASE WHEN 'trees' IN (SELECT model FROM best) THEN trees ELSE 0 END)) / 2, 6) AS stacked
     FROM predictions""")
 def _(t):
-    from airgrid.learning.collection import stacked
-
     scores = summaries.regression_scores(t.predictions, "truth", MODELS)
     best = [r["model"] for r in summaries.top_models(scores, "rmse", 2).collect()]  # at most n names
     return rounded(t.predictions.select("l_orderkey", "l_linenumber", "truth", stacked(best).alias("stacked")))
@@ -131,7 +131,7 @@ KDE_TAIL = """
     stats AS (SELECT model, count(*) AS n, stddev_samp(value) * pow(count(*), -2e-1) AS h FROM long GROUP BY 1)
     {KDE_TAIL.format(by="model", start="0e0", step="5e-1", points=201)}""")
 def _(t):
-    long = summaries.unpivoted(t.predictions.select(*MODELS), MODELS)
+    long = summaries.unpivoted(spread(t.predictions).select(*MODELS), MODELS)
     return rounded(summaries.kde_curve(long, ["model"], "value", 0.0, 100.0, 201), density=8)
 
 

@@ -115,18 +115,19 @@ def _(t):
 
 
 @register("scan_preamble_csv", """
-    SELECT 'site' || CAST(user_id AS VARCHAR) AS site, date_trunc('second', ts) AS t, round(value / 97e0, 6) AS "AOD_675" FROM events""")
+    SELECT 'site' || CAST(user_id // 50 AS VARCHAR) AS site, date_trunc('second', ts) AS t, round(value / 97e0, 6) AS "AOD_675" FROM events""")
 def _(t):
     # a site's rows go to files of at most 50 000 events, each with preamble and header
     path = scratch_path(t.spark, "photometer")
-    row = F.concat_ws(",", F.concat(F.lit("site"), "user_id"), F.lit("25.5"), F.lit("-100.25"), F.date_format("ts", "dd:MM:yyyy"),
+    site = F.floor(F.col("user_id") / 50)
+    row = F.concat_ws(",", F.concat(F.lit("site"), site), F.lit("25.5"), F.lit("-100.25"), F.date_format("ts", "dd:MM:yyyy"),
                       F.date_format("ts", "HH:mm:ss"), (F.col("value") / 97.0).cast("string"), F.lit("1.1"))
     titles = ",".join(c.split("`")[1] for c in schemas.PHOTOMETER_CSV.split(", "))
     head = ["Version 3", "site file", "contact: none", "level 1.5", "units: none", titles]
     part = F.floor(F.col("event_id") / 50_000).alias("part")
-    tops = t.events.select(F.col("user_id").alias("site_id"), part).distinct().select(
+    tops = t.events.select(site.alias("site_id"), part).distinct().select(
         "site_id", "part", F.posexplode(F.array(*[F.lit(h) for h in head])).alias("_n", "value"))
-    body = t.events.select(F.col("user_id").alias("site_id"), part, (F.col("event_id") + len(head)).alias("_n"), row.alias("value"))
+    body = t.events.select(site.alias("site_id"), part, (F.col("event_id") + len(head)).alias("_n"), row.alias("value"))
     (tops.withColumn("_n", F.col("_n").cast("bigint")).unionByName(body)
      .repartition("site_id", "part").sortWithinPartitions("site_id", "part", "_n").drop("_n")
      .write.partitionBy("site_id", "part").text(path))

@@ -67,3 +67,14 @@ def materialise(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a part of a table that is scanned in fewer pieces than there are cores.
+
+    For heavy work per row on a table that is one small file.  A table with
+    enough splits of its own, as any large one has, is returned as it is: no
+    shuffle is added.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

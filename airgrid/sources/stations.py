@@ -26,27 +26,29 @@ def scan_monitors(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return scan_csv(spark, paths, schemas.MONITOR_CSV).withColumnsRenamed(schemas.MONITOR_NAMES)
 
 
-def scan_csv_with_rejects(spark: SparkSession, paths: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that parse, and the text and file of those that do not."""
-    lines = (spark.read.schema(f"{schema}, _bad string").option("header", True).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", "_bad").csv(paths if isinstance(paths, str) else list(paths))
-             .withColumn("file", F.col("_metadata.file_path")))
-    return lines.filter("_bad IS NULL").drop("_bad"), lines.filter("_bad IS NOT NULL").select("file", "_bad")
-
-
-def scan_after_preamble(spark: SparkSession, paths: str | Sequence[str], schema: str, skip: int) -> DataFrame:
+def scan_after_preamble(spark: SparkSession, paths: str | Sequence[str], schema: str, skip: int,
+                        bad: str | None = None) -> DataFrame:
     """CSV whose first ``skip`` lines of every file (preamble and header) are not data.
 
     Line numbers within a scan task rise along a file, and a preamble is within
     the first block of its file; so the smallest number seen in that block marks
-    the file's first line.  Bytes that are not UTF-8 are replaced.
+    the file's first line.  Bytes that are not UTF-8 are replaced.  The text of a
+    line that does not fit the schema goes to column ``bad`` if one is named.
     """
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(
         F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
     firsts = lines.filter("_block = 0").groupBy("file").agg(F.min("_n").alias("_first"))
     body = lines.join(firsts, "file").filter((F.col("_block") > 0) | (F.col("_n") >= F.col("_first") + skip))
-    return body.select("file", F.from_csv("line", schema).alias("row")).select("file", "row.*")
+    options = {"columnNameOfCorruptRecord": bad} if bad else {}
+    parsed = F.from_csv("line", f"{schema}, {bad} string" if bad else schema, options)
+    return body.select("file", parsed.alias("row")).select("file", "row.*")
+
+
+def scan_csv_with_rejects(spark: SparkSession, paths: str | Sequence[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of headed CSV files that parse, and the file and text of the lines that do not."""
+    lines = scan_after_preamble(spark, paths, schema, 1, bad="_bad")
+    return lines.filter("_bad IS NULL").drop("_bad"), lines.filter("_bad IS NOT NULL").select("file", "_bad")
 
 
 def scan_photometer(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

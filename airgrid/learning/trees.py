@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -42,12 +44,13 @@ class ExtraTrees(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
     maxDepth = Param(Params._dummy(), "maxDepth", "deepest level", TypeConverters.toInt)
     minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "fewest rows in a leaf", TypeConverters.toInt)
     cuts = Param(Params._dummy(), "cuts", "random cut points per feature", TypeConverters.toInt)
+    parallelism = Param(Params._dummy(), "parallelism", "trees fitted at a time", TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100, maxDepth=20,
-                 minInstancesPerNode=1, cuts=30, seed=42) -> None:
+                 minInstancesPerNode=1, cuts=30, parallelism=4, seed=42) -> None:
         super().__init__()
-        self._setDefault(numTrees=100, maxDepth=20, minInstancesPerNode=1, cuts=30, seed=42)
+        self._setDefault(numTrees=100, maxDepth=20, minInstancesPerNode=1, cuts=30, parallelism=4, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ExtraTreesModel:
@@ -60,7 +63,7 @@ class ExtraTrees(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
             ends = rows.agg(*[F.min(n) for n in names], *[F.max(n) for n in names]).first()
             draw = np.random.default_rng(self.getSeed())
             cuts = self.getOrDefault(self.cuts)
-            members = []
+            pipelines = []
             for k in range(self.getOrDefault(self.numTrees)):
                 splits = []
                 for f in range(size):
@@ -73,7 +76,11 @@ class ExtraTrees(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
                     featuresCol="_buckets", labelCol=self.getLabelCol(), predictionCol="_tree", maxBins=cuts + 2,
                     maxDepth=self.getOrDefault(self.maxDepth), seed=self.getSeed() + k,
                     minInstancesPerNode=self.getOrDefault(self.minInstancesPerNode))
-                members.append(Pipeline(stages=[cut, joined, tree]).fit(rows))
+                pipelines.append(Pipeline(stages=[cut, joined, tree]))
+            # the trees do not depend on each other: several fits are submitted at a time
+            fit = inheritable_thread_target(dataset.sparkSession)(lambda pipeline: pipeline.fit(rows))
+            with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
+                members = pool.map(fit, pipelines)
         finally:
             rows.unpersist()
         return self._copyValues(ExtraTreesModel(members))

@@ -208,7 +208,7 @@ def focal_mean(points: DataFrame, grid: DataFrame, values: Sequence[str], by: Se
               .select("point_y", "point_x", (F.col("point_y") + F.col("dy")).alias("y"),
                       (F.col("point_x") + F.col("dx")).alias("x")))
     some = F.coalesce(*[F.col(v) for v in values]).isNotNull()
-    return (grid.filter(some).join(around, ["y", "x"])
+    return (grid.filter(some).join(if_small(around), ["y", "x"])
             .groupBy("point_y", "point_x", *by).agg(*[F.avg(v).alias(v) for v in values]))
 
 

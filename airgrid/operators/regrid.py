@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.functions.projection import Geostationary
-from airgrid.operators.binding import with_bound
+from airgrid.operators.binding import if_small, with_bound
 from airgrid.operators.matching import RegularAxis
 
 
@@ -59,7 +59,7 @@ def between_satellites_weights(cells: DataFrame, view_a: Geostationary, view_b:
 
 def apply_weights(field: DataFrame, weights: DataFrame, values: Sequence[str], by: Sequence[str] = ("time",)) -> DataFrame:
     """Weighted sums on the target cells; a value with a missing corner is missing."""
-    joined = field.select(*by, "i", "j", *values).join(weights, ["i", "j"])
+    joined = field.select(*by, "i", "j", *values).join(if_small(weights), ["i", "j"])
     return joined.groupBy(*by, "y", "x").agg(*[
         F.when(F.count(v) == F.max("n_corners"), F.sum(F.col(v) * F.col("w"))).alias(v) for v in values])
 

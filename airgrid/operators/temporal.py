@@ -88,10 +88,12 @@ def densify_time(df: DataFrame, time: str, step: str, keys: Sequence[str]) -> Da
     Two scalars reach the driver.  The spine is made per key, so it spreads over
     the cluster, and keys without any data are not filled in.
     """
-    low, high = df.agg(F.min(time), F.max(time)).first()
+    kind = df.schema[time].dataType
+    low, high = df.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
     if low is None:
         return df
-    spine = F.sequence(F.lit(low), F.lit(high), F.expr(f"INTERVAL {step}"))
+    # in the column's own type, so that the join keeps the partitioning of an aggregate below it
+    spine = F.sequence(F.lit(low).cast(kind), F.lit(high).cast(kind), F.expr(f"INTERVAL {step}"))
     full = df.select(*keys).distinct().withColumn(time, F.explode(spine))
     return full.join(df, [time, *keys], "left").select(*df.columns)
 

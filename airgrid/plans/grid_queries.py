@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from airgrid.functions import calendar, optics, projection
 from airgrid.functions.projection import Geostationary
 from airgrid.operators import masking, matching, regions, regrid, temporal
-from airgrid.operators.binding import with_bound
+from airgrid.operators.binding import if_small, with_bound
 from airgrid.operators.matching import RegularAxis
 from airgrid.operators.ranking import monotonic_axis
 from airgrid.plans.catalog import register
@@ -242,5 +242,5 @@ def _(t):
                                      EAST_VIEW, "longitude", "latitude")
     placed = matching.with_nearest_cell(places, x_axis, y_axis, float("inf")).select(
         "site_name", F.col("cell_y").alias("y"), F.col("cell_x").alias("x"))
-    series = t.daily_grid.join(placed, ["y", "x"])
+    series = t.daily_grid.join(if_small(placed), ["y", "x"])
     return rounded(temporal.resample_mean(series, "time", "day", ["site_name"], ["AOD"]))

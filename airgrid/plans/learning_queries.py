@@ -11,7 +11,7 @@ from airgrid.functions import text
 from airgrid.learning import selection
 from airgrid.learning.collection import (ModelCollection, ModelStack, column_name, default_models, feature_importances,
                                          tree_lines)
-from airgrid.learning.linear import BayesianRidge
+from airgrid.learning.linear import BayesianRidge, LinearSVR
 from airgrid.learning.network import Perceptron
 from airgrid.learning.trees import AdaBoost, ExtraTrees
 from airgrid.operators import features, matching, scoring
@@ -49,7 +49,7 @@ def named(name, make, **params) -> dict[str, Pipeline]:
     SELECT round(regr_slope(PM25, AOD), 6) AS slope, round(regr_intercept(PM25, AOD), 6) AS intercept,
            round(regr_r2(PM25, AOD), 6) AS r2, count(*) AS n FROM features""")
 def _(t):
-    table = VectorAssembler(inputCols=["AOD"], outputCol="features").transform(t.features)
+    table = VectorAssembler(inputCols=["AOD"], outputCol="features").transform(spread(t.features))
     model = LinearRegression(featuresCol="features", labelCol=LABEL, predictionCol="linear", solver="normal").fit(table)
     scored = model.transform(table)
     error = F.col(LABEL) - F.col("linear")
@@ -79,7 +79,7 @@ def scores_of(name, models=None):
 
 register("ml_elastic_net")(scores_of("Elastic Net"))
 register("ml_polynomial")(scores_of("Polynomial"))
-register("ml_svr")(scores_of("SVR"))
+register("ml_svr")(scores_of("SVR", named("SVR", LinearSVR, maxIter=25)))
 register("ml_mlp")(scores_of("MLP", named("MLP", Perceptron, hidden=[20], maxIter=15)))
 register("ml_ada_boost")(scores_of("Ada Boost", named("Ada Boost", AdaBoost, numTrees=8)))
 register("ml_random_forest")(scores_of("Random Forest"))
@@ -204,7 +204,7 @@ LINE = "line AS (SELECT regr_slope(PM25, AOD) AS b, regr_intercept(PM25, AOD) AS
     SELECT time, y, x, round(a + b * AOD, 4) AS linear_regression FROM daily_grid, line""")
 def _(t):
     collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
-    collection.fit(t.features)
+    collection.fit(spread(t.features))
     return rounded(scoring.score_grid(t.daily_grid, ["AOD"], collection.predict), 4)
 
 
@@ -242,7 +242,7 @@ def _(t):
     FROM snapshots s JOIN grid_cells c ON c.y = s.y AND c.x = s.x, line WHERE s.AOD IS NOT NULL""")
 def _(t):
     collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
-    collection.fit(t.features)
+    collection.fit(spread(t.features))
     cells = t.grid_cells.select("y", "x", "lat")
     scored = incremental.scored_stream(stream(t).filter("AOD IS NOT NULL").select("event_id", "y", "x", "AOD"), cells,
                                        collection.predict)

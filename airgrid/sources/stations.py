@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from airgrid import schemas
 from airgrid.functions import calendar
+from airgrid.operators.binding import if_small
 
 
 def scan_csv(spark: SparkSession, paths: str | Sequence[str], schema: str, glob: str | None = None,
@@ -39,7 +40,7 @@ def scan_after_preamble(spark: SparkSession, paths: str | Sequence[str], schema:
         F.make_valid_utf8("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
     firsts = lines.filter("_block = 0").groupBy("file").agg(F.min("_n").alias("_first"))
-    body = lines.join(firsts, "file").filter((F.col("_block") > 0) | (F.col("_n") >= F.col("_first") + skip))
+    body = lines.join(if_small(firsts), "file").filter((F.col("_block") > 0) | (F.col("_n") >= F.col("_first") + skip))
     options = {"columnNameOfCorruptRecord": bad} if bad else {}
     parsed = F.from_csv("line", f"{schema}, {bad} string" if bad else schema, options)
     return body.select("file", parsed.alias("row")).select("file", "row.*")

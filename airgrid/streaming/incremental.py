@@ -82,10 +82,10 @@ def split_late(spark: SparkSession, snapshots: DataFrame, accepted_path: str, re
         seen = None
         if batch_id > 0:
             seen = (spark.read.schema("latest timestamp, batch bigint").parquet(seen_path)
-                    .filter(F.col("batch") < batch_id).agg(F.max("latest")).first()[0])
+                    .filter(F.col("batch") < batch_id).agg(F.max("latest").cast("string")).first()[0])
         kept = batch.persist()
         damaged = F.year("t") == 2000
-        late = F.lit(False) if seen is None else F.col("t") < F.lit(seen) - F.expr(f"INTERVAL {delay}")
+        late = F.lit(False) if seen is None else F.col("t") < F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {delay}")
         reason = F.when(damaged, "bad_time").when(late, "late")
         marked = kept.withColumns({"reason": reason, "batch": F.lit(batch_id)})
 

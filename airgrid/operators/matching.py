@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import projection
 from airgrid.operators.binding import if_small, with_bound
-from airgrid.operators.ranking import with_ranges
+from airgrid.operators.ranking import per_range, with_ranges
 
 
 @dataclass(frozen=True)
@@ -119,23 +120,19 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, node: str) -
     nodes = axis.select(F.col(node).cast("double").alias("v"), F.lit(True).alias("is_node")).dropna().distinct()
     places = points.select(F.col(value).cast("double").alias("v"), F.lit(False).alias("is_node")).dropna().distinct()
     ranged = with_ranges(nodes.unionByName(places), ["v"])
-    ends = {r[0]: (r[1], r[2]) for r in
-            ranged.filter("is_node").groupBy("_range").agg(F.min("v"), F.max("v")).collect()}  # one row per range
-    size = max(ends, default=0) + 1
-    below = [max((hi for r, (_, hi) in ends.items() if r < n), default=None) for n in range(size + 1)]
-    above = [min((lo for r, (lo, _) in ends.items() if r > n), default=None) for n in range(size + 1)]
-
-    def carried(values: list) -> Column:
-        listed = F.array(*[F.lit(v).cast("double") for v in values])
-        return F.get(listed, F.least(F.col("_range"), F.lit(size)))
-
+    ends = ranged.groupBy("_range").agg(*[
+        f(F.when(F.col("is_node"), F.col("v"))) for f in (F.min, F.max)]).orderBy("_range").collect()  # one row per range
+    before = accumulate((r[2] for r in ends), lambda a, b: a if b is None else b)
+    after = accumulate((r[1] for r in reversed(ends)), lambda a, b: a if b is None else b)
+    below, above = [None, *before][:len(ends)], [None, *after][:len(ends)][::-1]
+    carried = per_range(ranged, [(r[0], b, a) for r, b, a in zip(ends, below, above)], "below double, above double")
     here = F.last(F.when(F.col("is_node"), F.col("v")), ignorenulls=True)
     running = [Window.unboundedPreceding, Window.currentRow]
-    low = F.coalesce(here.over(Window.partitionBy("_range").orderBy("v").rangeBetween(*running)), carried(below))
-    high = F.coalesce(here.over(Window.partitionBy("_range").orderBy(F.desc("v")).rangeBetween(*running)), carried(above))
+    low = F.coalesce(here.over(Window.partitionBy("_range").orderBy("v").rangeBetween(*running)), F.col("below"))
+    high = F.coalesce(here.over(Window.partitionBy("_range").orderBy(F.desc("v")).rangeBetween(*running)), F.col("above"))
     nearest = (F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low"))
                .when(F.col("v") - F.col("low") <= F.col("high") - F.col("v"), F.col("low")).otherwise(F.col("high")))
-    lookup = (ranged.withColumns({"low": low, "high": high}).filter(~F.col("is_node"))
+    lookup = (carried.withColumns({"low": low, "high": high}).filter(~F.col("is_node"))
               .select(F.col("v").alias("_v"), nearest.alias(node)))
     return (points.withColumn("_v", F.col(value).cast("double")).join(if_small(lookup), "_v", "left").drop("_v"))
 

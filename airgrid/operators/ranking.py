@@ -1,9 +1,10 @@
 """Order-based operators that do not gather a table, or a hot group, in one task.
 
 A window without a partition, or over one hot partition, sorts everything in a
-single task.  Here order is handled in two steps: rows get the number of the
-key range they belong to, a small count per range gives each range its offset,
-and only then are rows numbered inside their range.
+single task.  Here Spark range-partitions the rows by all their keys, the ranges
+are written once, and each range is then numbered by itself and moved on by the
+total of the ranges before it.  The driver sees one row per range, of which
+there are at most ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -14,58 +15,35 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 1_000_000
-SAMPLE_PER_RANGE = 60
+from airgrid.session import materialise
 
-
-def _range_number(keys: Sequence[str], splits: list[tuple], schema) -> Column:
-    """Number of the range a row falls in: a balanced tree of comparisons, no shuffle."""
-    row = F.struct(*[F.col(k) for k in keys])
-
-    def bound(values: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(schema[k].dataType).alias(k) for k, v in zip(keys, values)])
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(row < bound(splits[mid]), search(low, mid)).otherwise(search(mid + 1, high))
-
-    return search(0, len(splits))
+ROW_BITS = 33  # of a monotonically increasing id, the rest is the partition
 
 
 def with_ranges(df: DataFrame, keys: Sequence[str], name: str = "_range") -> DataFrame:
-    """Number the rows' key ranges in key order.
+    """Bring rows together by key range and number the ranges in key order.
 
-    Split points come from a sample of the keys.  The sample only decides how
-    even the ranges are; the numbers are a function of the keys, so results do
-    not depend on it, on partitioning, or on a task that is run again.
+    The result is a written table: range limits come from a sample, and every
+    later reading must see the same ones.
     """
-    rows = df.count()
-    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(max(parallel, rows // ROWS_PER_RANGE), 4096))
-    fraction = min(1.0, ranges * SAMPLE_PER_RANGE / max(rows, 1))
-    picked = df.select(*keys)
-    if fraction < 1.0:
-        picked = picked.sample(fraction, seed=17)
-    sample = sorted({tuple(r) for r in picked.limit(4 * ranges * SAMPLE_PER_RANGE).collect()}) if ranges > 1 else []
-    splits = sorted({sample[len(sample) * n // ranges] for n in range(1, ranges)}) if sample else []
-    return df.withColumn(name, _range_number(keys, splits, df.schema))
+    return materialise(df.repartitionByRange(*keys).withColumn(name, F.spark_partition_id()))
+
+
+def per_range(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Join one small row per range, made on the driver, back to the rows of the ranges."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"_range int, {schema}")), "_range")
 
 
 def with_running_totals(df: DataFrame, keys: Sequence[str], weights: dict[str, Column]) -> DataFrame:
     """Totals of several weights over this row and all rows before it in key order; the keys must be unique."""
     ranged = with_ranges(df, keys)
-    totals = {r["_range"]: r for r in ranged.groupBy("_range").agg(
-        *[F.sum(w).alias(name) for name, w in weights.items()]).collect()}  # one row per range
-    size = max(totals, default=0) + 1
+    totals = ranged.groupBy("_range").agg(*[F.sum(w).alias(n) for n, w in weights.items()]).orderBy("_range").collect()
+    before = zip(*[[0, *accumulate(r[n] for r in totals)][:len(totals)] for n in weights])
+    offsets = [(r["_range"], *b) for r, b in zip(totals, before)]
     order = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def running(name: str, weight: Column) -> Column:
-        offsets = [0, *accumulate(totals[n][name] if n in totals else 0 for n in range(size))][:size]
-        return F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col("_range") + 1) + F.sum(weight).over(order)
-
-    return ranged.withColumns({name: running(name, w) for name, w in weights.items()}).drop("_range")
+    joined = per_range(ranged, offsets, ", ".join(f"`_before_{n}` bigint" for n in weights))
+    return joined.withColumns({n: F.col(f"_before_{n}") + F.sum(w).over(order) for n, w in weights.items()}).select(
+        *df.columns, *weights)
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], weight: Column, name: str = "running") -> DataFrame:
@@ -73,8 +51,20 @@ def with_running_total(df: DataFrame, keys: Sequence[str], weight: Column, name:
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], name: str = "rank") -> DataFrame:
-    """Position of each row in key order, from 1; the keys must be unique."""
-    return with_running_total(df, keys, F.lit(1).cast("bigint"), name)
+    """Position of each row in key order, from 1; the keys should be unique.
+
+    Rows are written sorted, range by range, so their place in a range is their
+    place in its file: no window and no second shuffle.
+    """
+    ordered = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    numbered = ordered.withColumn("_id", F.monotonically_increasing_id()).select(
+        *df.columns, F.shiftright("_id", ROW_BITS).cast("int").alias("_range"),
+        F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"))
+    counts = numbered.groupBy("_range").count().orderBy("_range").collect()
+    before = accumulate((r["count"] for r in counts), initial=0)
+    offsets = [(r["_range"], b) for r, b in zip(counts, before)]
+    return per_range(numbered, offsets, "_before bigint").withColumn(
+        name, F.col("_before") + F.col("_row") + 1).select(*df.columns, name)
 
 
 def monotonic_axis(axis: DataFrame, by: Sequence[str], position: str, value: str) -> DataFrame:

@@ -34,3 +34,11 @@ def duck():
     for t in ALL_TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     return con
+
+
+@pytest.fixture(params=["one range", "many ranges"])
+def ranges(request, spark):
+    """Small tables fit in one key range; without coalescing they are cut into several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(request.param == "one range").lower())
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -129,7 +129,7 @@ def test_unmatched_points_stay(spark):
         ("matched", 7.0), ("matched_null", None), ("out_of_bounds", None), ("unmatched", None)]
 
 
-def test_uneven_axis_against_brute_force(spark):
+def test_uneven_axis_against_brute_force(spark, ranges):
     random.seed(2)
     nodes = sorted({round(random.expovariate(0.05), 3) for _ in range(60)} | {500.0, 500.001, 500.002})
     values = [random.uniform(-10, 600) for _ in range(400)] + [nodes[3]] * 300 + [(nodes[0] + nodes[1]) / 2, None]

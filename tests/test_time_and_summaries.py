@@ -99,7 +99,7 @@ def test_malformed_times_are_null(spark):
     assert got[0].month == 2 and got[1:] == [None, None]
 
 
-def test_rank_does_not_depend_on_partitions_or_skew(spark):
+def test_rank_does_not_depend_on_partitions_or_skew(spark, ranges):
     random.seed(4)
     data = [(7 if k % 3 else random.randrange(10**6), k) for k in range(5000)]  # one key value holds two thirds
     for parts in (1, 13):
@@ -108,7 +108,7 @@ def test_rank_does_not_depend_on_partitions_or_skew(spark):
         assert got == [(n + 1, a, b) for n, (a, b) in enumerate(sorted(data))]
 
 
-def test_exact_quantiles_with_ties_and_a_hot_group(spark):
+def test_exact_quantiles_with_ties_and_a_hot_group(spark, ranges):
     random.seed(9)
     data = [("hot", float(random.choice([1, 1, 1, 2, 5, 9]))) for _ in range(3000)] + [("few", random.random()) for _ in range(37)]
     data += [("one", 4.0), ("hot", None)]
@@ -120,7 +120,7 @@ def test_exact_quantiles_with_ties_and_a_hot_group(spark):
             assert got[(g,)][name] == pytest.approx(np.quantile(values, p))
 
 
-def test_boxplot_whiskers(spark):
+def test_boxplot_whiskers(spark, ranges):
     values = [1.0, 2.0, 3.0, 4.0, 100.0]
     got = summaries.boxplot_stats(spark.createDataFrame([("m", v) for v in values], "m string, v double"), ["m"], "v").first()
     assert (got["q1"], got["median"], got["q3"], got["whisker_low"], got["whisker_high"], got["n_outliers"]) == (2, 3, 4, 1, 4, 1)
@@ -162,14 +162,14 @@ def test_standardise_uses_the_population_deviation(spark):
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_contiguous_fold_sizes(spark):
+def test_contiguous_fold_sizes(spark, ranges):
     df = features.contiguous_folds(spark.range(23), ["id"], 5)
     assert [r["count"] for r in df.groupBy("fold").count().orderBy("fold").collect()] == [5, 5, 5, 4, 4]
     assert df.groupBy("fold").agg((F.max("id") - F.min("id") + 1 - F.count("*")).alias("gap")).filter("gap <> 0").count() == 0
 
 
 @pytest.mark.parametrize("sizes", [[50] + [3] * 40, [1] * 100, list(range(1, 60))])
-def test_group_folds(spark, sizes):
+def test_group_folds(spark, ranges, sizes):
     df = spark.createDataFrame([(g, k) for g, n in enumerate(sizes) for k in range(n)], "g int, k int")
     table = features.group_fold_table(df, ["g"], 5).collect()
     assert sorted(r["g"] for r in table) == list(range(len(sizes)))

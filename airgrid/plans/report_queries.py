@@ -349,22 +349,29 @@ def _(t):
     return features.stratified_folds(t.features.select(*ROW_KEY, "PM25"), "PM25", ROW_KEY, 5).drop("PM25")
 
 
-@register("group_kfold")
+# groups from the largest down, one at a time, each into the lightest of ten folds
+GREEDY = """sizes AS (SELECT lat, lon, count(*) AS n FROM features GROUP BY 1, 2),
+    ordered AS (SELECT lat, lon, n, row_number() OVER (ORDER BY n DESC, lat, lon) AS r FROM sizes),
+    placed AS (
+      SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS n, CAST(0 AS INT) AS fold, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads
+      UNION ALL
+      SELECT o.r, o.n, CAST(list_position(loads, list_min(loads)) - 1 AS INT),
+             list_transform(loads, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+      FROM placed p JOIN ordered o ON o.r = p.r + 1)"""
+
+
+@register("group_kfold", f"""
+    WITH RECURSIVE {GREEDY},
+    folds AS (SELECT n, fold, row_number() OVER (PARTITION BY n ORDER BY fold) AS k FROM placed WHERE r > 0),
+    groups AS (SELECT lat, lon, n, row_number() OVER (PARTITION BY n ORDER BY lat, lon) AS k FROM ordered)
+    SELECT lat, lon, n AS n_rows, fold FROM groups JOIN folds USING (n, k)""")
 def _(t):
     return features.group_fold_table(t.features, ["lat", "lon"], 10)
 
 
-@register("group_kfold_loads", """
-    WITH RECURSIVE sizes AS (SELECT lat, lon, count(*) AS n FROM features GROUP BY 1, 2),
-    ordered AS (SELECT n, row_number() OVER (ORDER BY n DESC, lat, lon) AS r FROM sizes),
-    placed AS (
-      SELECT CAST(0 AS BIGINT) AS r, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST([0, 0, 0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS groups
-      UNION ALL
-      SELECT o.r, list_transform(loads, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN n ELSE 0 END),
-             list_transform(groups, lambda v, i: v + CASE WHEN i = list_position(loads, list_min(loads)) THEN 1 ELSE 0 END)
-      FROM placed p JOIN ordered o ON o.r = p.r + 1)
-    SELECT CAST(unnest(range(10)) AS INT) AS fold, unnest(groups) AS n_groups, unnest(loads) AS n_rows
-    FROM placed WHERE r = (SELECT max(r) FROM ordered)""")
+@register("group_kfold_loads", f"""
+    WITH RECURSIVE {GREEDY}
+    SELECT fold, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows FROM placed WHERE r > 0 GROUP BY 1""")
 def _(t):
     table = features.group_fold_table(t.features, ["lat", "lon"], 10)
     return table.groupBy("fold").agg(F.count("*").alias("n_groups"), F.sum("n_rows").alias("n_rows"))

@@ -11,8 +11,8 @@ def site_key(lat: Column, lon: Column) -> Column:
 
 
 def share_text(count: Column, share: Column) -> Column:
-    """``count (share %)``."""
-    return F.concat(count.cast("string"), F.lit(" ("), F.format_string("%.1f", share), F.lit(" %)"))
+    """``count (share %)``, the share to one place, halves to the even digit."""
+    return F.concat(count.cast("string"), F.lit(" ("), F.format_string("%.1f", F.rint(share * 10) / 10), F.lit(" %)"))
 
 
 def change_text(value: Column, percent: Column) -> Column:

@@ -62,7 +62,7 @@ def shares_sql(edges, labels):
     return f"""WITH {LONG}, total AS (SELECT count(*) AS n_all FROM predictions),
     bins AS (SELECT * FROM (VALUES {bins}) AS b(bin, lower, upper, category, is_last)),
     models AS (SELECT DISTINCT model FROM long)
-    SELECT m.model, b.bin, b.lower, b.category, count(value) AS n, round(100 * count(value) / any_value(n_all), 6) AS share
+    SELECT m.model, b.bin, b.lower, b.category, count(value) AS n, round(count(value) / any_value(n_all) * 100, 6) AS share
     FROM models m CROSS JOIN bins b CROSS JOIN total LEFT JOIN long l
       ON l.model = m.model AND value >= lower AND (value < upper OR (is_last AND value = upper))
     GROUP BY 1, 2, 3, 4"""
@@ -78,8 +78,11 @@ def _(t):
     return rounded(summaries.category_shares(t.predictions, MODELS, summaries.WHO_EDGES, summaries.WHO_CATEGORIES))
 
 
-@register("format_share", f"""WITH shares AS ({shares_sql(summaries.AQI_EDGES, summaries.AQI_CATEGORIES)})
-    SELECT model, bin, category, CAST(n AS VARCHAR) || ' (' || printf('%.1f', share) || ' %)' AS cell, n FROM shares""")
+@register("format_share", f"""WITH shares AS ({shares_sql(summaries.AQI_EDGES, summaries.AQI_CATEGORIES)}),
+    total AS (SELECT count(*) AS n_all FROM predictions)
+    SELECT model, bin, category, n,
+           CAST(n AS VARCHAR) || ' (' || printf('%.1f', round_even(n / n_all * 100 * 10, 0) / 10) || ' %)' AS cell
+    FROM shares, total""")
 def _(t):
     shares = summaries.category_shares(t.predictions, MODELS, summaries.AQI_EDGES, summaries.AQI_CATEGORIES)
     return shares.select("model", "bin", "category", text.share_text(F.col("n"), F.col("share")).alias("cell"), "n")

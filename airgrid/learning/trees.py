@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from airgrid.learning.base import EnsembleModel, Supervised, keyword_only
 from airgrid.session import materialise
 
+STAGES_PER_WRITE = 10  # in between, the weights of one stage are cached until the next has used them
+
 
 class ExtraTreesModel(EnsembleModel):
     """Mean prediction of trees grown on randomly cut features."""
@@ -125,31 +127,34 @@ class AdaBoost(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPar
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
         label, features = self.getLabelCol(), self.getFeaturesCol()
         rate = self.getOrDefault(self.learningRate)
-        rows = materialise(dataset.select(features, label, F.lit(1.0).alias("_weight")))
+        rows, before = materialise(dataset.select(features, label, F.lit(1.0).alias("_weight"))), None
         members, says = [], []
         for k in range(self.getOrDefault(self.numTrees)):
             tree = DecisionTreeRegressor(featuresCol=features, labelCol=label, predictionCol="_tree", weightCol="_weight",
                                          maxDepth=self.getOrDefault(self.maxDepth), seed=self.getSeed() + k)
             fitted = Pipeline(stages=[tree]).fit(rows)
-            error = F.abs(F.col("_tree") - F.col(label))
-            scored = fitted.transform(rows).withColumn("_error", error)
+            if before is not None:
+                before.unpersist()
+            scored = fitted.transform(rows).withColumn("_error", F.abs(F.col("_tree") - F.col(label)))
             worst = scored.agg(F.max("_error")).first()[0]
             if not worst:
-                members.append(fitted)
-                says.append(1.0)
+                members, says = [*members, fitted], [*says, 1.0]
                 break
             loss = scored.agg(F.sum(F.col("_weight") * F.col("_error") / worst) / F.sum("_weight")).first()[0]
             if loss >= 0.5:
                 if not members:
-                    members.append(fitted)
-                    says.append(1.0)
+                    members, says = [fitted], [1.0]
                 break
             beta = loss / (1.0 - loss)
             members.append(fitted)
             says.append(float(rate * np.log(1.0 / beta)))
             factor = F.pow(F.lit(beta), (F.lit(1.0) - F.col("_error") / worst) * rate)
-            # each stage starts from a written table: the plan does not grow with the stages
-            rows = materialise(scored.select(features, label, (F.col("_weight") * factor).alias("_weight")))
+            before, rows = rows, scored.select(features, label, (F.col("_weight") * factor).alias("_weight"))
+            if k % STAGES_PER_WRITE == STAGES_PER_WRITE - 1:
+                rows = materialise(rows)  # the plan does not grow with the stages
+            else:
+                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        rows.unpersist()
         model = self._copyValues(AdaBoostModel(members))
         model._set(memberWeights=says)
         return model

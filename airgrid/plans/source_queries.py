@@ -45,8 +45,8 @@ def _(t):
 @register("scan_grid", """
     SELECT event_id, ts, value FROM events WHERE value > 2e1 AND event_type <> 'error'""")
 def _(t):
-    return (grids.scan_grid(t.spark, t.path("events")).filter((F.col("value") > 20) & (F.col("event_type") != "error"))
-            .select("event_id", "ts", "value"))
+    wanted = (F.col("value") > 20) & (F.col("event_type") != "error")
+    return grids.scan_grid(t.spark, t.path("events"), where=wanted).select("event_id", "ts", "value")
 
 
 def hourly_files(t) -> str:
@@ -77,7 +77,7 @@ def _(t):
     SELECT CAST(year(t) AS INT) AS year, CAST(dayofyear(t) AS INT) AS doy, count(*) AS n_rows, CAST(sum(n_snapshots) AS BIGINT) AS n_snapshots
     FROM hourly GROUP BY 1, 2""")
 def _(t):
-    return grids.scan_grid(t.spark, hourly_files(t)).groupBy("year", "doy").agg(
+    return grids.scan_grid(t.spark, hourly_files(t), nan=False).groupBy("year", "doy").agg(
         F.count("*").alias("n_rows"), F.sum("n_snapshots").alias("n_snapshots"))
 
 

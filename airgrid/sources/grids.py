@@ -17,8 +17,18 @@ def without_nan(df: DataFrame) -> DataFrame:
                            if f.dataType.typeName() in ("double", "float")})
 
 
-def scan_grid(spark: SparkSession, *paths: str) -> DataFrame:
-    return without_nan(spark.read.parquet(*paths))
+def scan_grid(spark: SparkSession, *paths: str, where: Column | None = None, nan: bool = True) -> DataFrame:
+    """Grid files with missing values as null.
+
+    ``where`` is a comparison, which missing values fail.  It is put to the files
+    as it stands, so that they can skip what it rules out, and again once NaN is
+    null.  Tables written by this engine hold no NaN and can be read with
+    ``nan=False``; any filter then reaches the files.
+    """
+    table = spark.read.parquet(*paths)
+    if not nan:
+        return table if where is None else table.filter(where)
+    return without_nan(table) if where is None else without_nan(table.filter(where)).filter(where)
 
 
 def scan_merged(spark: SparkSession, path: str) -> DataFrame:
@@ -32,10 +42,10 @@ def scan_each(spark: SparkSession, paths: Sequence[str], preprocess: Callable[[D
 
 
 def scan_days(spark: SparkSession, path: str, start: str, stop: str) -> DataFrame:
-    """Days ``start`` to ``stop`` of a table partitioned by year and day of year: other partitions are not listed."""
+    """Days ``start`` to ``stop`` of a table ``write_grid`` wrote by year and day of year; other partitions are not read."""
     first, last = F.to_date(F.lit(start)), F.to_date(F.lit(stop))
     key = F.col("year") * 1000 + F.col("doy")
-    return scan_grid(spark, path).filter(
+    return scan_grid(spark, path, nan=False).filter(
         key.between(F.year(first) * 1000 + F.dayofyear(first), F.year(last) * 1000 + F.dayofyear(last)))
 
 

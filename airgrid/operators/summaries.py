@@ -183,8 +183,8 @@ def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop:
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """How often each value occurs per group; written once, as several passes read it."""
-    return materialise(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")))
+    """How often each value occurs per group: ties and hot groups shrink before anything is ordered."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
 
 
 def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
@@ -224,7 +224,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, quartiles, whiskers at the last values within 1.5 IQR, and the number of outliers."""
-    counts = value_counts(df, by, value)
+    counts = materialise(value_counts(df, by, value))
     box = quantiles_of_counts(counts, by, value, QUARTILES).withColumns({
         "low_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
         "high_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from airgrid.functions import calendar, optics, projection
 from airgrid.functions.projection import Geostationary
-from airgrid.operators import masking, matching, regions, regrid, temporal
+from airgrid.operators import masking, matching, regions, regrid, temporal, training
 from airgrid.operators.binding import if_small, with_bound
 from airgrid.operators.matching import RegularAxis
 from airgrid.operators.ranking import monotonic_axis
 from airgrid.plans.catalog import register
-from airgrid.plans.matching_queries import EAST_VIEW, cell_axes, met_axes
+from airgrid.plans.matching_queries import EAST_VIEW, PLACED, TOLERANCE_M, cell_axes, met_axes, site_days
 from airgrid.plans.sql_text import (CELL_AXES, EDGES, MET_AXES, from_geostationary, inside_pairs, to_geostationary)
 from airgrid.plans.text import rounded
 from airgrid.session import scratch_path
@@ -147,11 +147,11 @@ def _(t):
 
 
 BILINEAR_W = f"""{MET_AXES},
-placed AS (SELECT y, x, (lat - lat0) / dlat AS fi, (lon - lon0) / dlon AS fj, ni, nj FROM grid_cells, met_axes),
+targets AS (SELECT y, x, (lat - lat0) / dlat AS fi, (lon - lon0) / dlon AS fj, ni, nj FROM grid_cells, met_axes),
 corners AS (
   SELECT y, x, CAST(floor(fi) + di AS INT) AS i, CAST(floor(fj) + dj AS INT) AS j,
          (1 - abs(fi - (floor(fi) + di))) * (1 - abs(fj - (floor(fj) + dj))) AS w
-  FROM placed, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(di, dj)
+  FROM targets, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(di, dj)
   WHERE fi BETWEEN 0 AND ni - 1 AND fj BETWEEN 0 AND nj - 1),
 weights AS (SELECT *, count(*) OVER (PARTITION BY y, x) AS n_corners FROM corners WHERE w > 0)"""
 APPLIED = """SELECT time, y, x, round(CASE WHEN count(t2m) = any_value(n_corners) THEN sum(w * t2m) END, 6) AS t2m,
@@ -244,3 +244,40 @@ def _(t):
         "site_name", F.col("cell_y").alias("y"), F.col("cell_x").alias("x"))
     series = t.daily_grid.join(if_small(placed), ["y", "x"])
     return rounded(temporal.resample_mean(series, "time", "day", ["site_name"], ["AOD"]))
+
+
+MATCHED = f"""{PLACED}, {BILINEAR_W},
+    means AS (SELECT time, iy AS y, ix AS x, avg(value) AS PM25 FROM placed WHERE near GROUP BY 1, 2, 3),
+    regridded AS (
+      SELECT time, y, x, CASE WHEN count(t2m) = any_value(n_corners) THEN sum(w * t2m) END AS t2m,
+             CASE WHEN count(blh) = any_value(n_corners) THEN sum(w * blh) END AS blh
+      FROM met_daily JOIN weights USING (i, j) GROUP BY 1, 2, 3),
+    joined AS (
+      SELECT g.time, lat, lon, AOD, t2m, blh, PM25, n_snapshots
+      FROM daily_grid g JOIN means USING (time, y, x) JOIN grid_cells USING (y, x) LEFT JOIN regridded USING (time, y, x)
+      WHERE AOD IS NOT NULL)"""
+
+
+def matched(t):
+    x_axis, y_axis = cell_axes(t)
+    lon_axis, lat_axis = met_axes(t)
+    weights = regrid.bilinear_weights(t.grid_cells, lat_axis, lon_axis)
+    sites = matching.with_projected(site_days(t), EAST_VIEW, "longitude", "latitude")
+    placed = matching.with_nearest_cell(sites, x_axis, y_axis, TOLERANCE_M)
+    means = matching.mean_per_cell(placed, "value").withColumnRenamed("value", "PM25")
+    return training.matched_table(t.daily_grid, t.grid_cells, t.met_daily, weights, means, ["t2m", "blh"])
+
+
+@register("matched_table", f"""WITH {MATCHED}
+    SELECT time, round(lat, 6) AS lat, round(lon, 6) AS lon, round(AOD, 6) AS AOD, round(t2m, 6) AS t2m, round(blh, 6) AS blh,
+           round(PM25, 6) AS PM25, n_snapshots FROM joined""")
+def _(t):
+    return rounded(matched(t))
+
+
+@register("training_table", f"""WITH {MATCHED}
+    SELECT time, round(lat, 6) AS lat, round(lon, 6) AS lon, round(AOD, 6) AS AOD, round(t2m, 6) AS t2m, round(blh, 6) AS blh,
+           round(PM25, 6) AS PM25, n_snapshots, {", ".join(f"CAST(month(time) = {m} AS INT) AS month_{m}" for m in range(1, 13))}
+    FROM joined WHERE t2m IS NOT NULL AND blh IS NOT NULL""")
+def _(t):
+    return rounded(training.training_table(matched(t)))

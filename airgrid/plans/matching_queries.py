@@ -69,6 +69,19 @@ def _(t):
     return rounded(masking.valid_readings(t.monitors).select("time", "site_name", "POC", "value"))
 
 
+@register("attribute_filter", """
+    SELECT site_name, time, round(value, 6) AS value FROM monitors WHERE state_name = 'Nebraska' AND POC <> 7""")
+def _(t):
+    named = t.monitors.filter((F.col("state_name") == "Nebraska") & (F.col("POC") != 7))
+    return rounded(named.select("site_name", "time", "value"))
+
+
+@register("single_day_lookup", "SELECT y, x, round(AOD, 6) AS AOD, n_snapshots FROM daily_grid WHERE time = DATE '2024-01-09'")
+def _(t):
+    day = F.lit("2024-01-09").cast("date")
+    return rounded(t.daily_grid.filter(F.col("time") == day).select("y", "x", "AOD", "n_snapshots"))
+
+
 @register("dropna_subset", "SELECT time, y, x, round(AOD, 6) AS AOD FROM daily_grid WHERE AOD IS NOT NULL")
 def _(t):
     return rounded(t.daily_grid.dropna(subset=["AOD"]).select("time", "y", "x", "AOD"))

@@ -81,6 +81,16 @@ def _(t):
         F.count("*").alias("n_rows"), F.sum("n_snapshots").alias("n_snapshots"))
 
 
+@register("sink_rewrite_partition", """
+    SELECT time, y, x, round(CASE WHEN dayofyear(time) = 9 THEN AOD * 2 ELSE AOD END, 6) AS AOD FROM daily_grid""")
+def _(t):
+    path = scratch_path(t.spark, "repaired")
+    sinks.write_grid(t.daily_grid.select("time", "y", "x", "AOD"), path)
+    damaged = grids.scan_grid(t.spark, path, nan=False).filter("doy = 9")
+    sinks.rewrite_partitions(damaged.withColumn("AOD", F.col("AOD") * 2), path, ["year", "doy"])
+    return rounded(grids.scan_grid(t.spark, path, nan=False).select("time", "y", "x", "AOD"))
+
+
 @register("sink_matched", """
     SELECT time, y, x, round(AOD, 6) AS AOD, n_snapshots FROM daily_grid WHERE AOD IS NOT NULL""")
 def _(t):

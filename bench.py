@@ -12,7 +12,7 @@ from airgrid.plans.catalog import QUERIES
 from airgrid.session import build_session
 
 HEADLINE = ["hourly_average", "daily_weighted_average", "seasonal_weighted_mean", "nearest_cell_join",
-            "mean_by_cell_day", "bilinear_regrid", "regrid_between_satellites", "point_in_polygon_join", "clip_to_region",
+            "mean_by_cell_day", "bilinear_regrid", "regrid_between_satellites", "matched_table", "point_in_polygon_join", "clip_to_region",
             "focal_mean", "regression_scores", "aqi_category_shares", "robust_limits", "boxplot_stats", "hexbin_counts",
             "kde_curve", "group_kfold", "kfold_assign", "ml_linear", "cross_val_linear", "grid_scoring"]
 

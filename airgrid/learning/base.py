@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
                              MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame
@@ -145,6 +144,3 @@ class EnsembleModel(Model, Supervised, MLReadable, MLWritable):
             names.append(name)
         return out, names
 
-
-__all__ = ["Column", "DataFrame", "EnsembleModel", "Estimator", "HasSeed", "LinearFormModel", "Model", "Param", "Params",
-           "Supervised", "TypeConverters", "feature_means", "keyword_only", "linear_expression", "moments", "summed"]

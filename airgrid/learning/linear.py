@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -14,7 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.learning.base import LinearFormModel, Supervised, feature_means, keyword_only, moments, summed
+from airgrid.learning.base import LinearFormModel, Supervised, feature_means, moments, summed
 
 
 def evidence_ridge(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, priors: tuple[float, float, float, float],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +16,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.learning.base import EnsembleModel, Supervised, keyword_only
+from airgrid.learning.base import EnsembleModel, Supervised
 from airgrid.session import materialise
 
 STAGES_PER_WRITE = 10  # in between, the weights of one stage are cached until the next has used them

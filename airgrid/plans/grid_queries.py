@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from airgrid.functions import calendar, optics, projection
+from airgrid.functions import optics, projection
 from airgrid.functions.projection import Geostationary
 from airgrid.operators import masking, matching, regions, regrid, temporal, training
 from airgrid.operators.binding import if_small, with_bound

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from airgrid.functions import calendar, text
 from airgrid.learning.collection import stacked
 from airgrid.operators import features, masking, summaries
-from airgrid.operators.binding import with_bound
 from airgrid.plans.catalog import register
 from airgrid.plans.text import rounded
 from airgrid.session import spread

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airgrid.plans.catalog import register
-from airgrid.plans.temporal_queries import DAILY, HOURLY
+from airgrid.plans.temporal_queries import HOURLY
 from airgrid.plans.text import rounded
 from airgrid.session import scratch_path
 from airgrid.streaming import incremental

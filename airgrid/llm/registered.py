@@ -1,3 +1,3 @@
 """Importing this module fills the catalog of training-data queries."""
 
-from airgrid.llm import chat, sharding  # noqa: F401
+from airgrid.llm import bpe, chat, sharding, token_output  # noqa: F401

@@ -8,6 +8,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+from airgrid.session import scratch_path
 
 _KEPT = "_kept_by_this_worker"
 
@@ -36,6 +39,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             begin = end
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read from there by all that follows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Memo(dict):
     """A dict that starts anew when full: its size bounds memory and never changes a result."""
 

@@ -1,3 +1,3 @@
 """Importing this module fills the catalog of training-data queries."""
 
-from airgrid.llm import bpe, chat, quality_rules, sharding, token_output  # noqa: F401
+from airgrid.llm import bpe, chat, quality_model, quality_rules, sharding, token_output  # noqa: F401

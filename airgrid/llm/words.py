@@ -70,14 +70,43 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """First byte, and byte after the last, of each word of a text's UTF-8 bytes."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
     if inside[-1]:
         edge = np.concatenate([edge, [len(data)]])
     return edge[0::2], edge[1::2]
+
+
+class Words:
+    """The words of several texts in one go.
+
+    ``names`` are the words' names, ``begins`` and ``ends`` their bytes in ``data``, ``first[k]`` the first word of text k
+    (``first[-1]`` the number of words).
+    """
+
+    def __init__(self, texts: list[bytes], family: int = 0, space: np.ndarray = SPACE, powers: Powers | None = None):
+        self.powers = powers or Powers(family)
+        self.data = np.frombuffer(b"\n".join(texts), np.uint8)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.begins, self.ends = word_bounds(self.data, space)
+        self.first = np.searchsorted(self.begins, np.append(self.starts, len(self.data) + 1))
+        self.names = Sums(byte_values(family)[self.data], self.powers).names(self.begins, self.ends)
+
+    def text_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), np.diff(self.first))
+
+    def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and names of all runs of ``length`` words of one text."""
+        n = len(self.names) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        text = self.text_of_word()
+        begins = np.flatnonzero(text[:n] == text[length - 1:])
+        return begins, Sums(self.names, self.powers).names(begins, begins + length)

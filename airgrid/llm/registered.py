@@ -1,3 +1,3 @@
 """Importing this module fills the catalog of training-data queries."""
 
-from airgrid.llm import bpe, chat, near_dedup, quality_model, quality_rules, sharding, tiling, token_output  # noqa: F401
+from airgrid.llm import bpe, chat, near_dedup, quality_model, quality_rules, sharding, suffix_dedup, tiling, token_output  # noqa: F401

@@ -9,16 +9,17 @@ draws, at a cost near the size of the set.  Sets that share a band of the sketch
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airgrid.llm.catalog import register, table
 from airgrid.llm.components import components
 from airgrid.llm.tasks import slices, stored
+from airgrid.llm.tiles import text_key
 from airgrid.llm.words import BASES, Powers, Sums, Words, mixed
 
 BANDS, BAND_ROWS = 40, 5  # a pair at similarity 0.8 shares no band with a probability of 1.3e-7
@@ -79,7 +80,8 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null without words) and, for the first row of a set in a batch, its bands."""
+    """The other columns, n_shingles, set_key (null without words) and, for the first row of a set in a batch, its bands."""
+    keep = [c for c in docs.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0)
@@ -92,10 +94,11 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
             for i, b in zip(rows, band_keys(sketches([sets[i] for i in rows]))):
                 bands[i] = b
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"])
+                [*[batch.column(c) for c in keep], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                [*keep, "n_shingles", "set_key", "bands"])
 
-    return docs.select("doc_id", "_text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.mapInArrow(run, f"{kinds}, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -127,7 +130,31 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``; see ``placed_documents``."""
+    return placed_documents(docs, words, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one that is first by doc_id (null last) and text.
+
+    Rows without words are components of their own; rows equal in doc_id and text count as one.
+    """
+    made = {"_key", "_component", "_id", "_text_key", "_row"}
+    if clash := made & set(docs.columns):
+        raise ValueError(f"columns made here are there already: {clash}")
+    keyed = docs.withColumn("_key", text_key(F.coalesce("text", F.lit(""))))
+    rows = placed_documents(keyed.select("doc_id", "text", "_key"), words, percent, ["_key"])
+    name = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("_id"), F.col("_key").alias("_text_key"))
+    grouped = rows.filter("_part is not null").groupBy("_part").agg(F.min(name).alias("first")).select("first.*")
+    alone = rows.filter("_part is null").select(name.alias("first")).distinct().select("first.*")
+    first = grouped.union(alone).select("_id", "_text_key")
+    order = Window.partitionBy("doc_id", "_key").orderBy(F.xxhash64(*docs.columns))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
+    return keyed.join(first, same, "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
+
+
+def placed_documents(docs: DataFrame, words: int = 5, percent: int = 80, extra: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, extra, n_shingles, component_id, kept`` and ``_part``, null without words, for every row of ``docs(doc_id, text)``.
 
     Sets are distinct shingles of ``words`` words, A to Z in lower case.  Equal sets are linked by their key, different ones
     by shared bands and their whole sets.  A component's id is its smallest doc_id; a row is kept if it has that id.  Rows
@@ -137,7 +164,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Copies meet in an aggregate and never as pairs.  Within a bucket every set meets its first one; only sets of a bucket
     that are not yet connected meet the others, the smaller parts against the largest.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text"))
     rows = stored(_sketched(texts, words), "sketches")
     distinct = rows.filter("bands is not null").groupBy("set_key").agg(F.first("bands").alias("bands"), F.max("n_shingles").alias("n"))
     banded = stored(distinct.select("set_key", "n", F.explode("bands").alias("band")), "bands")
@@ -156,12 +183,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     part = components(links)
     rest = _confirmed(_across(shared, part, stars, percent), sets, percent)
     part = components(links.union(rest))
-    named = rows.select("doc_id", "n_shingles", "set_key").join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
+    named = rows.drop("bands").join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "_part", F.coalesce("component", "set_key"))
     smallest = named.filter("_part is not null").groupBy("_part").agg(F.min("doc_id").alias("_least"))
-    out = named.select("doc_id", "n_shingles", F.col("_part").alias("_p")).join(smallest, F.col("_p") == F.col("_part"), "left")
-    component = F.when(F.col("_p").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = named.join(smallest.withColumnRenamed("_part", "_p"), F.col("_p") == F.col("_part"), "left")
+    component = F.when(F.col("_part").isNull(), F.col("doc_id")).otherwise(F.col("_least"))
+    return out.select("doc_id", *extra, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "_part")
 
 
 def _across(shared: DataFrame, part: DataFrame, done: DataFrame, percent: int) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm.catalog import register, table
-from airgrid.llm.tasks import stored
+from airgrid.llm.tasks import slices, stored
 from airgrid.llm.tiles import (NO_ID, QUESTION, Tiles, answered, bits_of, bucket_of, build_tiles, difference_cover_places, held_elsewhere,
-                               low_bytes, marked, questions)
+                               low_bytes, marked, questions, text_key)
 from airgrid.llm.words import Powers, Sums, byte_values
 
 LENGTH = 200  # bytes
@@ -149,6 +149,26 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     return members.join(summed, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``text`` less its repeated strings; characters cut in two go as well.
+
+    No row goes: a text that is repeated as a whole is left empty.
+    """
+    if "_key" in docs.columns:
+        raise ValueError("column _key is made here")
+    cut, _, tiles = remove_repeats(docs.select("doc_id", "text"))
+    tiles.close()  # its files stay
+
+    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "kept"):
+            texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["_key", "_kept"])
+
+    left = cut.select("key", "kept").mapInArrow(whole_characters, "_key binary, _kept string")
+    rows = docs.withColumn("_key", text_key(F.coalesce("text", F.lit("")))).drop("text")
+    return rows.join(left, "_key").select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+
+
 @register("op9_difference_cover")
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))

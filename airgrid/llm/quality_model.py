@@ -151,7 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id").select(
         order.alias("key"), "text", "label")
-    row = texts.repartition(1).mapInPandas(fitted, "weights binary, ratios binary, bias double, slope double, shift double").first()
+    rows = texts.repartition(1).mapInPandas(fitted, "weights binary, ratios binary, bias double, slope double, shift double").head(1)
+    if not rows:  # no task had a row
+        return fit([], [])
+    row = rows[0]
     return Model(np.frombuffer(row.weights, np.float32), np.frombuffer(row.ratios, np.float32), row.bias, row.slope, row.shift)
 
 

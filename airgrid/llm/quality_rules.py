@@ -78,7 +78,7 @@ def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
 def bucket(x: Column) -> Column:
     """Bucket of a non-negative integer: itself below 64, else by its highest bit and the five bits below."""
     shift = F.length(F.bin(x)) - 6
-    return F.when(x < 64, x).otherwise((shift + 1) * 32 + F.floor(x / F.pow(F.lit(2), shift))).cast("int")
+    return F.when(x < 64, x).otherwise(shift * 32 + F.floor(x / F.pow(F.lit(2), shift))).cast("int")
 
 
 def upper(b: Column) -> Column:
@@ -172,7 +172,7 @@ SQL_RULES = f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang,
         n_symbols * 1000 // greatest(word_chars, 1) AS symbol_rate, n_dup_lines * 1000 // greatest(n_words, 1) AS dup_line_rate,
         n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 1000 // greatest(n_words, 1) AS word_length FROM measured),
     valued AS (UNPIVOT (SELECT lang, source, {', '.join(METRICS)} FROM rated) ON {', '.join(METRICS)} INTO NAME metric VALUE x),
-    finest AS (SELECT lang, source, metric, CASE WHEN x < 64 THEN x ELSE (length(to_base(x, 2)) - 5) * 32
+    finest AS (SELECT lang, source, metric, CASE WHEN x < 64 THEN x ELSE (length(to_base(x, 2)) - 6) * 32
         + (x >> (length(to_base(x, 2)) - 6)) END AS bucket, count(*) AS n FROM valued GROUP BY ALL),
     by_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM finest GROUP BY ALL),
     everywhere AS (SELECT metric, bucket, sum(n) AS n FROM by_lang GROUP BY ALL),

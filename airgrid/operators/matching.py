@@ -19,6 +19,10 @@ from airgrid.operators.binding import if_small, with_bound
 from airgrid.operators.ranking import per_range, with_ranges
 
 
+EVEN_WITHIN = 1e-6  # of a step, how far a node may be off its place
+TIME_CHUNKS = 64
+
+
 @dataclass(frozen=True)
 class RegularAxis:
     """Equally spaced coordinate: value = origin + step * index, 0 <= index < size."""
@@ -29,10 +33,17 @@ class RegularAxis:
 
     @classmethod
     def of(cls, grid: DataFrame, index: str, value: str) -> RegularAxis:
-        """Read the axis off a table that carries both index and coordinate (one small aggregate)."""
-        first, last, low, high = grid.agg(
-            F.min(index), F.max(index), F.min_by(value, index), F.max_by(value, index)).first()
+        """Read the axis off a table that carries both index and coordinate: one row per node comes to the driver.
+
+        Raises ValueError where the nodes are not evenly spaced; ``nearest_on_axis`` serves such an axis.
+        """
+        nodes = sorted(tuple(r) for r in grid.groupBy(index).agg(F.min(value), F.max(value)).collect() if None not in r)
+        if not nodes:
+            raise ValueError(f"no nodes in {index}, {value}")
+        (first, low, _), (last, high, _) = nodes[0], nodes[-1]
         step = (high - low) / (last - first) if last > first else 1.0
+        if any(max(abs(v - low - (i - first) * step) for v in ends) > EVEN_WITHIN * abs(step) for i, *ends in nodes):
+            raise ValueError(f"{value} is not evenly spaced along {index}")
         return cls(low - first * step, step, last + 1)
 
     def position(self, value: Column) -> Column:
@@ -40,8 +51,9 @@ class RegularAxis:
         return (value - F.lit(self.origin)) / F.lit(self.step)
 
     def nearest(self, value: Column) -> Column:
-        """Index of the nearest node, possibly outside the axis."""
-        return F.floor(self.position(value) + 0.5).cast("int")
+        """Index of the nearest node, possibly outside the axis; halfway, that of the larger node."""
+        position = self.position(value)
+        return (F.floor(position + 0.5) if self.step > 0 else F.ceil(position - 0.5)).cast("int")
 
     def nearest_clamped(self, value: Column) -> Column:
         return F.least(F.greatest(self.nearest(value), F.lit(0)), F.lit(self.size - 1))
@@ -110,7 +122,7 @@ def nearest_node_join(points: DataFrame, nodes: DataFrame, lon_axis: RegularAxis
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, node: str) -> DataFrame:
-    """Nearest node of an unevenly spaced axis (ties go to the lower node), as column ``node``.
+    """Nearest node of an unevenly spaced axis (ties go to the larger node), as column ``node``.
 
     Nodes and the distinct places are ordered together in key ranges.  Within a
     range, running windows find the node before and after each place; across
@@ -131,12 +143,22 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, node: str) -
     low = F.coalesce(here.over(Window.partitionBy("_range").orderBy("v").rangeBetween(*running)), F.col("below"))
     high = F.coalesce(here.over(Window.partitionBy("_range").orderBy(F.desc("v")).rangeBetween(*running)), F.col("above"))
     nearest = (F.when(F.col("low").isNull(), F.col("high")).when(F.col("high").isNull(), F.col("low"))
-               .when(F.col("v") - F.col("low") <= F.col("high") - F.col("v"), F.col("low")).otherwise(F.col("high")))
+               .when(F.col("v") - F.col("low") < F.col("high") - F.col("v"), F.col("low")).otherwise(F.col("high")))
     lookup = (carried.withColumns({"low": low, "high": high}).filter(~F.col("is_node"))
               .select(F.col("v").alias("_v"), nearest.alias(node)))
     return (points.withColumn("_v", F.col(value).cast("double")).join(if_small(lookup), "_v", "left").drop("_v"))
 
 
+def nearest_node_and_time(points: DataFrame, nodes: DataFrame, lon_axis: RegularAxis, lat_axis: RegularAxis, values: Sequence[str],
+                          time: str = "time", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Join to the nearest node at the nearest time the nodes have, as ``node_time``; halfway, the later one."""
+    seconds = F.col(time).cast("timestamp").cast("double")
+    times = nodes.select(seconds.alias("_node_s")).distinct()
+    near = nearest_on_axis(points.withColumn("_s", seconds), times, "_s", "_node_s").drop("_s")
+    return nearest_node_join(near, nodes.withColumn("_node_s", seconds).withColumnRenamed(time, "node_time"), lon_axis, lat_axis,
+                             ["_node_s"], ["node_time", *values], lon, lat).drop("_node_s")
+
+
 def mean_per_cell(points: DataFrame, value: str, on: Sequence[str] = ("time",)) -> DataFrame:
     """Mean of all readings that fall into a cell (a mean of readings, not of site means)."""
     return (points.filter(F.col("cell_y").isNotNull())
@@ -211,14 +233,13 @@ def focal_mean(points: DataFrame, grid: DataFrame, values: Sequence[str], by: Se
 
 def focal_has_data(points: DataFrame, grid: DataFrame, value: str, reach: int = 3) -> DataFrame:
     """The distinct point cells with any value in the square of cells around them."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    around = (points.select("y", "x").distinct()
-              .withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
-              .select(F.col("y").alias("point_y"), F.col("x").alias("point_x"),
-                      (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")))
+    def widened(cells: DataFrame, axis: str) -> DataFrame:
+        there = F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach)).alias(axis)
+        return cells.select(*[there if c == axis else c for c in cells.columns]).distinct()
+
+    # the filled cells grow along one axis, meet themselves again, and grow along the other
     filled = grid.filter(F.col(value).isNotNull()).select("y", "x").distinct()
-    return (around.join(filled, ["y", "x"], "left_semi").select(F.col("point_y").alias("y"), F.col("point_x").alias("x"))
-            .distinct())
+    return points.select("y", "x").distinct().join(widened(widened(filled, "y"), "x"), ["y", "x"], "left_semi")
 
 
 def files_for_tiles(files: DataFrame, points: DataFrame, lon: str, lat: str, tile: str = "tile") -> DataFrame:
@@ -229,8 +250,11 @@ def files_for_tiles(files: DataFrame, points: DataFrame, lon: str, lat: str, til
 
 
 def densify_grid(field: DataFrame, cells: DataFrame, time: str = "time") -> DataFrame:
-    """The dense form of a sparse field: every cell at every time that occurs."""
-    low, high = field.agg(F.min(time), F.max(time)).first()
-    present = if_small(field.select(time).distinct())
-    spine = cells.withColumn(time, F.explode(F.sequence(F.lit(low), F.lit(high), F.expr("INTERVAL 1 DAY"))))
-    return spine.join(present, time, "left_semi").join(field, [time, "y", "x"], "left")
+    """The dense form of a sparse field: every cell at every time that occurs.
+
+    The distinct times are dealt to a fixed number of chunks, and cells meet the chunks by key.
+    """
+    times = field.filter(F.col(time).isNotNull()).select(time).distinct().withColumn("_chunk", F.pmod(F.hash(time), F.lit(TIME_CHUNKS)))
+    chunks = if_small(times.groupBy("_chunk").agg(F.collect_list(time).alias("_times")), F.size("_times"))
+    spine = cells.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(TIME_CHUNKS - 1)))).join(chunks, "_chunk")
+    return spine.withColumn(time, F.explode("_times")).drop("_chunk", "_times").join(field, [time, "y", "x"], "left")

@@ -123,6 +123,10 @@ def histogram_right_closed(df: DataFrame, column: str, n_bins: int) -> DataFrame
     The first bin also holds the smallest value.  ``density`` integrates to one.
     """
     low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, n bigint, density double")
+    if low == high:
+        low, high = low - 0.5, high + 0.5  # one value: a unit range around it
     width = (high - low) / n_bins
     number = F.least(F.greatest(F.ceil((F.col(column) - low) / width), F.lit(1)), F.lit(n_bins)).cast("int") - 1
     counted = df.filter(F.col(column).isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
@@ -139,7 +143,9 @@ def hexbin_counts(df: DataFrame, x: str, y: str, grid_size: int = 100,
     if extent is None:
         extent = tuple(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
                        .agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
-    x0, x1, y0, y1 = extent
+    if extent[0] is None:
+        return df.sparkSession.createDataFrame([], "center_x double, center_y double, n bigint, log_n double")
+    x0, x1, y0, y1 = (w for a, b in (extent[:2], extent[2:]) for w in ((a, b) if a < b else (a - 0.5, b + 0.5)))
     sx, sy = (x1 - x0) / grid_size, (y1 - y0) / int(grid_size / math.sqrt(3))
     scaled = df.select(((F.col(x) - x0) / sx).alias("ix"), ((F.col(y) - y0) / sy).alias("iy")).dropna()
     centres = scaled.withColumns({"ax": F.floor(F.col("ix") + 0.5).cast("double"), "ay": F.floor(F.col("iy") + 0.5).cast("double"),
@@ -157,11 +163,14 @@ def hexbin_counts(df: DataFrame, x: str, y: str, grid_size: int = 100,
                     "n", F.log10(F.col("n") + 1).alias("log_n")))
 
 
-def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop: float, points: int) -> DataFrame:
+def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop: float, points: int,
+              bandwidths: float | None = KERNEL_REACH) -> DataFrame:
     """Gaussian kernel density on an even grid of ``points`` from ``start`` to ``stop``, per group.
 
-    Bandwidth is the sample deviation times n^(-1/5).  A value meets only the
-    grid points its kernel reaches, and bandwidths shrink as data grow, so the
+    Bandwidth is the sample deviation times n^(-1/5); a group without spread has
+    no density, and its rows are null.  A value meets only the grid points within
+    ``bandwidths`` (beyond the default the kernel is under double precision of
+    its peak; None means all points), and bandwidths shrink as data grow, so the
     work per value falls with scale.  The sums combine on the map side: what is
     shuffled is one row per group, grid point and task.
     """
@@ -169,17 +178,20 @@ def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop:
     stats = if_small(df.groupBy(*by).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).withColumn(
         "h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))))
     spread = df.select(*by, F.col(value).alias("v")).filter("v IS NOT NULL").join(stats, list(by))
-    reach = F.col("h") * KERNEL_REACH
-    first = F.greatest(F.ceil((F.col("v") - reach - start) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor((F.col("v") + reach - start) / step), F.lit(points - 1)).cast("int")
+    if bandwidths is None:
+        first, last = F.lit(0), F.lit(points - 1)
+    else:
+        reach = F.col("h") * bandwidths
+        first = F.greatest(F.ceil((F.col("v") - reach - start) / step), F.lit(0)).cast("int")
+        last = F.least(F.floor((F.col("v") + reach - start) / step), F.lit(points - 1)).cast("int")
     met = spread.select(*by, "v", "h", first.alias("a"), last.alias("b")).filter("a <= b").select(
         *by, "v", "h", F.explode(F.sequence("a", "b")).alias("k"))
-    z = (F.lit(start) + F.col("k") * step - F.col("v")) / F.col("h")
+    z = (F.lit(start) + F.col("k") * step - F.col("v")) / F.nullif(F.col("h"), F.lit(0.0))
     sums = met.groupBy(*by, "k").agg(F.sum(F.exp(z * z * -0.5)).alias("mass"))
     grid = stats.select(*by, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     return grid.join(sums, [*by, "k"], "left").select(
         *by, (F.lit(start) + F.col("k") * step).alias("x"),
-        (F.coalesce("mass", F.lit(0.0)) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+        (F.coalesce("mass", F.lit(0.0)) / F.nullif(F.col("n") * F.col("h") * math.sqrt(2 * math.pi), F.lit(0.0))).alias("density"))
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -263,18 +275,24 @@ def top_models(scores: DataFrame, criterion: str, n: int = 3) -> DataFrame:
     return scores.orderBy(F.desc(criterion) if criterion == "r2" else F.asc(criterion), "model").limit(n)
 
 
-def top_features(importances: DataFrame, k: int, model: str = "model", feature: str = "feature",
+def top_features(importances: DataFrame, k: int | None = None, model: str = "model", feature: str = "feature",
                  importance: str = "importance") -> DataFrame:
-    """The ``k`` most important features of each model, ranked."""
+    """The ``k`` most important features of each model, or all of them, ranked."""
     order = Window.partitionBy(model).orderBy(F.desc(importance), feature)
-    return importances.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = importances.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def added_features(sets: DataFrame, model: str = "model", step: str = "step", features: str = "features") -> DataFrame:
-    """What each step of a nested selection adds to the step before it."""
-    before = F.lag(features).over(Window.partitionBy(model).orderBy(step))
-    added = F.array_except(F.col(features), F.coalesce(before, F.array().cast("array<string>")))
-    return sets.withColumn("added", F.array_join(F.array_sort(added), ","))
+    """What each step of a nested selection adds to the steps before it: (model, step, added), names joined by commas.
+
+    A feature is added at the first step that has it, so sets need not repeat what earlier ones hold: giving each
+    feature once, at its own step, is enough.  Steps that add nothing come out empty.
+    """
+    first = sets.select(model, step, F.explode(features).alias("_feature")).groupBy(model, "_feature").agg(F.min(step).alias(step))
+    added = first.groupBy(model, step).agg(F.array_join(F.array_sort(F.collect_list("_feature")), ",").alias("added"))
+    steps = sets.select(model, step).distinct()
+    return steps.join(added, [model, step], "left").select(model, step, F.coalesce("added", F.lit("")).alias("added"))
 
 
 def reindexed(df: DataFrame, key: str, labels: dict[str, str]) -> DataFrame:

@@ -94,7 +94,7 @@ def _(t):
 
 
 def region_rings(t):
-    return regions.rings(t.region_vertices)
+    return regions.rings(t.region_vertices, part="part")
 
 
 @register("region_bounds", """

@@ -209,13 +209,28 @@ def _(t):
     return rounded(joined.select("time", "latitude", "longitude", "value", "i", "j", "t2m"))
 
 
+@register("nearest_node_and_time", f"""WITH {MET_AXES}, {SITE_DAYS}, days AS (SELECT DISTINCT time AS node_time FROM met_daily),
+    low AS (SELECT s.*, d.node_time AS lo FROM site_days s ASOF LEFT JOIN days d ON s.time >= d.node_time),
+    both_sides AS (SELECT l.*, d.node_time AS hi FROM low l ASOF LEFT JOIN days d ON l.time <= d.node_time),
+    near AS (SELECT * EXCLUDE (lo, hi), CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo
+        WHEN time - lo < hi - time THEN lo ELSE hi END AS node_time FROM both_sides)
+    SELECT n.time, node_time, latitude, longitude, round(value, 6) AS value, round(t2m, 6) AS t2m
+    FROM near n CROSS JOIN met_axes LEFT JOIN met_daily m ON m.time = node_time
+      AND m.i = least(greatest(CAST(floor((latitude - lat0) / dlat + 5e-1) AS INT), 0), ni - 1)
+      AND m.j = least(greatest(CAST(floor((longitude - lon0) / dlon + 5e-1) AS INT), 0), nj - 1)""")
+def _(t):
+    lon_axis, lat_axis = met_axes(t)
+    joined = matching.nearest_node_and_time(site_days(t), t.met_daily, lon_axis, lat_axis, ["t2m"], "time", "longitude", "latitude")
+    return rounded(joined.select("time", "node_time", "latitude", "longitude", "value", "t2m"))
+
+
 @register("nearest_axis_asof", """
     WITH sites AS (SELECT DISTINCT latitude FROM monitors),
     axis AS (SELECT DISTINCT lat * lat / 5e1 AS node FROM met_daily),
     before AS (SELECT latitude, node AS lo FROM sites ASOF LEFT JOIN axis ON latitude >= node),
     both_sides AS (SELECT latitude, lo, node AS hi FROM before ASOF LEFT JOIN axis ON latitude <= node)
     SELECT latitude, round(CASE WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo
-                                WHEN latitude - lo <= hi - latitude THEN lo ELSE hi END, 6) AS node FROM both_sides""")
+                                WHEN latitude - lo < hi - latitude THEN lo ELSE hi END, 6) AS node FROM both_sides""")
 def _(t):
     axis = t.met_daily.select((F.col("lat") * F.col("lat") / 50.0).alias("node"))
     sites = t.monitors.select("latitude").distinct()
@@ -262,8 +277,9 @@ def _(t):
     return rounded(grid.join(other, ["time", "y", "x"], "full"))
 
 
+# two products that overlap and together hold every row
 PRODUCT_A = "SELECT time, lat, lon, avg(DUSMASS25) * 1e9 AS dust, avg(BCSMASS) * 1e9 AS carbon FROM aerosol WHERE lat < 4 GROUP BY 1, 2, 3"
-PRODUCT_B = "SELECT time, lat, lon, avg(SSSMASS25) * 1e9 AS salt FROM aerosol WHERE lon > 0 GROUP BY 1, 2, 3"
+PRODUCT_B = "SELECT time, lat, lon, avg(SSSMASS25) * 1e9 AS salt FROM aerosol WHERE lon > 0 OR lat >= 4 GROUP BY 1, 2, 3"
 
 
 @register("merge_products", f"""WITH a AS ({PRODUCT_A}), b AS ({PRODUCT_B})
@@ -274,7 +290,7 @@ def _(t):
         return df.groupBy("time", "lat", "lon").agg(*[(F.avg(c) * 1e9).alias(n) for c, n in columns.items()])
 
     first = product(t.aerosol.filter("lat < 4"), {"DUSMASS25": "dust", "BCSMASS": "carbon"})
-    second = product(t.aerosol.filter("lon > 0"), {"SSSMASS25": "salt", "SO4SMASS": "carbon"})
+    second = product(t.aerosol.filter("lon > 0 OR lat >= 4"), {"SSSMASS25": "salt", "SO4SMASS": "carbon"})
     return rounded(matching.merge_products([first, second], ["time", "lat", "lon"]))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airgrid.functions import calendar, text
@@ -282,9 +281,10 @@ def _(t):
 @register("incremental_features", f"""WITH {IMPORTANCES}
     SELECT model, CAST(rank AS INT) AS step, feature AS added FROM ranked""")
 def _(t):
-    ranked = summaries.top_features(importances(t), 1000)
-    upto = Window.partitionBy("model").orderBy("rank")
-    sets = ranked.select("model", F.col("rank").alias("step"), F.collect_list("feature").over(upto).alias("features"))
+    # a set differs from the one before it by one feature, and repeats at least the one before that
+    ranked = summaries.top_features(importances(t)).select("model", "rank", "feature")
+    held = ranked.union(ranked.select("model", (F.col("rank") + 1).alias("rank"), "feature").join(ranked.select("model", "rank"), ["model", "rank"], "left_semi"))
+    sets = held.groupBy("model", F.col("rank").alias("step")).agg(F.collect_list("feature").alias("features"))
     return summaries.added_features(sets).select("model", "step", "added")
 
 

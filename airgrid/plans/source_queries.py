@@ -160,9 +160,15 @@ def _(t):
     SELECT name, count(*) AS n_vertices, round(min(lon), 6) AS minx, round(max(lat), 6) AS maxy FROM region_vertices GROUP BY 1""")
 def _(t):
     path = scratch_path(t.spark, "regions")
-    outline = F.array(F.transform("ring", lambda p: F.array(p["lon"], p["lat"])))
+    # the outline and its hole are one polygon of a feature, the part beside it another
+    rings = t.region_vertices.groupBy("name", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.array(p["lon"], p["lat"])).alias("ring"))
+    by_part = F.map_from_entries(F.collect_list(F.struct("part", "ring")))
+    shapes = rings.groupBy("name").agg(by_part.alias("r")).select("name", F.array(
+        F.array(F.col("r")[0], F.col("r")[1]), F.array(F.col("r")[2])).alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct("name").alias("properties"),
-                       F.struct(F.lit("Polygon").alias("type"), outline.alias("coordinates")).alias("geometry"))
-    regions.rings(t.region_vertices).select(F.to_json(feature).alias("value")).write.text(path)
+                       F.struct(F.lit("MultiPolygon").alias("type"), "coordinates").alias("geometry"))
+    shapes.select(F.to_json(feature).alias("value")).write.text(path)
     loaded = regions.with_bounds(stations.load_regions(t.spark, path, lines=True))
-    return rounded(loaded.select("name", F.size("ring").cast("bigint").alias("n_vertices"), "minx", "maxy"))
+    vertices = F.size(F.filter("ring", lambda p: p["lon"].isNotNull()))
+    return rounded(loaded.select("name", vertices.cast("bigint").alias("n_vertices"), "minx", "maxy"))

@@ -46,7 +46,7 @@ MET_AXES = """met_axes AS (
 # edges of the region rings
 EDGES = """edges AS (
   SELECT a.name, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2
-  FROM region_vertices a JOIN region_vertices b ON a.name = b.name AND b.k = a.k + 1)"""
+  FROM region_vertices a JOIN region_vertices b ON a.name = b.name AND a.part = b.part AND b.k = a.k + 1)"""
 
 
 def inside_pairs(points: str, keys: str, lon: str, lat: str) -> str:

@@ -80,12 +80,15 @@ VIEWS: dict[str, str] = {
                l_quantity / 1e9 AS DUSMASS25, l_tax / 9.89e8 AS SSSMASS25, l_discount / 9.97e8 AS BCSMASS,
                CASE WHEN l_linenumber <> 7 THEN l_extendedprice / 9.973e12 END AS OCSMASS, l_quantity / 2e9 AS SO4SMASS
         FROM {lineitem}""",
-    # one closed concave ring (an L) per supplier
+    # a region per supplier: an L with a rectangular hole, and a second part beside it
     "region_vertices": """
-        SELECT concat('R', CAST(s_suppkey AS STRING)) AS name, k,
-               -119e0 + (s_suppkey * 11) % 43 + (1e0 + s_suppkey % 4) * CASE WHEN k IN (1, 2) THEN 2e0 WHEN k IN (3, 4) THEN 1e0 ELSE 0e0 END AS lon,
-               25.7e0 + (s_suppkey * 5) % 21 + (5e-1 + s_suppkey % 3) * CASE WHEN k IN (2, 3) THEN 1e0 WHEN k IN (4, 5) THEN 2e0 ELSE 0e0 END AS lat
-        FROM (SELECT s_suppkey, [seven_vertices] AS k FROM {supplier}) AS s""",
+        SELECT concat('R', CAST(s_suppkey AS STRING)) AS name, k, CASE WHEN k < 7 THEN 0 WHEN k < 12 THEN 1 ELSE 2 END AS part,
+               -119e0 + (s_suppkey * 11) % 43 + (1e0 + s_suppkey % 4) * CASE WHEN k IN (1, 2) THEN 2e0 WHEN k IN (3, 4) THEN 1e0
+                   WHEN k IN (7, 10, 11) THEN 25e-2 WHEN k IN (8, 9) THEN 15e-1 WHEN k IN (12, 15, 16) THEN 22e-1
+                   WHEN k IN (13, 14) THEN 3e0 ELSE 0e0 END AS lon,
+               25.7e0 + (s_suppkey * 5) % 21 + (5e-1 + s_suppkey % 3) * CASE WHEN k IN (2, 3) THEN 1e0 WHEN k IN (4, 5) THEN 2e0
+                   WHEN k IN (7, 8, 11) THEN 2e-1 WHEN k IN (9, 10) THEN 8e-1 WHEN k IN (14, 15) THEN 17e-1 ELSE 0e0 END AS lat
+        FROM (SELECT s_suppkey, [seventeen_vertices] AS k FROM {supplier}) AS s""",
     # folds by model
     "cv_scores": """
         SELECT CASE p_partkey % 4 WHEN 0 THEN 'linear' WHEN 1 THEN 'poly' WHEN 2 THEN 'forest' ELSE 'trees' END AS model,
@@ -97,11 +100,11 @@ VIEWS: dict[str, str] = {
 _DIALECT = {
     "spark": {
         "five_days": "explode(array(0, 1, 2, 3, 4))",
-        "seven_vertices": "explode(array(0, 1, 2, 3, 4, 5, 6))",
+        "seventeen_vertices": "explode(sequence(0, 16))",
     },
     "duckdb": {
         "five_days": "unnest([0, 1, 2, 3, 4])",
-        "seven_vertices": "unnest([0, 1, 2, 3, 4, 5, 6])",
+        "seventeen_vertices": "unnest(range(0, 17))",
     },
 }
 

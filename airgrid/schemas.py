@@ -20,7 +20,8 @@ PHOTOMETER_NAMES = {"AERONET_Site_Name": "site", "Site_Latitude(Degrees)": "lat"
                     "Date(dd:mm:yyyy)": "day", "Time(hh:mm:ss)": "clock", "AOD_675nm": "AOD_675",
                     "440-675_Angstrom_Exponent": "AE"}
 
+# coordinates stay text until the type of the geometry says how deep they are nested
 GEOJSON = ("type string, features array<struct<type: string, properties: map<string, string>, "
-           "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>")
-FEATURE = ("type string, properties map<string, string>, "
-           "geometry struct<type: string, coordinates: array<array<array<double>>>>")
+           "geometry: struct<type: string, coordinates: string>>>")
+FEATURE = "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
+RINGS = {"Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid import schemas
-from airgrid.functions import calendar
+from airgrid.functions import calendar, polygons
 from airgrid.operators.binding import if_small
 
 
@@ -64,16 +64,25 @@ def explode_payload(spark: SparkSession, path: str, schema: str, field: str = "D
     return payload.select(F.inline(field))
 
 
-def _regions(features: DataFrame, name: str) -> DataFrame:
-    # the outer ring of each polygon
-    return features.filter(F.col("geometry.type") == "Polygon").select(
-        F.col("properties")[name].alias("name"), "properties",
-        F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).alias("ring"))
+def _features(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    if lines:
+        return spark.read.schema(schemas.FEATURE).json(path)
+    return spark.read.schema(schemas.GEOJSON).option("multiLine", True).json(path).select(F.inline("features"))
 
 
 def load_regions(spark: SparkSession, path: str, name: str = "name", lines: bool = False) -> DataFrame:
-    """Regions from GeoJSON: a feature collection per file, or one feature per line."""
-    if lines:
-        return _regions(spark.read.schema(schemas.FEATURE).json(path), name)
-    collection = spark.read.schema(schemas.GEOJSON).option("multiLine", True).json(path)
-    return _regions(collection.select(F.inline("features")), name)
+    """Regions from GeoJSON, a feature collection per file or one feature per line: polygons of one or many parts, with holes."""
+    features = _features(spark, path, lines)
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    parts = F.when(kind == "Polygon", F.from_json(text, schemas.RINGS["Polygon"])).when(
+        kind == "MultiPolygon", F.flatten(F.from_json(text, schemas.RINGS["MultiPolygon"])))
+    rings = F.transform(parts, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    return features.filter(kind.isin(*schemas.RINGS)).select(
+        F.col("properties")[name].alias("name"), "properties", polygons.outline(rings).alias("ring"))
+
+
+def other_features(spark: SparkSession, path: str, name: str = "name", lines: bool = False) -> DataFrame:
+    """Features that are no polygons, which ``load_regions`` can't take: name and type."""
+    kind = F.col("geometry.type")
+    return _features(spark, path, lines).filter(F.coalesce(~kind.isin(*schemas.RINGS), F.lit(True))).select(
+        F.col("properties")[name].alias("name"), kind.alias("type"))

@@ -78,3 +78,11 @@ def monotonic_axis(axis: DataFrame, by: Sequence[str], position: str, value: str
     step = F.col(value) - F.col("_before")
     return here.join(before, [*by, position]).groupBy(*by).agg(
         F.bool_and(step < 0).alias("decreasing"), F.count_if(step >= 0).alias("n_violations"))
+
+
+def with_falling_axis(axis: DataFrame, by: Sequence[str], position: str, value: str) -> DataFrame:
+    """Axes that rise from end to end are turned round: their positions count from the other end."""
+    ends = axis.groupBy(*by).agg(F.min(position).alias("_first"), F.max(position).alias("_last"),
+                                 (F.min_by(value, position) < F.max_by(value, position)).alias("_rises"))
+    turned = F.when(F.col("_rises"), F.col("_first") + F.col("_last") - F.col(position)).otherwise(F.col(position))
+    return axis.join(ends, list(by)).withColumn(position, turned).select(*axis.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airgrid.operators.binding import if_small
-from airgrid.operators.ranking import with_running_total
+from airgrid.operators.ranking import with_rank, with_running_total
 from airgrid.session import materialise
 
 # Air-quality breakpoints and categories, and the two-class guideline.
@@ -118,9 +118,14 @@ def histogram_from_zero(df: DataFrame, columns: Sequence[str], width: float) ->
 
 
 def histogram_right_closed(df: DataFrame, column: str, n_bins: int) -> DataFrame:
-    """``n_bins`` equal bins from the smallest to the largest value, closed on the right.
+    """As ``histogram``, closed on the right; the first bin also holds the smallest value."""
+    return histogram(df, column, n_bins, right=True)
 
-    The first bin also holds the smallest value.  ``density`` integrates to one.
+
+def histogram(df: DataFrame, column: str, n_bins: int, right: bool = False) -> DataFrame:
+    """``n_bins`` equal bins from the smallest to the largest value, closed on the left; the last also holds the largest value.
+
+    ``density`` integrates to one.  A single value gets a unit range around it; no values, no rows.
     """
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
@@ -128,7 +133,8 @@ def histogram_right_closed(df: DataFrame, column: str, n_bins: int) -> DataFrame
     if low == high:
         low, high = low - 0.5, high + 0.5  # one value: a unit range around it
     width = (high - low) / n_bins
-    number = F.least(F.greatest(F.ceil((F.col(column) - low) / width), F.lit(1)), F.lit(n_bins)).cast("int") - 1
+    position = (F.col(column) - low) / width
+    number = F.least(F.greatest(F.ceil(position) - 1 if right else F.floor(position), F.lit(0)), F.lit(n_bins - 1)).cast("int")
     counted = df.filter(F.col(column).isNotNull()).groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     total = df.agg(F.count(column)).first()[0]
@@ -270,6 +276,18 @@ def residual_quantiles(df: DataFrame, truth: str, prediction: str, by: Sequence[
     return q.select(*by, F.inline(rows))
 
 
+def residual_points(df: DataFrame, truth: str, prediction: str, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Every residual with its plotting position (rank - 1/2) / n among those of its group: all points of a Q-Q plot.
+
+    ``keys`` tell rows apart, so that ranks are total; rows are ranked over key ranges, not gathered by group.
+    """
+    residuals = df.select(*by, (F.col(prediction) - F.col(truth)).alias("residual"), *keys).filter("residual IS NOT NULL")
+    ranked = with_rank(residuals, [*by, "residual", *keys])
+    groups = if_small(ranked.groupBy(*by).agg(F.min("rank").alias("_first"), F.count("*").alias("_n")))
+    return ranked.join(groups, list(by)).select(
+        *by, *keys, "residual", ((F.col("rank") - F.col("_first") + 0.5) / F.col("_n")).alias("probability"))
+
+
 def top_models(scores: DataFrame, criterion: str, n: int = 3) -> DataFrame:
     """The best models: highest R2, or lowest MAE or RMSE."""
     return scores.orderBy(F.desc(criterion) if criterion == "r2" else F.asc(criterion), "model").limit(n)

@@ -11,7 +11,7 @@ from airgrid.functions.projection import Geostationary
 from airgrid.operators import masking, matching, regions, regrid, temporal, training
 from airgrid.operators.binding import if_small, with_bound
 from airgrid.operators.matching import RegularAxis
-from airgrid.operators.ranking import monotonic_axis
+from airgrid.operators.ranking import monotonic_axis, with_falling_axis
 from airgrid.plans.catalog import register
 from airgrid.plans.matching_queries import EAST_VIEW, PLACED, TOLERANCE_M, cell_axes, met_axes, site_days
 from airgrid.plans.sql_text import (CELL_AXES, EDGES, MET_AXES, from_geostationary, inside_pairs, to_geostationary)
@@ -93,6 +93,15 @@ def _(t):
     return monotonic_axis(axis, ["x"], "y", "v")
 
 
+@register("axis_reversal", """
+    WITH axis AS (SELECT x, y, CASE WHEN x % 2 = 0 THEN y_m ELSE -y_m END AS v FROM grid_cells),
+    ends AS (SELECT x, min(y) + max(y) AS both_ends, arg_min(v, y) < arg_max(v, y) AS rises FROM axis GROUP BY 1)
+    SELECT x, CASE WHEN rises THEN both_ends - y ELSE y END AS y, round(v, 6) AS v FROM axis JOIN ends USING (x)""")
+def _(t):
+    axis = t.grid_cells.select("x", "y", F.when(F.col("x") % 2 == 0, F.col("y_m")).otherwise(-F.col("y_m")).alias("v"))
+    return rounded(with_falling_axis(axis, ["x"], "y", "v"))
+
+
 def region_rings(t):
     return regions.rings(t.region_vertices, part="part")
 

@@ -208,6 +208,16 @@ def _(t):
     return rounded(scoring.score_grid(t.daily_grid, ["AOD"], collection.predict), 4)
 
 
+@register("saved_model_scoring", f"""WITH {LINE}
+    SELECT time, y, x, round(a + b * AOD, 4) AS linear_regression FROM daily_grid, line""")
+def _(t):
+    collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
+    collection.fit(t.features)
+    path = scratch_path(t.spark, "models")
+    collection.save(path)
+    return rounded(scoring.score_grid(t.daily_grid, ["AOD"], ModelCollection.load(path).predict), 4)
+
+
 @register("cross_val_linear", """
     WITH folded AS (SELECT AOD, PM25, CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 // 20 AS INT) AS fold
                     FROM features),

@@ -108,6 +108,17 @@ def _(t):
     return rounded(summaries.histogram_right_closed(t.predictions, "forest", 40), density=8)
 
 
+@register("histogram_left_closed", """
+    WITH ends AS (SELECT min(forest) AS lo, max(forest) AS hi, (max(forest) - min(forest)) / 50 AS w, count(*) AS total FROM predictions),
+    spine AS (SELECT CAST(unnest(range(50)) AS INT) AS bin),
+    counted AS (SELECT CAST(least(floor((forest - lo) / w), 49) AS INT) AS bin, count(*) AS n FROM predictions, ends GROUP BY 1)
+    SELECT bin, round(lo + bin * w, 6) AS lower, round(lo + (bin + 1) * w, 6) AS upper, coalesce(n, 0) AS n,
+           round(coalesce(n, 0) / (total * w), 8) AS density
+    FROM spine LEFT JOIN counted USING (bin) CROSS JOIN ends""")
+def _(t):
+    return rounded(summaries.histogram(t.predictions, "forest", 50), density=8)
+
+
 @register("hexbin_counts", """
     WITH ends AS (SELECT min(linear) AS x0, (max(linear) - min(linear)) / 60 AS sx, min(truth) AS y0,
                          (max(truth) - min(truth)) / 34 AS sy FROM predictions),
@@ -193,6 +204,16 @@ def _(t):
     return rounded(summaries.residual_quantiles(split, "truth", "linear", ["is_test"], QQ))
 
 
+@register("residual_points", f"""
+    SELECT l_orderkey, l_linenumber, {IN_TEST} AS is_test, round(linear - truth, 6) AS residual, round((row_number() OVER (
+        PARTITION BY {IN_TEST} ORDER BY linear - truth, l_orderkey, l_linenumber) - 5e-1)
+        / count(*) OVER (PARTITION BY {IN_TEST}), 9) AS probability FROM predictions""")
+def _(t):
+    split = features.holdout_split(t.predictions, ["l_orderkey", "l_linenumber"])
+    points = summaries.residual_points(split, "truth", "linear", ["is_test"], ["l_orderkey", "l_linenumber"])
+    return rounded(points, probability=9)
+
+
 # ---- cross-validation score tables
 
 

@@ -65,6 +65,30 @@ def _(t):
     return rounded(grids.scan_merged(t.spark, path).select("event_id", "AE1", "AOD"))
 
 
+@register("scan_unreadable", """
+    SELECT event_id, 'good' AS outcome FROM snapshots UNION ALL SELECT NULL, 'unreadable'""")
+def _(t):
+    path = scratch_path(t.spark, "damaged")
+    t.snapshots.select("event_id", "AOD").write.parquet(f"{path}/good")
+    t.spark.range(1).selectExpr("'no grid' AS value").write.text(f"{path}/bad")
+    rows, unread = grids.scan_surviving(t.spark, path, "event_id bigint, AOD double")
+    listed = unread.filter("file LIKE '%/part-%'").select(F.lit(None).cast("bigint").alias("event_id"), F.lit("unreadable").alias("outcome"))
+    return rows.select("event_id", F.lit("good").alias("outcome")).unionByName(listed)
+
+
+@register("scan_each", """
+    SELECT event_id, sat, round(CASE WHEN sat = 16 THEN AOD * 1e1 ELSE AOD END, 6) AS AOD FROM snapshots""")
+def _(t):
+    path = scratch_path(t.spark, "each")
+    for sat in (16, 17):
+        t.snapshots.filter(F.col("sat") == sat).select("event_id", "sat", "AOD").write.parquet(f"{path}/{sat}")
+
+    def scaled(grid):
+        return grid.withColumn("AOD", F.when(F.col("sat") == 16, F.col("AOD") * 10).otherwise(F.col("AOD")))
+
+    return rounded(grids.scan_each(t.spark, [f"{path}/16", f"{path}/17"], scaled))
+
+
 @register("partition_pruned_scan", f"""WITH {HOURLY}
     SELECT t, y, x, round(AOD, 6) AS AOD, CAST(year(t) AS INT) AS year, CAST(dayofyear(t) AS INT) AS doy
     FROM hourly WHERE CAST(t AS DATE) BETWEEN DATE '2024-01-04' AND DATE '2024-01-09'""")

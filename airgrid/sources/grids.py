@@ -41,6 +41,18 @@ def scan_each(spark: SparkSession, paths: Sequence[str], preprocess: Callable[[D
     return union_all([scan_grid(spark, p).transform(preprocess) for p in paths])
 
 
+def scan_surviving(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the Parquet files under ``path`` that can be read, and the files that gave none.
+
+    A file that can't be read costs its rows, not the job.  A readable file without rows is listed as well.
+    """
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    given = rows.select(F.col("_metadata.file_path").alias("file")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+    place = F.regexp_replace("file", "^file:/+", "/")
+    return without_nan(rows), files.withColumn("file", place).join(given.withColumn("file", place), "file", "left_anti")
+
+
 def scan_days(spark: SparkSession, path: str, start: str, stop: str) -> DataFrame:
     """Days ``start`` to ``stop`` of a table ``write_grid`` wrote by year and day of year; other partitions are not read."""
     first, last = F.to_date(F.lit(start)), F.to_date(F.lit(stop))

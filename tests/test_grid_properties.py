@@ -136,7 +136,7 @@ def test_uneven_axis_against_brute_force(spark, ranges):
     points = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v double")
     axis = spark.createDataFrame([(n,) for n in nodes], "node double")
     for r in matching.nearest_on_axis(points, axis, "v", "node").collect():
-        want = None if r["v"] is None else min(nodes, key=lambda n, v=r["v"]: (abs(n - v), n))
+        want = None if r["v"] is None else min(nodes, key=lambda n, v=r["v"]: (abs(n - v), -n))
         assert r["node"] == want
 
 

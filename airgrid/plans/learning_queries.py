@@ -248,14 +248,14 @@ def _(t):
 
 
 @register("stream_scoring", f"""WITH {LINE}
-    SELECT event_id, s.y, s.x, round(a + b * s.AOD, 4) AS linear_regression
-    FROM snapshots s JOIN grid_cells c ON c.y = s.y AND c.x = s.x, line WHERE s.AOD IS NOT NULL""")
+    SELECT event_id, s.y, s.x, CASE WHEN c.lat IS NOT NULL THEN round(a + b * s.AOD, 4) END AS linear_regression
+    FROM snapshots s LEFT JOIN grid_cells c ON c.y = s.y AND c.x = s.x CROSS JOIN line""")
 def _(t):
     collection = ModelCollection(["AOD"], LABEL, {"Linear Regression": default_models(LABEL)["Linear Regression"]})
     collection.fit(spread(t.features))
     cells = t.grid_cells.select("y", "x", "lat")
-    scored = incremental.scored_stream(stream(t).filter("AOD IS NOT NULL").select("event_id", "y", "x", "AOD"), cells,
-                                       collection.predict)
+    scored = incremental.scored_stream(stream(t).select("event_id", "y", "x", "AOD"), cells, collection.predict, ["AOD", "lat"],
+                                       ["linear_regression"])
     out = scratch_path(t.spark, "scored")
     incremental.run_to_table(scored, out, scratch_path(t.spark, "checkpoint"))
     return rounded(t.spark.read.parquet(out).select("event_id", "y", "x", "linear_regression"), 4)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airgrid import schemas
 from airgrid.plans.catalog import register
-from airgrid.plans.temporal_queries import HOURLY
+from airgrid.plans.temporal_queries import DAILY, HOURLY
 from airgrid.plans.text import rounded
 from airgrid.session import scratch_path
 from airgrid.streaming import incremental
@@ -22,45 +23,49 @@ def stream(t, files_per_batch=None):
     return incremental.snapshot_stream(t.spark, snapshot_days(t), files_per_batch=files_per_batch)
 
 
-CLOSED = """closed AS (SELECT * FROM hourly
-  WHERE t + INTERVAL 1 HOUR <= date_trunc('milliseconds', (SELECT max(t) FROM snapshots)) - INTERVAL 2 HOUR)"""
+STREAMED = "t timestamp, y int, x int, AOD double, AOD470 double, n_snapshots bigint, day date"
 
 
-def closed_hours(t) -> str:
-    """Hourly table written by the stream, partitioned by day."""
-    path = scratch_path(t.spark, "stream-hourly")
-    hours = incremental.hourly_stream(stream(t)).withColumn("day", F.to_date("t"))
-    incremental.run_to_table(hours, path, scratch_path(t.spark, "checkpoint"), ["day"])
+def streamed_hours(t) -> str:
+    """Hourly table written by the stream, partitioned by day: a run over the series, and one after its end."""
+    days, path, checkpoint = snapshot_days(t), scratch_path(t.spark, "stream-hourly"), scratch_path(t.spark, "checkpoint")
+    hours = incremental.hourly_stream(incremental.snapshot_stream(t.spark, days)).withColumn("day", F.to_date("t"))
+    incremental.run_to_table(hours, path, checkpoint, ["day"])
+    incremental.end_series(t.spark, f"{days}/day=9999-01-01", schemas.SNAPSHOTS)
+    incremental.run_to_table(hours, path, checkpoint, ["day"])
     return path
 
 
-STREAMED = "t timestamp, y int, x int, AOD double, AOD470 double, n_snapshots bigint, day date"
-
-
-@register("stream_hourly_average", f"""WITH {HOURLY}, {CLOSED}
-    SELECT t, y, x, round(AOD, 6) AS AOD, round(AOD470, 6) AS AOD470, n_snapshots FROM closed""")
+@register("stream_hourly_average", f"""WITH {HOURLY}
+    SELECT t, y, x, round(AOD, 6) AS AOD, round(AOD470, 6) AS AOD470, n_snapshots FROM hourly""")
 def _(t):
-    written = t.spark.read.schema(STREAMED).parquet(closed_hours(t)).drop("day")
+    written = t.spark.read.schema(STREAMED).parquet(streamed_hours(t)).drop("day")
     return rounded(written.withColumn("t", F.col("t").cast("timestamp_ntz")))
 
 
-@register("stream_daily_average", f"""WITH {HOURLY}, {CLOSED}
-    SELECT CAST(t AS DATE) AS time, y, x, round(sum(n_snapshots * AOD) / sum(n_snapshots), 6) AS AOD,
-           round(sum(n_snapshots * AOD470) / sum(CASE WHEN AOD470 IS NOT NULL THEN n_snapshots END), 6) AS AOD470,
-           CAST(sum(n_snapshots) AS BIGINT) AS n_snapshots FROM closed GROUP BY 1, 2, 3""")
+@register("stream_daily_average", f"""WITH {DAILY}
+    SELECT time, y, x, round(AOD, 6) AS AOD, round(AOD470, 6) AS AOD470, n_snapshots FROM daily""")
 def _(t):
     path = scratch_path(t.spark, "stream-daily")
-    incremental.daily_from_hourly(t.spark, closed_hours(t), STREAMED, path, scratch_path(t.spark, "checkpoint"))
+    incremental.daily_from_hourly(t.spark, streamed_hours(t), STREAMED, path, scratch_path(t.spark, "checkpoint"))
     return rounded(t.spark.read.parquet(path).select("time", "y", "x", "AOD", "AOD470", "n_snapshots"))
 
 
 @register("stream_rejects", """
-    SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'bad_time' ELSE 'good' END AS outcome FROM snapshots""")
+    WITH marked AS (SELECT event_id, t, event_id % 97 = 0 AS damaged, event_id % 89 = 0 AS held_back FROM snapshots),
+    latest AS (SELECT max(t) AS last FROM marked WHERE NOT damaged AND NOT held_back)
+    SELECT event_id, CASE WHEN damaged THEN 'bad_time'
+        WHEN held_back AND t < date_trunc('microseconds', last) - INTERVAL 2 HOUR THEN 'late' ELSE 'good' END AS outcome
+    FROM marked, latest""")
 def _(t):
-    broken = stream(t).withColumn(
-        "t", F.when(F.col("event_id") % 97 == 0, F.lit("2000-01-01 12:00:00").cast("timestamp")).otherwise(F.col("t")))
-    accepted, rejects = scratch_path(t.spark, "accepted"), scratch_path(t.spark, "rejects")
-    incremental.split_late(t.spark, broken, accepted, rejects, scratch_path(t.spark, "checkpoint"))
+    # some rows are held back and arrive in a second run over the growing folder
+    folder, accepted, rejects, checkpoint = (scratch_path(t.spark, n) for n in ("arriving", "accepted", "rejects", "checkpoint"))
+    held_back = F.col("event_id") % 89 == 0
+    for arriving in (t.snapshots.filter(~held_back), t.snapshots.filter(held_back)):
+        arriving.write.mode("append").parquet(folder)
+        broken = incremental.snapshot_stream(t.spark, folder).withColumn(
+            "t", F.when(F.col("event_id") % 97 == 0, F.lit("2000-01-01 12:00:00").cast("timestamp")).otherwise(F.col("t")))
+        incremental.split_late(t.spark, broken, accepted, rejects, checkpoint)
     good = t.spark.read.parquet(accepted).select("event_id", F.lit("good").alias("outcome"))
     return good.unionByName(t.spark.read.parquet(rejects).select("event_id", F.col("reason").alias("outcome")))
 

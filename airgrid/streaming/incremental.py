@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from airgrid import schemas
 from airgrid.operators import masking, temporal
+from airgrid.operators.binding import if_small
 
 
 def snapshot_stream(spark: SparkSession, path: str, schema: str = schemas.SNAPSHOTS, time: str = "t",
@@ -34,6 +35,16 @@ def hourly_stream(snapshots: DataFrame, delay: str = "2 hours", keys: Sequence[s
             .select(F.col("window.start").alias("t"), *keys, "AOD", "AOD470", "n_snapshots"))
 
 
+def end_series(spark: SparkSession, path: str, schema: str, time: str = "t", end: str = "9999-01-01 00:00:00") -> None:
+    """Add a row of nulls with a far time to a series that has ended: the next run then brings the hours still open.
+
+    What comes after it is late, so a stream that is to go on must not be ended.
+    """
+    fields = spark.createDataFrame([], schema).schema
+    row = spark.range(1).select(*[F.lit(end if f.name == time else None).cast(f.dataType).alias(f.name) for f in fields])
+    row.write.mode("append").parquet(path)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> None:
     """Append everything available to a file table and stop."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -100,6 +111,17 @@ def split_late(spark: SparkSession, snapshots: DataFrame, accepted_path: str, re
     run_batches(snapshots, split, checkpoint)
 
 
-def scored_stream(observations: DataFrame, cells: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Join a stream to the static cell table and score it with a fitted model's transform."""
-    return score(observations.join(cells, ["y", "x"]))
+def scored_stream(observations: DataFrame, cells: DataFrame, score: Callable[[DataFrame], DataFrame], inputs: Sequence[str],
+                  outputs: Sequence[str]) -> DataFrame:
+    """Join a stream to the static cell table and score its complete rows with a fitted model's transform.
+
+    Rows that lack an input, or a cell, stay with null ``outputs``.  Adaptive plans do not split skewed keys in a stream,
+    so the cell table is broadcast if it is measured to be small.
+    """
+    placed = observations.join(if_small(cells), ["y", "x"], "left")
+    whole = F.lit(True)
+    for c in inputs:
+        whole = whole & F.col(c).isNotNull()
+    kept = placed.columns
+    rest = placed.filter(~whole).select(*kept, *[F.lit(None).cast("double").alias(o) for o in outputs])
+    return score(placed.filter(whole)).select(*kept, *outputs).unionByName(rest)

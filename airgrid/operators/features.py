@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,26 @@ def stratified_folds(df: DataFrame, target: str, keys: Sequence[str], k: int, na
     return ranked.withColumn(name, F.pmod(F.col("_rank") - 1 - before, F.lit(k)).cast("int")).drop("_rank")
 
 
+def levelled(loads: Sequence[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` groups of equal size each fold gets if the least loaded, first among equals, always takes the next.
+
+    A fold is asked at its load, then at each ``size`` more; the ``n`` lowest of these levels are taken, found by halving.
+    """
+
+    def below(level: int) -> list[int]:
+        return [max(0, -((load - level) // size)) for load in loads]
+
+    low, high = min(loads), max(loads) + size * n
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+    taken = below(low)
+    for fold, load in enumerate(loads):
+        if sum(taken) < n and load <= low and (low - load) % size == 0:
+            taken[fold] += 1
+    return taken
+
+
 def group_fold_table(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     """(group, rows, fold): groups from the largest down, each into the fold with the fewest rows so far.
 
@@ -78,20 +98,12 @@ def group_fold_table(df: DataFrame, group: Sequence[str], k: int) -> DataFrame:
     """
     sizes = materialise(df.groupBy(*group).agg(F.count("*").alias("n_rows")))
     classes = sizes.groupBy("n_rows").agg(F.count("*").alias("n_groups")).orderBy(F.desc("n_rows"))
-    loads = [(0, f) for f in range(k)]
-    heapq.heapify(loads)
+    loads = [0] * k
     stretches, start = [], 0
     for n_rows, n_groups in classes.toLocalIterator():
-        taken = [0] * k
-        for _ in range(n_groups):
-            load, fold = heapq.heappop(loads)
-            taken[fold] += 1
-            heapq.heappush(loads, (load + n_rows, fold))
-        ends, upto = [], start
-        for t in taken:
-            upto += t
-            ends.append(upto)
-        stretches.append((n_rows, ends))
+        taken = levelled(loads, n_rows, n_groups)
+        loads = [load + n_rows * t for load, t in zip(loads, taken)]
+        stretches.append((n_rows, list(accumulate(taken, initial=start))[1:]))
         start += n_groups
     table = df.sparkSession.createDataFrame(stretches, "n_rows bigint, ends array<bigint>")
     ranked = with_rank(sizes.withColumn("_down", -F.col("n_rows")), ["_down", *group], "_rank").drop("_down")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from airgrid.operators import matching, ranking, regions, summaries
+from airgrid.operators import features, matching, ranking, regions, summaries
 from airgrid.sources import grids, stations
 
 OUTER, HOLE, APART = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]], [[6, 1], [8, 1], [7, 3], [6, 1]]
@@ -108,3 +108,14 @@ def test_unreadable_files_are_listed(spark, tmp_path):
     rows, unread = grids.scan_surviving(spark, str(tmp_path / "d"), "k int, v double")
     assert sorted(map(tuple, rows.collect())) == [(1, None), (2, 3.0)]
     assert [r.file.rsplit("/", 1)[1] for r in unread.collect() if not r.file.endswith(("_SUCCESS", ".crc"))] == ["part-bad.parquet"]
+
+
+def test_levelling_a_size_class_equals_placing_group_by_group():
+    draw = random.Random(6)
+    for _ in range(300):
+        loads, size, n = [draw.randrange(30) for _ in range(draw.randrange(1, 7))], draw.randrange(1, 9), draw.randrange(40)
+        now, want = list(loads), [0] * len(loads)
+        for _ in range(n):
+            fold = min(range(len(now)), key=lambda f: (now[f], f))
+            now[fold], want[fold] = now[fold] + size, want[fold] + 1
+        assert features.levelled(loads, size, n) == want

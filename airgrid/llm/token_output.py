@@ -8,6 +8,7 @@ decompress the file; ours reads the tail first and decompresses only the frames
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -19,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airgrid.llm.bpe import byte_characters
 from airgrid.llm.catalog import register, table
 from airgrid.llm.tasks import Memo, kept, slices
 from airgrid.session import scratch_path
 
 FRAME_BYTES = 256 << 10  # a frame ends with the first document that reaches this size
-MEMO_WORDS = 250_000  # distinct words a worker remembers
+MEMO_WORDS, MEMO_PARTS = 500_000, 900_000  # distinct words, and parts of words, a worker remembers
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
@@ -124,8 +126,14 @@ class FrameReader:
             yield (int(self.doc_ids[r]) if self.known[r] else None), int(self.starts[r]), content[at:at + end - begin]
 
 
+# Words of ASCII and Latin-1 letters are cut here as the vocabulary's normaliser and splitter cut them: lower case, then the
+# splitter's alternatives in their order.  Words with other characters go through the library as they are.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
-    """The tokenizers library, asked once per distinct word.
+    """The tokenizers library, asked once per distinct word or part of a word.
 
     The vocabulary's normaliser and splitter never carry anything across ASCII white space and drop it, so a text's ids
     are those of its words in turn.  Strings of special tokens are ordinary text.
@@ -139,19 +147,35 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(MEMO_WORDS)
+        self.merge = self.tokenizer.model.tokenize
+        self.characters = dict(enumerate(byte_characters()))
+        self.words, self.parts = Memo(MEMO_WORDS), Memo(MEMO_PARTS)
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         words = text.split()
-        new = list({w for w in words if w not in self.memo})
-        if new:
-            self.memo.make_room(len(new))
-            if not self.memo:
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.memo.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, found))
-        return b"".join(map(self.memo.__getitem__, words))
+        found = list(map(self.words.get, words))
+        if None in found:
+            new = {w: self.word(w.decode()) for w in {w for w, f in zip(words, found) if f is None}}
+            self.words.make_room(len(new))
+            self.words.update(new)
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+        return b"".join(found)
+
+    def word(self, word: str) -> bytes:
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.part, PARTS.findall(word.lower())))
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            ids = [t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(self.characters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            self.parts.make_room(1)
+            self.parts[part] = found
+        return found
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:

@@ -100,14 +100,21 @@ def _tree_sql(shards: int) -> str:
         FROM rack_{shards} JOIN leaves_{shards} USING (rack)) GROUP BY key)"""
 
 
-# DuckDB has no crc32: the bitwise remainder over the UTF-8 bytes, one step a byte, is left to the tests.
+# CRC-32 by the reflected polynomial of the standard (a fixed value): a table of 256 remainders, then a step per byte.
 SQL_SHARDS = f"""WITH keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
-    {_tree_sql(16)}, {_tree_sql(17)}
-SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'key' AS law, a.shard::INT AS shard, b.shard::INT AS grown_shard
-FROM documents JOIN shard_16 a ON a.key = coalesce(doc_id::VARCHAR, 'null') JOIN shard_17 b ON b.key = a.key"""
-
-
-@register("op7_weighted_hash_tree")
+    {_tree_sql(16)}, {_tree_sql(17)},
+    remainders AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t
+        FROM (SELECT unnest(range(256)) AS b)),
+    sized AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, strlen(coalesce(text, '')) + 1 AS size,
+        hex(encode(coalesce(text, ''))) AS x FROM documents),
+    summed AS (SELECT doc_id, key, size, xor(4294967295, list_reduce(list_transform(range(size - 1), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM sized, remainders)
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard::INT AS shard, row_number() OVER (PARTITION BY a.shard
+        ORDER BY substr(md5(s.key), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, b.shard::INT AS grown_shard
+FROM summed s JOIN shard_16 a ON a.key = s.key JOIN shard_17 b ON b.key = s.key"""
+
+
+@register("op7_weighted_hash_tree", SQL_SHARDS)
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards in two regions of two racks; the seventeenth opens a third region."""
     return shard_documents(table(spark, sf_dir, "documents"), even_tree(16), even_tree(17))

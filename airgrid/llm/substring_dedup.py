@@ -247,6 +247,19 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
 
 
-@register("op10_compacted_de_bruijn")
+SQL_WORDS = f"""WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(doc_id, {NO_ID}) AS rank, doc_id, list_filter(
+        string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+    w AS (SELECT rid, rank, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+    windows AS (SELECT rid, rank, w, i, CASE WHEN i + {WINDOW - 1} <= n THEN md5(string_agg(w, ' ') OVER (
+        PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) END AS h FROM w),
+    least AS (SELECT h, min(rank) AS least FROM windows WHERE h IS NOT NULL GROUP BY h),
+    covered AS (SELECT rid, w, i, coalesce(bool_or(least < rank) OVER (
+        PARTITION BY rid ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), false) AS gone FROM windows LEFT JOIN least USING (h)),
+    cut AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)"""
+
+
+@register("op10_compacted_de_bruijn", SQL_WORDS)
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))

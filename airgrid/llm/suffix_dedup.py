@@ -169,6 +169,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return rows.join(left, "_key").select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
-@register("op9_difference_cover")
+SQL_BYTES = f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, strlen(coalesce(text, '')) AS n,
+        hex(encode(coalesce(text, ''))) AS x FROM documents),
+    places AS (SELECT rid, unnest(range(n)) AS i FROM docs),
+    strings AS (SELECT rid, i, substr(x, 2 * i + 1, 2) AS b,
+        CASE WHEN i + {LENGTH} <= n THEN md5(substr(x, 2 * i + 1, {2 * LENGTH})) END AS h FROM places JOIN docs USING (rid)),
+    twice AS (SELECT h FROM strings WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+    covered AS (SELECT rid, i, b, bool_or(t.h IS NOT NULL) OVER (
+        PARTITION BY rid ORDER BY i ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM strings s LEFT JOIN twice t ON s.h = t.h),
+    edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS begins FROM covered),
+    cut AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+        string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM edges GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid)"""
+
+
+@register("op9_difference_cover", SQL_BYTES)
 def suffix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -69,6 +69,46 @@ def _(t):
     return rounded(collection.compute_scores(test).select("n", "rmse", "mae"))
 
 
+@register("elastic_net_line", """
+    WITH m AS (SELECT covar_pop(blh, PM25) AS c, var_pop(blh) AS v, avg(blh) AS mx, avg(PM25) AS my, stddev_samp(PM25) AS sy FROM features),
+    line AS (SELECT sign(c) * greatest(abs(c) - 5e-1, 0) / (v + 5e-1 / sy) AS b, mx, my FROM m)
+    SELECT round(b, 4) AS slope, round(my - b * mx, 4) AS intercept FROM line""")
+def _(t):
+    # one input: the penalties shrink the covariance and raise the variance; the second is taken relative to the label's deviation
+    collection = ModelCollection(["blh"], LABEL, {"Elastic Net": default_models(LABEL)["Elastic Net"]}).fit(t.features)
+    line = collection.fitted["Elastic Net"].stages[-1]
+    return rounded(t.spark.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "slope double, intercept double"), 4)
+
+
+@register("polynomial_line", """
+    WITH m AS (SELECT var_pop(blh) AS v1, var_pop(blh * blh) AS v2, covar_pop(blh, blh * blh) AS c12, covar_pop(blh, PM25) AS c1,
+        covar_pop(blh * blh, PM25) AS c2, avg(blh) AS m1, avg(blh * blh) AS m2, avg(PM25) AS my FROM features),
+    curve AS (SELECT (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2, m1, m2, my FROM m)
+    SELECT l_orderkey, l_linenumber, round(my + b1 * (blh - m1) + b2 * (blh * blh - m2), 4) AS polynomial FROM features, curve""")
+def _(t):
+    collection = ModelCollection(["blh"], LABEL, {"Polynomial": default_models(LABEL)["Polynomial"]}).fit(t.features)
+    return rounded(collection.predict(t.features.select(*ROW_KEY, "blh")).select("l_orderkey", "l_linenumber", "polynomial"), 4)
+
+
+@register("ridge_line", """
+    WITH RECURSIVE m AS (SELECT count(*) AS n, covar_pop(blh, PM25) * count(*) AS xy, var_pop(blh) * count(*) AS xx, var_pop(PM25) * count(*) AS yy,
+        var_pop(PM25) AS vy, avg(blh) AS mx, avg(PM25) AS my FROM features),
+    steps AS (
+      SELECT 0 AS k, 0e0 AS w, 1 / (vy + 2.220446049250313e-16) AS alpha, 1e0 AS lam FROM m
+      UNION ALL
+      SELECT k + 1, xy / (xx + lam / alpha), (n - g + 2e-6) / (rss + 2e-6), (g + 2e-6) / (w2 + 2e-6) FROM (
+        SELECT k, alpha, lam, n, xx, xy, alpha * xx / (lam + alpha * xx) AS g, pow(xy / (xx + lam / alpha), 2) AS w2,
+               yy - 2 * xy / (xx + lam / alpha) * xy + pow(xy / (xx + lam / alpha), 2) * xx AS rss
+        FROM steps, m WHERE k < 20)),
+    line AS (SELECT xy / (xx + lam / alpha) AS b, mx, my FROM steps, m WHERE k = 20)
+    SELECT round(b, 4) AS slope, round(my - b * mx, 4) AS intercept FROM line""")
+def _(t):
+    table = VectorAssembler(inputCols=["blh"], outputCol="features").transform(t.features)
+    model = BayesianRidge(featuresCol="features", labelCol=LABEL).fit(table)
+    row = (float(model.getOrDefault(model.coefficients)[0]), float(model.getOrDefault(model.intercept)))
+    return rounded(t.spark.createDataFrame([row], "slope double, intercept double"), 4)
+
+
 def scores_of(name, models=None):
     def run(t):
         collection, test = fitted(t, [name], models)

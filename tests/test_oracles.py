@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from airgrid.plans.catalog import SQL
 from check import canonical
 from conftest import SF_DIR
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(name, spark, duck):
     got = canonical(entry.queries()[name](spark, SF_DIR).toPandas())
     want = canonical(duck.sql(entry.oracle_sql()[name]).df())

@@ -4,12 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pytest
-from llm_cases import HARD_TEXTS, SF_DIR, empty, hard  # noqa: F401
+from llm_cases import HARD_TEXTS, empty, hard  # noqa: F401
 
 from airgrid.llm import components, near_dedup, substring_dedup, suffix_dedup, tiles
-from airgrid.llm.catalog import QUERIES
 from airgrid.llm.words import Powers, Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -19,11 +17,6 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def documents():
-    d = pd.read_parquet(f"{SF_DIR}/documents.parquet")
-    return list(zip(d.doc_id.tolist(), d.text))
-
-
 def copies_and_passages():
     """Texts with exact copies, near copies, shared passages, a passage repeated in one text, ties in doc_id and null ids."""
     draw = random.Random(5)
@@ -72,10 +65,6 @@ def expected_components(rows, n):
     return sorted(out, key=str)
 
 
-def test_components_of_documents(spark):
-    assert rows_of(QUERIES["op3_fast_similarity_sketch"](spark, SF_DIR)) == expected_components(documents(), 2)
-
-
 @pytest.mark.parametrize("words", [2, 5])
 def test_components_of_hard_cases(spark, words):
     rows = copies_and_passages()
@@ -150,10 +139,6 @@ def expected_bytes(rows):
     return sorted(out, key=str)
 
 
-def test_repeated_bytes_of_documents(spark):
-    assert rows_of(QUERIES["op9_difference_cover"](spark, SF_DIR)) == expected_bytes(documents())
-
-
 def test_repeated_bytes_of_hard_cases(spark, hard, empty, monkeypatch):
     monkeypatch.setattr(tiles, "TILE_BYTES", 20_000)  # several tiles
     rows = copies_and_passages()
@@ -189,10 +174,6 @@ def expected_words(rows):
     return sorted(out, key=str)
 
 
-def test_repeated_words_of_documents(spark):
-    assert rows_of(QUERIES["op10_compacted_de_bruijn"](spark, SF_DIR)) == expected_words(documents())
-
-
 def test_repeated_words_of_hard_cases(spark, hard, empty, monkeypatch):
     monkeypatch.setattr(tiles, "TILE_BYTES", 20_000)
     rows = copies_and_passages()

@@ -40,19 +40,10 @@ def test_queries_match_their_sql(spark, duck, name):
         assert got[c].equals(want[c]), c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_every_query_has_a_row_per_input_row(spark, duck, name):
-    if "perspective" not in name:
-        rows = QUERIES[name](spark, SF_DIR)
-        assert rows.count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
-
-
 # sharding
 
-def test_shards_match_sql_and_slots_have_no_gaps(spark, duck):
+def test_slots_have_no_gaps_and_the_new_shard_only_takes(spark):
     got = QUERIES["op7_weighted_hash_tree"](spark, SF_DIR).toPandas()
-    names = ["doc_id", "size", "law", "shard", "grown_shard"]
-    assert canonical(got[names]).equals(canonical(duck.sql(sharding.SQL_SHARDS).df()[names]))
     for _, rows in got.groupby("shard"):
         assert sorted(rows.slot) == list(range(len(rows)))
     moved = got[got["shard"] != got.grown_shard]

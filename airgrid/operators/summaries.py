@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from airgrid.operators.binding import if_small
 from airgrid.operators.ranking import with_rank, with_running_total
-from airgrid.session import materialise
 
 # Air-quality breakpoints and categories, and the two-class guideline.
 AQI_EDGES = [0.0, 12.1, 35.5, 55.5, 150.5, 250.5, 350.5, 500.5, 99999.9]
@@ -26,6 +25,8 @@ AQI_CATEGORIES = ["GOOD", "MODERATE", "UNHEALTHY FOR SENSITIVE", "UNHEALTHY", "V
 WHO_EDGES = [0.0, 5.0, 500.0]
 WHO_CATEGORIES = ["Good", "Unhealthy"]
 
+# The summaries' ranks are off by 1 / SUMMARY_SIZE of the rows at most; a bracket is wider than two such errors and two rows.
+SUMMARY_SIZE, BRACKET, FEW_ROWS = 2000, 0.0015, 10_000
 KERNEL_REACH = 8.5  # bandwidths; the kernel beyond is below double precision of its peak
 
 
@@ -200,58 +201,69 @@ def kde_curve(df: DataFrame, by: Sequence[str], value: str, start: float, stop:
         (F.coalesce("mass", F.lit(0.0)) / F.nullif(F.col("n") * F.col("h") * math.sqrt(2 * math.pi), F.lit(0.0))).alias("density"))
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """How often each value occurs per group: ties and hot groups shrink before anything is ordered."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, one named column per probability.
 
-def quantiles_of_counts(counts: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one named column per probability."""
-    upto = with_running_total(counts, [*by, value], F.col("n"), "upto")
-    groups = if_small(upto.groupBy(*by).agg(F.sum("n").alias("total"), F.min(F.col("upto") - F.col("n")).alias("before")))
-    placed = upto.join(groups, list(by)).withColumn("within", F.col("upto") - F.col("before"))
+    A first pass brackets each wanted rank by mergeable quantile summaries, whose error is bounded; a second counts the
+    values below each bracket and keeps only those inside, a few thousandths of the rows, to be ranked.  Small groups
+    are their own bracket.  Equal values are counted before they are ordered.
+    """
+    data = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    marks = [m for p in probabilities.values() for m in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
+    first = data.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                  F.percentile_approx("_v", marks, SUMMARY_SIZE).alias("_marks"))
+    few = F.col("_n") <= FEW_ROWS
+    ends = F.array(*[F.struct(
+        F.when(few | F.lit(marks[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("low"),
+        F.when(few | F.lit(marks[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("high"))
+        for i in range(len(probabilities))])
+    groups = if_small(first.select(*by, "_n", ends.alias("_ends")), F.lit(2 * len(probabilities) + len(by) + 1))
+    placed = data.join(groups, list(by))
+    below = placed.groupBy(*by).agg(*[F.count_if(F.col("_v") < F.col("_ends")[i]["low"]).alias(f"_below{i}") for i in range(len(probabilities))])
+    inside = F.filter(F.transform("_ends", lambda e, i: F.when(F.col("_v").between(e["low"], e["high"]), i)), lambda i: i.isNotNull())
+    counted = placed.select(*by, "_v", F.explode(inside).alias("_p")).groupBy(*by, "_p", "_v").agg(F.count("*").alias("_times"))
+    upto = with_running_total(counted, [*by, "_p", "_v"], F.col("_times"), "_upto")
+    before = if_small(upto.groupBy(*by, "_p").agg(F.min(F.col("_upto") - F.col("_times")).alias("_before")))
+    counts = if_small(groups.drop("_ends").join(below, list(by)))
+    ranked = upto.join(before, [*by, "_p"]).join(counts, list(by))
     picks: list[Column] = []
-    for name, p in probabilities.items():
-        position = (F.col("total") - 1) * p
-        picks += [F.min(F.when(F.col("within") > F.floor(position), F.col(value))).alias(f"{name}|lo"),
-                  F.min(F.when(F.col("within") > F.ceil(position), F.col(value))).alias(f"{name}|hi")]
-    found = placed.groupBy(*by, "total").agg(*picks)
+    for i, (name, p) in enumerate(probabilities.items()):
+        position = (F.col("_n") - 1) * p
+        within = F.when(F.col("_p") == i, F.col("_upto") - F.col("_before") + F.col(f"_below{i}"))
+        picks += [F.min(F.when(within > F.floor(position), F.col("_v"))).alias(f"{name}|lo"),
+                  F.min(F.when(within > F.ceil(position), F.col("_v"))).alias(f"{name}|hi")]
+    found = ranked.groupBy(*by, "_n").agg(*picks)
     results = []
     for name, p in probabilities.items():
-        position = (F.col("total") - 1) * p
+        position = (F.col("_n") - 1) * p
         low, high = F.col(f"`{name}|lo`"), F.col(f"`{name}|hi`")
         results.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return found.select(*by, *results)
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, by, value), by, value, probabilities)
-
-
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sample deviation, extremes and quartiles per column."""
-    counts = value_counts(unpivoted(df.select(*columns), columns, name="variable"), ["variable"], "value")
-    basic = unpivoted(df.select(*columns), columns, name="variable").groupBy("variable").agg(
+    long = unpivoted(df.select(*columns), columns, name="variable")
+    basic = long.groupBy("variable").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    return basic.join(quantiles_of_counts(counts, ["variable"], "value", QUARTILES), "variable")
+    return basic.join(exact_quantiles(long, ["variable"], "value", QUARTILES), "variable")
 
 
 def boxplot_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, quartiles, whiskers at the last values within 1.5 IQR, and the number of outliers."""
-    counts = materialise(value_counts(df, by, value))
-    box = quantiles_of_counts(counts, by, value, QUARTILES).withColumns({
+    present = df.select(*by, value).filter(F.col(value).isNotNull())
+    box = exact_quantiles(present, by, value, QUARTILES).withColumns({
         "low_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
         "high_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    joined = counts.join(if_small(box), list(by))
     inside = F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    return joined.groupBy(*by, "q1", "median", "q3").agg(
-        (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"),
+    return present.join(if_small(box), list(by)).groupBy(*by, "q1", "median", "q3").agg(
+        F.avg(value).alias("mean"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"))
+        F.count_if(~inside).alias("n_outliers"))
 
 
 def robust_limits(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,14 @@ def test_levelling_a_size_class_equals_placing_group_by_group():
             fold = min(range(len(now)), key=lambda f: (now[f], f))
             now[fold], want[fold] = now[fold] + size, want[fold] + 1
         assert features.levelled(loads, size, n) == want
+
+
+def test_quantiles_of_large_groups_are_exact(spark):
+    draw = random.Random(8)
+    data = [("even", draw.gauss(0, 1)) for _ in range(25_000)] + [("ties", float(draw.choice([1, 1, 1, 2, 2, 9]))) for _ in range(15_000)]
+    data += [("few", draw.random()) for _ in range(9)]
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
+    got = {r.g: r for r in summaries.exact_quantiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", wanted).collect()}
+    for g in ("even", "ties", "few"):
+        values = np.array([v for h, v in data if h == g])
+        assert [got[g][k] for k in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()])

@@ -24,6 +24,7 @@ from airgrid.llm.words import BASES, Powers, Sums, Words, mixed
 
 BANDS, BAND_ROWS = 40, 5  # a pair at similarity 0.8 shares no band with a probability of 1.3e-7
 COORDINATES = BANDS * BAND_ROWS
+FREQUENT = 16  # sets that hold a shingle, from which it is no key of its own
 
 
 def shingle_sets(texts: list[bytes], words: int, powers: Powers) -> list[np.ndarray]:
@@ -157,12 +158,12 @@ def placed_documents(docs: DataFrame, words: int = 5, percent: int = 80, extra:
     """``doc_id, extra, n_shingles, component_id, kept`` and ``_part``, null without words, for every row of ``docs(doc_id, text)``.
 
     Sets are distinct shingles of ``words`` words, A to Z in lower case.  Equal sets are linked by their key, different ones
-    by shared bands and their whole sets.  A component's id is its smallest doc_id; a row is kept if it has that id.  Rows
+    by shared bands, confirmed on their whole sets.  A component's id is its smallest doc_id; a row is kept if it has that id.  Rows
     without words (null and empty texts) are alone.  Null doc_ids never name a component unless all of it is null; then
     the id is null and the rows are kept.  Rows with equal ids are rows of their own.
 
-    Copies meet in an aggregate and never as pairs.  Within a bucket every set meets its first one; only sets of a bucket
-    that are not yet connected meet the others, the smaller parts against the largest.
+    Copies meet in an aggregate and never as pairs.  Within a bucket every set meets its first one, then the one with most
+    links; only sets that are not connected by then go on, to those of other parts that they can still be similar to.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_text"))
     rows = stored(_sketched(texts, words), "sketches")
@@ -180,8 +181,9 @@ def placed_documents(docs: DataFrame, words: int = 5, percent: int = 80, extra:
     sets = stored(_sets(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words)
                   .join(involved, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets")
     links = stored(_confirmed(stars, sets, percent), "links")
-    part = components(links)
-    rest = _confirmed(_across(shared, part, stars, percent), sets, percent)
+    hubs = stored(_to_hubs(shared, components(links), links, stars, percent), "hubs")
+    links = stored(links.union(_confirmed(hubs, sets, percent)), "links")
+    rest = _confirmed(_across(shared, components(links), sets, stars.union(hubs), percent), sets, percent)
     part = components(links.union(rest))
     named = rows.drop("bands").join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "_part", F.coalesce("component", "set_key"))
@@ -191,23 +193,84 @@ def placed_documents(docs: DataFrame, words: int = 5, percent: int = 80, extra:
     return out.select("doc_id", *extra, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "_part")
 
 
-def _across(shared: DataFrame, part: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a bucket, are not connected yet and have not met: all but a bucket's largest part, against all."""
-    placed = stored(shared.join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
+def _placed(shared: DataFrame, part: DataFrame) -> DataFrame:
+    """Bucket rows with the part their set is in so far; a set without links is a part of its own."""
+    return stored(shared.join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "part", F.coalesce("component", "set_key")).drop("component"), "placed")
-    sizes = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("band").agg(F.max_by("part", F.struct("k", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed_buckets = placed.join(largest, "band")
-    small = mixed_buckets.filter(F.col("part") != F.col("largest")).select(
-        "band", F.col("set_key").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), "largest")
-    other = mixed_buckets.select("band", F.col("set_key").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    pairs = small.join(other, "band").filter(
-        (F.col("part_a") != F.col("part_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
-        & ((F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b"))))
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(done, ["u", "v"], "left_anti")
 
 
-@register("op3_fast_similarity_sketch")
+def _ordered(pairs: DataFrame, a: str, b: str, done: DataFrame) -> DataFrame:
+    """Pairs (u, v) with u before v, each once, less those that have met."""
+    met = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+
+
+def _to_hubs(shared: DataFrame, part: DataFrame, links: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Each set with the set of its bucket that has the most links so far, unless they are connected."""
+    degree = links.select(F.explode(F.array("u", "v")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("degree"))
+    placed = _placed(shared, part)
+    hubs = placed.join(degree, "set_key").groupBy("band").agg(
+        F.max_by(F.struct("set_key", "n", "part"), F.struct("degree", "set_key")).alias("hub"))
+    pairs = placed.join(hubs, "band").filter((F.col("part") != F.col("hub.part")) & _fits(F.col("n"), F.col("hub.n"), percent))
+    return _ordered(pairs.select("set_key", F.col("hub.set_key").alias("hub")), "set_key", "hub", done)
+
+
+def _across(shared: DataFrame, part: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may still be linked: sets of a bucket outside its largest part, each with the sets it can be similar to.
+
+    Shingles in ``FREQUENT`` sets or more are frequent, the others rare.  A set x with f frequent shingles must share
+    ``percent`` of its shingles with a partner, so at least that less f of its rare ones.  Of its rare shingles, rarest
+    first, all but as many less one must then hold a shared one, and a rare shingle has few sets.  Only where f alone is
+    enough can a partner share no rare shingle; such a pair must have enough frequent ones on both sides, and meets in its
+    bucket.  No link is lost, and a group of near copies whose members are not linked is not compared pair by pair.
+    """
+    placed = _placed(shared, part)
+    sizes = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("band").agg(F.max_by("part", F.struct("k", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed_rows = stored(placed.join(largest.drop("parts"), "band"), "mixed")
+    members = mixed_rows.groupBy("set_key").agg(F.first("n").alias("n"), F.first("part").alias("part"),
+                                                F.max(F.col("part") != F.col("largest")).alias("loose"))
+    held = sets.join(members.select("set_key"), "set_key", "left_semi").select("set_key", F.explode("shingles").alias("shingle"))
+    times = held.groupBy("shingle").agg(F.count("*").alias("times"))
+    rare = F.when(F.col("times") < FREQUENT, F.struct("times", "shingle"))
+    counted = held.join(times, "shingle").groupBy("set_key").agg(
+        F.count_if(F.col("times") >= FREQUENT).alias("frequent"), F.array_sort(F.collect_list(rare)).alias("rare"))
+    need = F.ceil(F.col("n") * percent / 100) - F.col("frequent")
+    described = stored(members.join(counted, "set_key").withColumn("need", need), "described")
+    shareable = F.filter("rare", lambda r: r["times"] > 1)
+    first = F.slice("rare", F.lit(1), F.greatest(F.size("rare") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    keys = F.when(F.col("need") > 0, F.filter(first, lambda r: r["times"] > 1)).otherwise(shareable)
+    left = described.filter("loose").select(F.col("set_key").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"),
+                                            F.explode(F.transform(keys, lambda r: r["shingle"])).alias("shingle"))
+    right = described.select(F.col("set_key").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"),
+                             F.explode(F.transform(shareable, lambda r: r["shingle"])).alias("shingle"))
+    apart = (F.col("part_a") != F.col("part_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
+    by_rare = left.join(right, "shingle").filter(apart)
+    in_bucket = mixed_rows.select("band", "set_key").join(described.drop("rare"), "set_key")
+    x = in_bucket.filter("loose AND need <= 0").select("band", *[F.col(c).alias(f"{k}_a") for c, k in (("part", "part"), ("n", "n"), ("frequent", "f"))],
+                                                       F.col("set_key").alias("a"))
+    y = in_bucket.select("band", *[F.col(c).alias(f"{k}_b") for c, k in (("part", "part"), ("n", "n"), ("frequent", "f"))], F.col("set_key").alias("b"))
+    enough = F.least("f_a", "f_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    by_bucket = x.join(y, "band").filter(apart & enough)
+    return _ordered(by_rare.select("a", "b").union(by_bucket.select("a", "b")), "a", "b", done)
+
+
+SQL_COMPONENTS = """WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+    w AS (SELECT rid, len(words) AS n, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
+    shingles AS (SELECT DISTINCT rid, s FROM (SELECT rid, n, i, w || chr(32) || coalesce(lead(w) OVER (PARTITION BY rid ORDER BY i), '') AS s FROM w)
+        WHERE i < n OR n = 1),
+    sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+    shared AS (SELECT a.rid AS u, b.rid AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+    links AS (SELECT u, v FROM shared JOIN sizes x ON x.rid = u JOIN sizes y ON y.rid = v WHERE 100 * k >= 80 * (x.n + y.n - k)),
+    both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+    reached AS (SELECT rid, rid AS other FROM docs UNION SELECT r.rid, b.v FROM reached r JOIN both_ways b ON r.other = b.u),
+    named AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.rid = r.other GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN named USING (rid) LEFT JOIN sizes USING (rid)"""
+
+
+@register("op3_fast_similarity_sketch", SQL_COMPONENTS)
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8 or more, over all of ``documents``."""
     return link_documents(table(spark, sf_dir, "documents"), words=2)

@@ -25,6 +25,7 @@ from airgrid.llm.words import BASES, Powers, Sums, Words, mixed
 BANDS, BAND_ROWS = 40, 5  # a pair at similarity 0.8 shares no band with a probability of 1.3e-7
 COORDINATES = BANDS * BAND_ROWS
 FREQUENT = 16  # sets that hold a shingle, from which it is no key of its own
+PLACES = 128  # hashed places in which frequent shingles are counted
 
 
 def shingle_sets(texts: list[bytes], words: int, powers: Powers) -> list[np.ndarray]:
@@ -215,14 +216,27 @@ def _to_hubs(shared: DataFrame, part: DataFrame, links: DataFrame, done: DataFra
     return _ordered(pairs.select("set_key", F.col("hub.set_key").alias("hub")), "set_key", "hub", done)
 
 
+def _with_counts(described: DataFrame) -> DataFrame:
+    """``places``, the place of each frequent shingle, made to ``counts``, the number in each place."""
+    keep = [c for c in described.columns if c != "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(np.array(p, np.int64), minlength=PLACES) for p in batch.column("places").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(counts, pa.list_(pa.int32()))], [*keep, "counts"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in described.schema if f.name in keep)
+    return described.mapInArrow(run, f"{kinds}, counts array<int>")
+
+
 def _across(shared: DataFrame, part: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs that may still be linked: sets of a bucket outside its largest part, each with the sets it can be similar to.
 
     Shingles in ``FREQUENT`` sets or more are frequent, the others rare.  A set x with f frequent shingles must share
     ``percent`` of its shingles with a partner, so at least that less f of its rare ones.  Of its rare shingles, rarest
     first, all but as many less one must then hold a shared one, and a rare shingle has few sets.  Only where f alone is
-    enough can a partner share no rare shingle; such a pair must have enough frequent ones on both sides, and meets in its
-    bucket.  No link is lost, and a group of near copies whose members are not linked is not compared pair by pair.
+    enough can a partner share no rare shingle; such a pair meets in its bucket, if the frequent ones that both have in each
+    of ``PLACES`` hashed places could add up to enough.  No link is lost, and sets that only look alike are not paired.
     """
     placed = _placed(shared, part)
     sizes = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
@@ -234,9 +248,10 @@ def _across(shared: DataFrame, part: DataFrame, sets: DataFrame, done: DataFrame
     times = held.groupBy("shingle").agg(F.count("*").alias("times"))
     rare = F.when(F.col("times") < FREQUENT, F.struct("times", "shingle"))
     counted = held.join(times, "shingle").groupBy("set_key").agg(
-        F.count_if(F.col("times") >= FREQUENT).alias("frequent"), F.array_sort(F.collect_list(rare)).alias("rare"))
+        F.count_if(F.col("times") >= FREQUENT).alias("frequent"), F.array_sort(F.collect_list(rare)).alias("rare"),
+        F.collect_list(F.when(F.col("times") >= FREQUENT, F.pmod("shingle", F.lit(PLACES)).cast("smallint"))).alias("places"))
     need = F.ceil(F.col("n") * percent / 100) - F.col("frequent")
-    described = stored(members.join(counted, "set_key").withColumn("need", need), "described")
+    described = stored(_with_counts(members.join(counted, "set_key").withColumn("need", need)), "described")
     shareable = F.filter("rare", lambda r: r["times"] > 1)
     first = F.slice("rare", F.lit(1), F.greatest(F.size("rare") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
     keys = F.when(F.col("need") > 0, F.filter(first, lambda r: r["times"] > 1)).otherwise(shareable)
@@ -246,12 +261,13 @@ def _across(shared: DataFrame, part: DataFrame, sets: DataFrame, done: DataFrame
                              F.explode(F.transform(shareable, lambda r: r["shingle"])).alias("shingle"))
     apart = (F.col("part_a") != F.col("part_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
     by_rare = left.join(right, "shingle").filter(apart)
-    in_bucket = mixed_rows.select("band", "set_key").join(described.drop("rare"), "set_key")
-    x = in_bucket.filter("loose AND need <= 0").select("band", *[F.col(c).alias(f"{k}_a") for c, k in (("part", "part"), ("n", "n"), ("frequent", "f"))],
-                                                       F.col("set_key").alias("a"))
-    y = in_bucket.select("band", *[F.col(c).alias(f"{k}_b") for c, k in (("part", "part"), ("n", "n"), ("frequent", "f"))], F.col("set_key").alias("b"))
-    enough = F.least("f_a", "f_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    by_bucket = x.join(y, "band").filter(apart & enough)
+    in_bucket = mixed_rows.select("band", "set_key").join(described.drop("rare", "frequent"), "set_key")
+    x = in_bucket.filter("loose AND need <= 0").select("band", F.col("set_key").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"),
+                                                       F.col("counts").alias("counts_a"))
+    y = in_bucket.join(x.select("band").distinct(), "band", "left_semi").select(
+        "band", F.col("set_key").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
+    most = F.aggregate(F.zip_with("counts_a", "counts_b", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, c: acc + c)
+    by_bucket = x.join(y, "band").filter(apart & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent))
     return _ordered(by_rare.select("a", "b").union(by_bucket.select("a", "b")), "a", "b", done)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm.catalog import register, table
-from airgrid.llm.tasks import slices, stored
+from airgrid.llm.tasks import stored
 from airgrid.llm.tiles import (NO_ID, QUESTION, Tiles, answered, bits_of, bucket_of, build_tiles, difference_cover_places, held_elsewhere,
                                low_bytes, marked, questions, text_key)
 from airgrid.llm.words import Powers, Sums, byte_values
@@ -38,7 +38,8 @@ class Tile:
         self.data = np.frombuffer(data, np.uint8)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.sums = [Sums(byte_values(f)[self.data], powers[f]) for f in (0, 1)]
+        self.sums = Sums(byte_values(0)[self.data], powers[0])
+        self.powers = powers[1]
         self.sample_buckets = 1 + n_bytes * len(COVER) // PERIOD // BUCKET_NAMES
         self.merge_buckets = 1 + n_bytes // (8 * BUCKET_NAMES)
 
@@ -52,7 +53,7 @@ class Tile:
         self.places = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         ends = (self.starts + self.sizes)[long]
         self.text_begin, self.text_end = np.repeat(self.starts[long], [len(p) for p in parts]), np.repeat(ends, [len(p) for p in parts])
-        names = self.sums[0].names(self.places, self.places + SAMPLE_BYTES)
+        names = self.sums.names(self.places, self.places + SAMPLE_BYTES)
         self.names, self.name_of_place, self.times = np.unique(names, return_inverse=True, return_counts=True)
         self.name_buckets = bucket_of(self.names, self.sample_buckets)
 
@@ -63,8 +64,9 @@ class Tile:
         low, high = np.maximum(begin, place - PERIOD + 1), np.minimum(place, end - LENGTH)
         there = low <= high
         self.begins = np.flatnonzero(marked(len(self.data), low[there], high[there] + 1))
-        names = self.sums[0].names(self.begins, self.begins + LENGTH)
-        buckets = bucket_of(self.sums[1].names(self.begins, self.begins + LENGTH), self.merge_buckets)
+        names = self.sums.names(self.begins, self.begins + LENGTH)
+        second = Sums(byte_values(1)[self.data], self.powers)
+        buckets = bucket_of(second.names(self.begins, self.begins + LENGTH), self.merge_buckets)
         order = np.lexsort((names, buckets))
         names, buckets = names[order], buckets[order]
         new = np.ones(len(order), bool)
@@ -107,8 +109,8 @@ def _ask_prefixes(row: dict, tile: Tile) -> pa.RecordBatch:
     return questions(row["tile"], tile.prefix_buckets, low_bytes(tile.prefixes, 8))
 
 
-def _cut(row: dict, tile: Tile) -> pa.RecordBatch:
-    """What is kept of each text of a tile."""
+def _cut(row: dict, tile: Tile, whole_characters: bool) -> pa.RecordBatch:
+    """What is kept of each text of a tile; with ``whole_characters`` without those cut in two."""
     tile.remaining(row["samples"])
     gone = tile.removed(row["prefixes"])
     out = []
@@ -118,12 +120,13 @@ def _cut(row: dict, tile: Tile) -> pa.RecordBatch:
             here = np.ones(size, bool)
         n = int(here.sum())
         spans = int((here[1:] & ~here[:-1]).sum() + here[0]) if n else 0
-        out.append((key, size, n, spans, tile.data[begin:begin + size][~here].tobytes() if n else row["data"][begin:begin + size]))
+        kept = tile.data[begin:begin + size][~here].tobytes() if n else row["data"][begin:begin + size]
+        out.append((key, size, n, spans, kept.decode("utf-8", "ignore").encode() if n and whole_characters else kept))
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, Tiles]:
+def remove_repeats(docs: DataFrame, whole_characters: bool = False) -> tuple[DataFrame, DataFrame, Tiles]:
     """What is left of each distinct text, and which row has which text.
 
     Texts are UTF-8 bytes; a null text is an empty one.  Every byte covered by a string of ``LENGTH`` bytes that also
@@ -137,7 +140,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, Tiles]:
     asked = _each_tile(tiles, tiles.joined(samples=samples).select("tile", "sizes", "data", "samples"), QUESTION, _ask_prefixes)
     prefixes = stored(answered(asked, held_elsewhere(8)), "prefixes")
     rows = tiles.joined(samples=samples, prefixes=prefixes).drop("firsts")
-    cut = _each_tile(tiles, rows, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", _cut)
+    cut = _each_tile(tiles, rows, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary",
+                     lambda row, tile: _cut(row, tile, whole_characters))
     return cut, tiles.members.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), tiles
 
 
@@ -156,15 +160,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     if "_key" in docs.columns:
         raise ValueError("column _key is made here")
-    cut, _, tiles = remove_repeats(docs.select("doc_id", "text"))
+    cut, _, tiles = remove_repeats(docs.select("doc_id", "text"), whole_characters=True)
     tiles.close()  # its files stay
-
-    def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "kept"):
-            texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["_key", "_kept"])
-
-    left = cut.select("key", "kept").mapInArrow(whole_characters, "_key binary, _kept string")
+    left = cut.select(F.col("key").alias("_key"), F.decode("kept", "UTF-8").alias("_kept"))
     rows = docs.withColumn("_key", text_key(F.coalesce("text", F.lit("")))).drop("text")
     return rows.join(left, "_key").select(*[F.col("_kept").alias(c) if c == "text" else F.col(c) for c in docs.columns])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from airgrid.llm.tasks import slices
 from airgrid.session import scratch_path
 
-TILE_BYTES = 2 << 20  # expected bytes in a tile; one longer text makes a longer tile
+TILE_BYTES = 1 << 20  # expected bytes in a tile; one longer text makes a longer tile
 NO_ID = (1 << 63) - 1  # stands for a null doc_id, after all others
 TILE = "tile bigint, keys array<binary>, firsts array<bigint>, copies array<bigint>, sizes array<bigint>, data binary"
 

@@ -136,11 +136,11 @@ class AdaBoost(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPar
             if before is not None:
                 before.unpersist()
             scored = fitted.transform(rows).withColumn("_error", F.abs(F.col("_tree") - F.col(label)))
-            worst = scored.agg(F.max("_error")).first()[0]
+            worst, lost, weight = scored.agg(F.max("_error"), F.sum(F.col("_weight") * F.col("_error")), F.sum("_weight")).first()
             if not worst:
                 members, says = [*members, fitted], [*says, 1.0]
                 break
-            loss = scored.agg(F.sum(F.col("_weight") * F.col("_error") / worst) / F.sum("_weight")).first()[0]
+            loss = lost / worst / weight
             if loss >= 0.5:
                 if not members:
                     members, says = [fitted], [1.0]

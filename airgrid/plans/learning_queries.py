@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -11,9 +10,7 @@ from airgrid.functions import text
 from airgrid.learning import selection
 from airgrid.learning.collection import (ModelCollection, ModelStack, column_name, default_models, feature_importances,
                                          tree_lines)
-from airgrid.learning.linear import BayesianRidge, LinearSVR
-from airgrid.learning.network import Perceptron
-from airgrid.learning.trees import AdaBoost, ExtraTrees
+from airgrid.learning.linear import BayesianRidge
 from airgrid.operators import features, matching, scoring
 from airgrid.operators.binding import if_small
 from airgrid.plans.catalog import register
@@ -34,17 +31,13 @@ def split(t):
     return marked.filter(~F.col("is_test")), marked.filter("is_test")
 
 
-def fitted(t, names, models=None) -> tuple[ModelCollection, object]:
-    chosen = {**default_models(LABEL, trees=10, depth=6), **(models or {})}
+def fitted(t, names) -> tuple[ModelCollection, object]:
+    chosen = default_models(LABEL)
     collection = ModelCollection(INPUTS, LABEL, {n: chosen[n] for n in names})
     train, test = split(t)
     return collection.fit(train), test
 
 
-def named(name, make, **params) -> dict[str, Pipeline]:
-    return {name: Pipeline(stages=[make(featuresCol="features", labelCol=LABEL, predictionCol=column_name(name), **params)])}
-
-
 @register("ml_linear", """
     SELECT round(regr_slope(PM25, AOD), 6) AS slope, round(regr_intercept(PM25, AOD), 6) AS intercept,
            round(regr_r2(PM25, AOD), 6) AS r2, count(*) AS n FROM features""")
@@ -109,9 +102,9 @@ def _(t):
     return rounded(t.spark.createDataFrame([row], "slope double, intercept double"), 4)
 
 
-def scores_of(name, models=None):
+def scores_of(name):
     def run(t):
-        collection, test = fitted(t, [name], models)
+        collection, test = fitted(t, [name])
         return rounded(collection.compute_scores(test), 3)
 
     return run
@@ -119,25 +112,13 @@ def scores_of(name, models=None):
 
 register("ml_elastic_net")(scores_of("Elastic Net"))
 register("ml_polynomial")(scores_of("Polynomial"))
-register("ml_svr")(scores_of("SVR", named("SVR", LinearSVR, maxIter=25)))
-register("ml_mlp")(scores_of("MLP", named("MLP", Perceptron, hidden=[20], maxIter=15)))
-register("ml_ada_boost")(scores_of("Ada Boost", named("Ada Boost", AdaBoost, numTrees=8)))
+register("ml_svr")(scores_of("SVR"))
+register("ml_mlp")(scores_of("MLP"))
+register("ml_ada_boost")(scores_of("Ada Boost"))
 register("ml_random_forest")(scores_of("Random Forest"))
-register("ml_extra_trees")(scores_of("Extra Trees", named("Extra Trees", ExtraTrees, numTrees=8, maxDepth=6)))
-
-
-def boosted(name):
-    def run(t):
-        pipeline = default_models(LABEL)[name].copy()
-        pipeline.getStages()[-1].setMaxIter(15)
-        collection, test = fitted(t, [name], {name: pipeline})
-        return rounded(collection.compute_scores(test), 3)
-
-    return run
-
-
-register("ml_gradient_boost")(boosted("Gradient Boost"))
-register("ml_xgboost")(boosted("XGBoost"))
+register("ml_extra_trees")(scores_of("Extra Trees"))
+register("ml_gradient_boost")(scores_of("Gradient Boost"))
+register("ml_xgboost")(scores_of("XGBoost"))
 
 
 @register("ml_bayesian_ridge")

@@ -3,10 +3,12 @@
 A document meets a benchmark item through shared seeds, runs of ``MIN_MATCH`` tokens.  The pair is then tiled: the longest
 common runs of unmarked tokens are marked first, found by running Karp-Rabin hashes over shorter and shorter windows, until
 no common run of ``MIN_MATCH`` tokens is left.  Tiles may stand in any order, so a reordered passage is covered as well.
+Where short items are asked for, an item of fewer tokens has one seed and one possible tile: all of it.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +25,47 @@ FIRST_WINDOW = 32  # tokens in the first, longest window
 THRESHOLD = 0.5  # share of an item's tokens that tiles must cover
 BLOCK_CHARS = 16 << 20  # benchmark characters sent to the tasks at once; larger benchmarks take several passes
 
-# Tokens are runs of letters, digits and non-ASCII bytes, compared without regard to case.
+# Tokens are runs of letters, marks and digits, compared without regard to case; in scripts written without breaks between words each
+# character is one.  ``parted`` puts blanks where non-ASCII text is to be cut, so that bytes decide from there on.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = False
 
 
+JOINERS = "\u00ad\u200c\u200d"  # soft hyphen and (non-)joiner stand inside words
+# Code points of scripts without word breaks: Thai, Lao, Myanmar, Khmer, the Tai scripts, Balinese, Javanese, radicals, kana,
+# bopomofo, Han, Yi, cuneiform, hieroglyphs, Tangut, Khitan, kana supplements, Nushu and the ideographic planes.
+UNBROKEN = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF),
+            (0x3005, 0x3007), (0x3021, 0x3035), (0x3038, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF),
+            (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x12000, 0x1345F), (0x17000, 0x18DFF),
+            (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)]
+
+
+class Parts(dict):
+    """What stands for a character, by code point: itself, a blank, or itself between blanks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if any(a <= code <= b for a, b in UNBROKEN) and kind[0] not in "PZ":
+            self[code] = f" {c} "
+        elif code >= 0x80 and (kind[0] in "PSZ" or kind in ("Cc", "Cf")) and c not in JOINERS:
+            self[code] = " "
+        else:
+            self[code] = c
+        return self[code]
+
+
+PARTS = Parts()
+
+
+def parted(text: str) -> str:
+    if text.isascii() or all(PARTS[ord(c)] == c for c in set(text)):
+        return text
+    return text.translate(PARTS)
+
+
 def tokens(texts: list[str], powers: Powers) -> Words:
-    return Words([t.lower().encode() for t in texts], 0, BETWEEN, powers)
+    return Words([parted(t.lower()).encode() for t in texts], 0, BETWEEN, powers)
 
 
 def windows(sums: Sums, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +126,19 @@ def tile(item: np.ndarray, text: np.ndarray, powers: Powers, min_match: int = MI
 class Benchmark:
     """Seeds of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], min_match: int):
+    def __init__(self, items: list[tuple[int | None, str]], min_match: int, short_items: bool = False):
         self.powers = Powers(0)
         words = tokens([t for _, t in items], self.powers)
         self.ids = [i for i, _ in items]
         self.first, self.names = words.first, words.names
-        begins, seeds = words.runs(min_match)
+        sizes = np.diff(words.first)
+        short = np.unique(sizes[(sizes > 0) & (sizes < min_match)]).tolist() if short_items else []
+        self.lengths = [min_match, *short]  # tokens in a seed; a short item is one seed
+        runs = [words.runs(n) for n in self.lengths]
+        for k, n in enumerate(short, 1):
+            whole = sizes[words.text_of_word()[runs[k][0]]] == n
+            runs[k] = runs[k][0][whole], runs[k][1][whole]
+        begins, seeds = map(np.concatenate, zip(*runs))
         order = np.lexsort((begins, seeds))
         self.seeds, self.at = seeds[order], begins[order]
         self.item_of = words.text_of_word()[self.at]
@@ -106,7 +149,7 @@ class Benchmark:
         """Tokens of each text; (item, covered, item's tokens, tiles) of its best covered item, if any is beyond the threshold."""
         words = tokens(texts, self.powers)
         found: list[tuple] = [(None, 0, 0, 0)] * len(texts)
-        begins, seeds = words.runs(self.min_match)
+        begins, seeds = map(np.concatenate, zip(*[words.runs(n) for n in self.lengths]))
         if len(self.distinct) and len(seeds):
             place = np.minimum(np.searchsorted(self.distinct, seeds), len(self.distinct) - 1)
             hit = self.distinct[place] == seeds
@@ -121,24 +164,27 @@ class Benchmark:
         best: tuple = (None, 0, 0, 0)
         for k in np.unique(self.item_of[rows]).tolist():
             begin, end = int(self.first[k]), int(self.first[k + 1])
+            shortest = min(self.min_match, end - begin)
             reach = np.zeros(end - begin, bool)  # what tiles could cover at most
             for at in self.at[rows[self.item_of[rows] == k]] - begin:
-                reach[at:at + self.min_match] = True
+                reach[at:at + shortest] = True
             if reach.sum() < threshold * len(reach):
                 continue
-            tiles = tile(self.names[begin:end], text, self.powers, self.min_match)
+            tiles = tile(self.names[begin:end], text, self.powers, shortest)
             covered = sum(n for _, _, n in tiles)
             if covered >= threshold * len(reach) and covered * max(1, best[2]) > best[1] * len(reach):
                 best = (k, covered, len(reach), len(tiles))
         return best
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH,
+                  short_items: bool = False) -> DataFrame:
     """The columns of ``docs`` with ``n_tokens, contaminated, item_id, covered, item_tokens, n_tiles`` of the best covered item.
 
     A row is contaminated if tiles cover ``threshold`` of an item's tokens or more.  Null and empty texts have no tokens
-    and are clean.  Items of fewer than ``min_match`` tokens, null ones among them, have no seed and match nothing; a null
-    item_id is reported as null.  Of items equally covered the one that comes first by text and id counts.
+    and are clean.  Items of fewer than ``min_match`` tokens are looked for whole with ``short_items`` and match nothing
+    without; null ones and those without tokens match nothing; a null item_id is reported as null.  Of items equally covered
+    the one that comes first by text and id counts.
 
     The benchmark is a query set set against all rows in blocks of ``BLOCK_CHARS``: its size is measured first, and each
     block beyond the first is a further pass over the written rows.
@@ -156,17 +202,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text", "item_id").collect()
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
-        found = found.mapInArrow(_pass(sent, keep, names, threshold, min_match), kinds)
+        found = found.mapInArrow(_pass(sent, keep, names, threshold, min_match, short_items), kinds)
         if b + 1 < blocks:
             found = stored(found, "tiled")
     return found
 
 
-def _pass(sent, keep: list[str], names: list[str], threshold: float, min_match: int):
+def _pass(sent, keep: list[str], names: list[str], threshold: float, min_match: int, short_items: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = None
         for batch in slices(batches, "text"):
-            items = items or Benchmark(sent.value, min_match)
+            items = items or Benchmark(sent.value, min_match, short_items)
             sizes, found = items.best([t or "" for t in batch.column("text").to_pylist()], threshold)
             rows = []
             earlier = zip(*[batch.column(n).to_pylist() for n in names]) if names[0] in batch.schema.names else [None] * len(sizes)
@@ -186,4 +232,4 @@ def _pass(sent, keep: list[str], names: list[str], threshold: float, min_match:
 @register("op1_greedy_string_tiling")
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short_items=True).drop("text")

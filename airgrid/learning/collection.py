@@ -11,11 +11,13 @@ from functools import reduce
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airgrid.learning.base import feature_means, moments
 from airgrid.learning.linear import BayesianRidge, LinearSVR
 from airgrid.learning.network import Perceptron
 from airgrid.learning.trees import AdaBoost, ExtraTrees
@@ -159,10 +161,14 @@ class ModelCollection:
              parallel: int = 4) -> dict[str, dict]:
         """Best parameters per model by R2 over the folds; given grids take the place of the default ones.
 
-        Grid points Spark does not accept are left out with a warning.
+        Grid points Spark does not accept are left out with a warning.  The elastic net and Bayesian ridge take all
+        their points from one Gram matrix per fold.
         """
+        from airgrid.learning.selection import grid_r2, takes_grams
+
         rows = self.training_table(df, F.col(fold).cast("int").alias("_fold")).persist()
         n_folds = rows.agg(F.max("_fold")).first()[0] + 1
+        grams = None
         try:
             for name, grid in {**DEFAULT_GRIDS, **(grids or {})}.items():
                 if not grid or name not in self.models:
@@ -172,8 +178,18 @@ class ModelCollection:
                 builder = ParamGridBuilder()
                 for param, values in grid.items():
                     builder = builder.addGrid(last.getParam(param), _accepted(name, param, values))
+                points = builder.build()
+                if takes_grams(pipeline, list(grid)):
+                    if grams is None:
+                        arrays = rows.select(vector_to_array(FEATURES).alias("x"), F.col(self.label).alias("y"), F.col("_fold").alias("fold"))
+                        center = feature_means(arrays)
+                        grams = moments(arrays, len(center), center, "fold", n_folds)
+                    metrics = grid_r2(last, points, grams)
+                    best = points[max(range(len(points)), key=metrics.__getitem__)]
+                    self.hyperparameters[name] = {"metrics": metrics, "best": best, "grid": points}
+                    continue
                 evaluator = RegressionEvaluator(labelCol=self.label, predictionCol=column_name(name), metricName="r2")
-                search = CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=evaluator,
+                search = CrossValidator(estimator=pipeline, estimatorParamMaps=points, evaluator=evaluator,
                                         numFolds=n_folds, foldCol="_fold", parallelism=parallel)
                 found = search.fit(rows)
                 best = found.getEstimatorParamMaps()[max(range(len(found.avgMetrics)), key=found.avgMetrics.__getitem__)]

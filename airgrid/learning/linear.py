@@ -49,6 +49,30 @@ def centred(gram: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray,
     return int(round(n)), sums / n, xx, xy, gram[-1, -1] - label_sum**2 / n, label_sum / n
 
 
+def elastic_net_weights(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, penalty: float, mix: float, start: np.ndarray | None = None,
+                        max_iter: int = 100_000, tol: float = 1e-10) -> np.ndarray:
+    """Weights of Spark's elastic net on inputs as they are, from centred moments, by coordinate descent.
+
+    The squared penalty is taken relative to the label's deviation, as Spark does.
+    """
+    weights = np.zeros(len(xy)) if start is None else start.copy()
+    deviation = np.sqrt(max(yy, 0.0) / max(n - 1, 1))
+    if not deviation:
+        return np.zeros(len(xy))
+    xx, xy, l1, l2 = xx / n, xy / n, penalty * mix, penalty * (1.0 - mix) / deviation
+    reach = np.sqrt(np.diag(xx))  # a step counts by what it moves the prediction
+    for _ in range(max_iter):
+        moved = 0.0
+        for j in range(len(xy)):
+            rest = xy[j] - xx[j] @ weights + xx[j, j] * weights[j]
+            value = np.sign(rest) * max(abs(rest) - l1, 0.0) / (xx[j, j] + l2) if xx[j, j] else 0.0
+            moved = max(moved, abs(value - weights[j]) * reach[j])
+            weights[j] = value
+        if moved <= tol * deviation:
+            break
+    return weights
+
+
 class BayesianRidge(Estimator, Supervised, DefaultParamsReadable, DefaultParamsWritable):
     """Ridge regression whose penalty and noise come from the data (evidence maximisation).
 

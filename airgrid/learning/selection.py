@@ -12,11 +12,13 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.learning.base import feature_means, moments
-from airgrid.learning.linear import centred
+from airgrid.learning.linear import BayesianRidge, centred, elastic_net_weights, evidence_ridge
 from airgrid.operators import summaries
 from airgrid.operators.ranking import with_running_totals
 from airgrid.session import materialise
@@ -74,7 +76,8 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     """(fold, train_size, train_r2, test_r2): models fitted on growing parts of the other folds.
 
     The rows are put in one hashed order, and a training part is the exact
-    leading share of it, so larger parts contain the smaller ones.
+    leading share of it, so larger parts contain the smaller ones.  Plain least squares takes all parts of a fold from
+    the Gram matrices of the stretches between them.
     """
     table = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df)
     ordered = table.select("features", label, F.col(fold).cast("int").alias("fold"), *keys,
@@ -85,7 +88,25 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     sizes = ranked.agg(*[F.max(c).alias(c) for c in places]).first()
     prediction = pipeline.getStages()[-1].getPredictionCol()
     results = []
+    plain = plain_least_squares(pipeline)
+    if plain:
+        arrays = ranked.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"), "fold", *places)
+        center = feature_means(arrays)
     for f in range(n_folds):
+        if plain:
+            parts = [max(1, int(round(share * sizes[f"_rank{f}"]))) for share in shares]
+            ends = sorted(set(parts))
+            stretch = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col(f"_rank{f}")))
+            cut = arrays.withColumn("stretch", F.when(F.col("fold") == f, len(ends) + 1).otherwise(stretch))
+            grams = moments(cut, len(center), center, "stretch", len(ends) + 2)
+            upto = dict(zip(ends, np.cumsum(grams, axis=0)))
+            for size in parts:
+                n, means, xx, xy, _, label_mean = centred(upto[size])
+                weights = np.linalg.lstsq(xx, xy, rcond=None)[0]
+                line = weights, label_mean - means @ weights
+                scores = [form_r2(gram, *line) for gram in (upto[size], grams[-1])]
+                results.append((f, size, *[r if np.isfinite(r) else None for r in scores]))
+            continue
         for share in shares:
             size = max(1, int(round(share * sizes[f"_rank{f}"])))
             part = ranked.filter((F.col("fold") != f) & (F.col(f"_rank{f}") <= size))
@@ -98,6 +119,12 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     return df.sparkSession.createDataFrame(results, "fold int, train_size int, train_r2 double, test_r2 double")
 
 
+def plain_least_squares(pipeline: Pipeline) -> bool:
+    last = pipeline.getStages()[-1]
+    return (len(pipeline.getStages()) == 1 and isinstance(last, LinearRegression) and not last.getRegParam() and last.getFitIntercept()
+            and last.getLoss() == "squaredError" and not last.isDefined("weightCol"))
+
+
 def fold_moments(df: DataFrame, inputs: Sequence[str], label: str, fold: str, n_folds: int) -> np.ndarray:
     """Gram matrices per fold around the overall means: one pass for every linear model to come."""
     rows = df.select(F.array(*[F.col(c).cast("double") for c in inputs]).alias("x"),
@@ -105,6 +132,42 @@ def fold_moments(df: DataFrame, inputs: Sequence[str], label: str, fold: str, n_
     return moments(rows, len(inputs), feature_means(rows), "fold", n_folds)
 
 
+def form_r2(gram: np.ndarray, weights: np.ndarray, intercept: float) -> float:
+    """R2 of a linear form on the rows of one Gram matrix of [1, x, y]."""
+    form = np.concatenate([[-intercept], -weights, [1.0]])  # residual as a linear form in [1, x, y]
+    return float(1.0 - form @ gram @ form / (gram[-1, -1] - gram[0, -1] ** 2 / gram[0, 0]))
+
+
+def takes_grams(pipeline: Pipeline, names: Sequence[str]) -> bool:
+    """Whether a model can be searched over these parameters from Gram matrices alone."""
+    if len(pipeline.getStages()) > 1:
+        return False
+    last = pipeline.getStages()[-1]
+    if isinstance(last, BayesianRidge):
+        return set(names) <= {"alpha_1", "alpha_2", "lambda_1", "lambda_2", "maxIter", "tol"}
+    return (isinstance(last, LinearRegression) and not last.getStandardization() and last.getFitIntercept() and last.getLoss() == "squaredError"
+            and not last.isDefined("weightCol") and set(names) <= {"regParam", "elasticNetParam"})
+
+
+def grid_r2(last: LinearRegression | BayesianRidge, points: Sequence[dict], grams: np.ndarray) -> list[float]:
+    """Mean held-out R2 over the folds at every grid point, without reading the data again."""
+    if empty := [f for f, gram in enumerate(grams) if not gram[0, 0]]:
+        raise ValueError(f"folds without rows: {empty}")
+    total, scores = grams.sum(axis=0), np.zeros((len(points), len(grams)))
+    for f, gram in enumerate(grams):
+        n, means, xx, xy, yy, label_mean = centred(total - gram)
+        weights = None
+        for k, point in enumerate(points):
+            at = {p.name: v for p, v in last.extractParamMap(point).items()}
+            if isinstance(last, BayesianRidge):
+                priors = (at["alpha_1"], at["alpha_2"], at["lambda_1"], at["lambda_2"])
+                weights, _, _ = evidence_ridge(xx, xy, yy, n, priors, at["maxIter"], at["tol"])
+            else:
+                weights = elastic_net_weights(xx, xy, yy, n, at["regParam"], at["elasticNetParam"], weights)
+            scores[k, f] = form_r2(gram, weights, label_mean - means @ weights)
+    return scores.mean(axis=1).tolist()
+
+
 def subset_r2(grams: np.ndarray, chosen: Sequence[int]) -> list[float]:
     """Held-out R2 per fold of the least-squares model on some of the inputs, from the Gram matrices alone."""
     total, scores = grams.sum(axis=0), []

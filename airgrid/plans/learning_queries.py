@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -131,6 +133,7 @@ def _(t):
 
 
 FAST = ["Linear Regression", "Polynomial", "Bayesian Ridge"]
+REFERENCE = [*FAST, "MLP", "Random Forest", "Extra Trees", "XGBoost"]
 
 
 @register("model_predictions")
@@ -144,11 +147,15 @@ def site_folds(t, k):
     return spread(t.features).join(if_small(table), SITE)
 
 
+def reference_models():
+    models = default_models(LABEL)
+    return {n: models[n] for n in REFERENCE}
+
+
 @register("cross_val_scores")
 def _(t):
-    models = default_models(LABEL)
-    collection = ModelCollection(INPUTS, LABEL, {n: models[n] for n in FAST})
-    return rounded(collection.cross_validate(site_folds(t, 5), "fold", 5, parallel=3), 4)
+    collection = ModelCollection(INPUTS, LABEL, reference_models())
+    return rounded(collection.cross_validate(site_folds(t, 10), "fold", 10, parallel=3), 4)
 
 
 @register("model_stack")
@@ -161,22 +168,19 @@ def _(t):
 
 @register("grid_search")
 def _(t):
-    models = default_models(LABEL)
-    collection = ModelCollection(INPUTS, LABEL, {"Elastic Net": models["Elastic Net"]})
-    found = collection.tune(site_folds(t, 3), "fold", {"Elastic Net": {"regParam": [0.05, 0.5], "elasticNetParam": [0.0, 0.5]}})
+    collection = ModelCollection(INPUTS, LABEL)
+    found = collection.tune(site_folds(t, 10), "fold")
     collection.update_models()
-    best = found["Elastic Net"]
-    rows = [(*sorted((p.name, float(v)) for p, v in point.items()), float(metric), point == best["best"])
-            for point, metric in zip(best["grid"], best["metrics"])]
-    rows = [(a[1], b[1], metric, is_best) for a, b, metric, is_best in rows]
-    return rounded(t.spark.createDataFrame(rows, "elastic_net_param double, reg_param double, r2 double, is_best boolean"), 4)
+    rows = [(column_name(name), json.dumps({p.name: v for p, v in point.items()}, sort_keys=True), float(metric), point == best["best"])
+            for name, best in found.items() for point, metric in zip(best["grid"], best["metrics"])]
+    return rounded(t.spark.createDataFrame(rows, "model string, point string, r2 double, is_best boolean"), 4)
 
 
 @register("learning_curve")
 def _(t):
     pipeline = default_models(LABEL)["Linear Regression"]
-    folds = site_folds(t, 3)
-    return rounded(selection.learning_curve(pipeline, folds, INPUTS, LABEL, "fold", 3, ROW_KEY, [0.05, 0.25, 1.0]), 4)
+    shares = [k / 20 for k in range(1, 21)]
+    return rounded(selection.learning_curve(pipeline, site_folds(t, 5), INPUTS, LABEL, "fold", 5, ROW_KEY, shares), 4)
 
 
 @register("forward_selection")
@@ -211,9 +215,8 @@ def weather_grid(t):
 
 @register("grid_scoring")
 def _(t):
-    models = default_models(LABEL)
     inputs = [*INPUTS, *features.MONTHS]
-    collection = ModelCollection(inputs, LABEL, {n: models[n] for n in ("Linear Regression", "Bayesian Ridge")})
+    collection = ModelCollection(inputs, LABEL, reference_models())
     collection.fit(features.model_inputs(spread(t.features), inputs, keep=[LABEL]))
     return rounded(scoring.score_grid(weather_grid(t), inputs, collection.predict), 4)
 

@@ -76,7 +76,7 @@ class PerceptronModel(Model, Supervised, DefaultParamsReadable, DefaultParamsWri
 
 
 class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Rectified hidden layers, squared loss, early stopping on a tenth of the rows.
+    """Rectified hidden layers, squared loss, early stopping on a tenth of the rows; ``maxIter`` is only a backstop.
 
     Every epoch is one Spark job: each partition takes Adam steps over its own
     mini-batches from the common weights, and the results are averaged by rows.
@@ -91,10 +91,10 @@ class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
     patience = Param(Params._dummy(), "patience", "epochs without gain before stopping", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", hidden=(100,), maxIter=200,
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", hidden=(100,), maxIter=50_000,
                  stepSize=1e-3, batchSize=200, alpha=1e-4, patience=10, seed=42) -> None:
         super().__init__()
-        self._setDefault(hidden=[100], maxIter=200, stepSize=1e-3, batchSize=200, alpha=1e-4, patience=10, seed=42)
+        self._setDefault(hidden=[100], maxIter=50_000, stepSize=1e-3, batchSize=200, alpha=1e-4, patience=10, seed=42)
         self._set(**{k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()})
 
     def _fit(self, dataset: DataFrame) -> PerceptronModel:

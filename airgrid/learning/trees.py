@@ -49,10 +49,10 @@ class ExtraTrees(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
     parallelism = Param(Params._dummy(), "parallelism", "trees fitted at a time", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100, maxDepth=20,
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100, maxDepth=30,
                  minInstancesPerNode=1, cuts=30, parallelism=4, seed=42) -> None:
         super().__init__()
-        self._setDefault(numTrees=100, maxDepth=20, minInstancesPerNode=1, cuts=30, parallelism=4, seed=42)
+        self._setDefault(numTrees=100, maxDepth=30, minInstancesPerNode=1, cuts=30, parallelism=4, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ExtraTreesModel:

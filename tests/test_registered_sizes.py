@@ -85,3 +85,9 @@ def test_curve_points_from_gram_matrices_score_as_fits_do(tables, monkeypatch):
     monkeypatch.setattr(selection, "plain_least_squares", lambda _: False)
     want = selection.learning_curve(*ask).collect()
     assert len(got) == 6 and [tuple(r) for r in got] == [pytest.approx(tuple(r), abs=1e-6) for r in want]
+
+
+def test_default_models_are_not_cut_below_the_reference(spark):
+    models = {n: settings(p) for n, p in default_models(LABEL).items()}
+    assert models["Random Forest"]["maxDepth"] == models["Extra Trees"]["maxDepth"] == 30
+    assert models["MLP"]["maxIter"] == 50_000 and models["MLP"]["patience"] == 10

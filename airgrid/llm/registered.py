@@ -1,3 +1,4 @@
 """Importing this module fills the catalog of training-data queries."""
 
-from airgrid.llm import bpe, chat, near_dedup, quality_model, quality_rules, sharding, substring_dedup, suffix_dedup, tiling, token_output  # noqa: F401
+from airgrid.llm import (bpe, chat, hard_negatives, near_dedup, quality_model, quality_rules,  # noqa: F401
+                         sharding, substring_dedup, suffix_dedup, tiling, token_output)

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -79,13 +80,18 @@ class Codec:
         self.mapped = {i: c for i, c in enumerate(byte_characters())}
         self.memo = Memo(MEMO_CHUNKS)
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text as little-endian 32-bit numbers, and the bytes that these ids decode to."""
         chunks = self.chunks(text) if text else []
         new = list({c for c in chunks if c not in self.memo})
         if new:
             self.memo.make_room(len(new))
             self.learn(chunks if not self.memo else new)
-        return list(chain.from_iterable(map(self.memo.__getitem__, chunks)))
+        found = list(map(self.memo.__getitem__, chunks))
+        return b"".join([ids for ids, _ in found]), b"".join([decoded for _, decoded in found])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text)[0], "<i4").tolist()
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks that are not remembered; a match that is itself a vocabulary entry is that entry."""
@@ -93,7 +99,8 @@ class Codec:
         rare = list({m for pieces in cut.values() for m in pieces if m not in self.ranks})
         merged = dict(zip(rare, self.model.encode([m.decode("latin-1").translate(self.mapped) for m in rare], num_threads=1) if rare else []))
         for c, pieces in cut.items():
-            self.memo[c] = list(chain.from_iterable([self.ranks[m]] if m in self.ranks else merged[m] for m in pieces))
+            ids = list(chain.from_iterable([self.ranks[m]] if m in self.ranks else merged[m] for m in pieces))
+            self.memo[c] = np.array(ids, "<i4").tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -113,10 +120,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(("codec", hash(sent.value), pattern), lambda: Codec(sent.value, pattern))
         for batch in slices(batches, "text"):
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.binary())],
-                ["doc_id", "ids", "decoded"])
+            packed, decoded = zip(*map(codec.encode_packed, batch.column("text").to_pylist()))
+            ends = np.cumsum([0, *map(len, packed)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         encode, "doc_id bigint, ids array<int>, decoded binary")

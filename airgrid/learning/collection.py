@@ -7,20 +7,23 @@ import time
 import warnings
 from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.learning.base import feature_means, moments
 from airgrid.learning.linear import BayesianRidge, LinearSVR
 from airgrid.learning.network import Perceptron
-from airgrid.learning.trees import AdaBoost, ExtraTrees
+from airgrid.learning.trees import AdaBoost, BoostedTrees, ExtraTrees, RandomForest
 from airgrid.operators import summaries
 
 FEATURES = "features"
@@ -32,7 +35,7 @@ def column_name(model: str) -> str:
 
 
 def default_models(label: str, trees: int = 100, depth: int = 30) -> dict[str, Pipeline]:
-    """The regressors by name; ``trees`` and ``depth`` size the averaged ensembles (30 is as deep as Spark goes)."""
+    """The regressors by name; ``trees`` and ``depth`` size the averaged ensembles."""
 
     def common(name: str) -> dict[str, str]:
         return {"featuresCol": FEATURES, "labelCol": label, "predictionCol": column_name(name)}
@@ -50,12 +53,10 @@ def default_models(label: str, trees: int = 100, depth: int = 30) -> dict[str, P
         "SVR": one("SVR", LinearSVR),
         "MLP": one("MLP", Perceptron),
         "Ada Boost": one("Ada Boost", AdaBoost),
-        "Random Forest": one("Random Forest", RandomForestRegressor, numTrees=trees, maxDepth=depth,
-                             featureSubsetStrategy="all", seed=42),
+        "Random Forest": one("Random Forest", RandomForest, numTrees=trees, maxDepth=depth),
         "Extra Trees": one("Extra Trees", ExtraTrees, numTrees=trees, maxDepth=depth),
-        "Gradient Boost": one("Gradient Boost", GBTRegressor, maxIter=100, stepSize=0.1, maxDepth=3, seed=42),
-        "XGBoost": one("XGBoost", GBTRegressor, maxIter=100, stepSize=0.3, maxDepth=6, subsamplingRate=0.9,
-                       featureSubsetStrategy="0.5", seed=42),
+        "Gradient Boost": one("Gradient Boost", BoostedTrees, maxIter=100, stepSize=0.1, maxDepth=3),
+        "XGBoost": one("XGBoost", BoostedTrees, maxIter=100, stepSize=0.3, maxDepth=6, rowShare=0.9, columnShare=0.5, l2=1.0),
     }
 
 
@@ -69,11 +70,12 @@ DEFAULT_GRIDS = {
     "SVR": {"C": [10.0 ** (-3 + 6 * k / 9) for k in range(10)]},
     "MLP": {"hidden": [[10], [50], [100], [100, 50, 10], [10, 100, 50], [10, 50, 100]]},
     "Ada Boost": {"numTrees": [100, 500, 1000], "learningRate": [round(0.1 * k, 1) for k in range(11)]},
-    "Random Forest": {"numTrees": [100, 200, 300], "minInstancesPerNode": [1, 2, 3, 4],
-                      "featureSubsetStrategy": ["1", "2", "3", "4"], "maxDepth": [10, 20, 30]},
-    "Extra Trees": {"numTrees": [100, 200, 300], "minInstancesPerNode": [1, 2, 3, 4], "maxDepth": [10, 20, 30]},
+    "Random Forest": {"numTrees": [100, 200, 300], "minSplit": [1, 2, 3, 4], "minInstancesPerNode": [1, 2, 3, 4],
+                      "featuresPerSplit": [1, 2, 3, 4], "maxDepth": [10, 20, 30]},
+    "Extra Trees": {"numTrees": [100, 200, 300], "minSplit": [1, 2, 3, 4], "minInstancesPerNode": [1, 2, 3, 4],
+                    "featuresPerSplit": [1, 2, 3, 4], "maxDepth": [10, 20, 30]},
     "Gradient Boost": {"stepSize": [round(0.1 * k, 1) for k in range(11)], "maxIter": [100, 500, 1000],
-                       "minInstancesPerNode": [1, 2, 3]},
+                       "minSplit": [2, 3, 4], "minInstancesPerNode": [1, 2, 3]},
     "XGBoost": {"stepSize": [round(0.1 * k, 1) for k in range(11)], "maxIter": [100, 500, 1000]},
 }
 
@@ -161,13 +163,13 @@ class ModelCollection:
              parallel: int = 4) -> dict[str, dict]:
         """Best parameters per model by R2 over the folds; given grids take the place of the default ones.
 
-        Grid points Spark does not accept are left out with a warning.  The elastic net and Bayesian ridge take all
-        their points from one Gram matrix per fold.
+        Grid points that make no model are left out with a warning.  The elastic net and Bayesian ridge take all their points
+        from one Gram matrix per fold; tree ensembles grow all folds together and read every point off the trees it shares.
         """
         from airgrid.learning.selection import grid_r2, takes_grams
 
         rows = self.training_table(df, F.col(fold).cast("int").alias("_fold")).persist()
-        n_folds = rows.agg(F.max("_fold")).first()[0] + 1
+        n_folds = (rows.agg(F.max("_fold")).first()[0] or 0) + 1
         grams = None
         try:
             for name, grid in {**DEFAULT_GRIDS, **(grids or {})}.items():
@@ -185,15 +187,15 @@ class ModelCollection:
                         center = feature_means(arrays)
                         grams = moments(arrays, len(center), center, "fold", n_folds)
                     metrics = grid_r2(last, points, grams)
-                    best = points[max(range(len(points)), key=metrics.__getitem__)]
-                    self.hyperparameters[name] = {"metrics": metrics, "best": best, "grid": points}
-                    continue
-                evaluator = RegressionEvaluator(labelCol=self.label, predictionCol=column_name(name), metricName="r2")
-                search = CrossValidator(estimator=pipeline, estimatorParamMaps=points, evaluator=evaluator,
-                                        numFolds=n_folds, foldCol="_fold", parallelism=parallel)
-                found = search.fit(rows)
-                best = found.getEstimatorParamMaps()[max(range(len(found.avgMetrics)), key=found.avgMetrics.__getitem__)]
-                self.hyperparameters[name] = {"metrics": found.avgMetrics, "best": best, "grid": search.getEstimatorParamMaps()}
+                elif shares_growth(pipeline):
+                    scores = last.staged_scores(rows, "_fold", n_folds, [{p.name: v for p, v in point.items()} for point in points])
+                    means = {r["point"]: r["r2"] for r in scores.groupBy("point").agg(F.avg("r2").alias("r2")).collect()}
+                    metrics = [means[k] for k in range(len(points))]
+                else:
+                    evaluator = RegressionEvaluator(labelCol=self.label, predictionCol=column_name(name), metricName="r2")
+                    metrics = points_r2(pipeline, points, evaluator, rows, n_folds, parallel)
+                best = points[max(range(len(points)), key=metrics.__getitem__)]
+                self.hyperparameters[name] = {"metrics": metrics, "best": best, "grid": points}
         finally:
             rows.unpersist()
         return self.hyperparameters
@@ -229,6 +231,24 @@ class ModelCollection:
         return self.cross_val_scores
 
 
+def shares_growth(pipeline: Pipeline) -> bool:
+    """Whether a model scores many folds and grid points from one growth."""
+    return len(pipeline.getStages()) == 1 and hasattr(pipeline.getStages()[-1], "staged_scores")
+
+
+def points_r2(pipeline: Pipeline, points: Sequence[dict], evaluator: RegressionEvaluator, rows: DataFrame, n_folds: int, parallel: int) -> list[float]:
+    """Mean R2 over the folds, a fit for each point and fold."""
+
+    def score(task: tuple[int, dict]) -> float:
+        fold, point = task
+        model = pipeline.fit(rows.filter(F.col("_fold") != fold), point)
+        return evaluator.evaluate(model.transform(rows.filter(F.col("_fold") == fold)))
+
+    with ThreadPool(parallel) as pool:
+        found = pool.map(inheritable_thread_target(rows.sparkSession)(score), [(f, p) for p in points for f in range(n_folds)])
+    return [float(np.mean(found[k * n_folds:(k + 1) * n_folds])) for k in range(len(points))]
+
+
 def _accepted(model: str, param: str, values: Sequence) -> list:
     good = [v for v in values if not (param in ("stepSize", "learningRate") and v <= 0)]
     if len(good) < len(values):
@@ -265,18 +285,11 @@ def scaled(inputs: str, output: str) -> StandardScaler:
 def feature_importances(model: PipelineModel, inputs: Sequence[str], spark: SparkSession) -> DataFrame:
     """Impurity importance of every input of a fitted tree ensemble."""
     last = model.stages[-1]
-    if hasattr(last, "members"):  # averaged trees
-        each = [m.stages[-1].featureImportances.toArray() for m in last.members]
-        values = sum(each) / len(each)
-    else:
-        values = last.featureImportances.toArray()
+    values = last.importances()
     return spark.createDataFrame([(n, float(v)) for n, v in zip(inputs, values)], "feature string, importance double")
 
 
 def tree_lines(model: PipelineModel, spark: SparkSession, tree: int = 0, depth: int = 2) -> DataFrame:
     """The upper levels of one tree as numbered lines of text."""
     last = model.stages[-1]
-    text = last.trees[tree].toDebugString if hasattr(last, "trees") else last.toDebugString
-    lines = [(len(s) - len(s.lstrip()), s.strip()) for s in text.splitlines() if s.strip()]
-    kept = [(n, indent, s) for n, (indent, s) in enumerate(lines) if indent <= depth + 1]
-    return spark.createDataFrame(kept, "line int, level int, text string")
+    return spark.createDataFrame(last.tree_lines(tree, depth), "line int, level int, text string")

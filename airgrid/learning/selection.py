@@ -34,13 +34,17 @@ def _fold_scores(scores: DataFrame) -> DataFrame:
 def cross_val_scores(collection: ModelCollection, df: DataFrame, fold: str, n_folds: int, parallel: int = 1) -> DataFrame:
     """(model, fold, r2, neg_mae, neg_rmse, n, fit_time) for every model and fold.
 
-    Fits are Spark jobs; ``parallel`` of them are submitted at a time.  The
-    predictions of all folds and models meet in one wide table that is scored in
-    one aggregate.
+    Tree ensembles grow all folds together.  Fits of the others are Spark jobs,
+    ``parallel`` of them submitted at a time; their predictions meet in one wide
+    table that is scored in one aggregate.  Rows without a fold are learned from
+    by the tree ensembles only, and scored by none.
     """
-    from airgrid.learning.collection import column_name
+    from airgrid.learning.collection import column_name, shares_growth
 
     rows = collection.training_table(df, F.col(fold).cast("int").alias("fold")).persist()
+    together = [n for n in collection.models if shares_growth(collection.models[n])]
+    alone = [n for n in collection.models if n not in together]
+    results, times = [], []
 
     def fit(task: tuple[str, int]):
         name, f = task
@@ -48,27 +52,30 @@ def cross_val_scores(collection: ModelCollection, df: DataFrame, fold: str, n_fo
         model = collection.models[name].fit(rows.filter(F.col("fold") != f))
         return name, f, model, time.perf_counter() - start
 
-    tasks = [(name, f) for f in range(n_folds) for name in collection.models]
-    pool = ThreadPool(parallel)
     try:
-        fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), tasks)
+        for name in together:  # all folds in one growth, each with its share of the time
+            start = time.perf_counter()
+            found = materialise(collection.models[name].getStages()[-1].staged_scores(rows, "fold", n_folds, [{}]))
+            results.append(_fold_scores(found.withColumn("model", F.lit(column_name(name)))))
+            times += [(column_name(name), f, (time.perf_counter() - start) / n_folds) for f in range(n_folds)]
+        if alone:
+            with ThreadPool(parallel) as pool:
+                fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), [(name, f) for f in range(n_folds) for name in alone])
+            parts = []
+            for f in range(n_folds):
+                part, added = rows.filter(F.col("fold") == f), []
+                for name, g, model, _ in fits:
+                    if g == f:
+                        added.append(column_name(name))
+                        part = model.transform(part).select("features", collection.label, "fold", *added)
+                parts.append(part.drop("features"))
+            wide = reduce(DataFrame.unionByName, parts)
+            results.append(materialise(_fold_scores(summaries.regression_scores(wide, collection.label, [column_name(n) for n in alone], by=["fold"]))))
+            times += [(column_name(n), f, s) for n, f, _, s in fits]
     finally:
-        pool.close()
-    parts = []
-    for f in range(n_folds):
-        part, added = rows.filter(F.col("fold") == f), []
-        for name, g, model, _ in fits:
-            if g == f:
-                added.append(column_name(name))
-                part = model.transform(part).select("features", collection.label, "fold", *added)
-        parts.append(part.drop("features"))
-    together = reduce(DataFrame.unionByName, parts)
-    names = [column_name(n) for n in collection.models]
-    scores = materialise(_fold_scores(summaries.regression_scores(together, collection.label, names, by=["fold"])))
-    rows.unpersist()
-    times = df.sparkSession.createDataFrame([(column_name(n), f, s) for n, f, _, s in fits],
-                                            "model string, fold int, fit_time double")
-    return scores.join(times, ["model", "fold"])
+        rows.unpersist()
+    seconds = df.sparkSession.createDataFrame(times, "model string, fold int, fit_time double")
+    return reduce(DataFrame.unionByName, results).join(seconds, ["model", "fold"])
 
 
 def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], label: str, fold: str, n_folds: int,
@@ -83,11 +90,13 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     ordered = table.select("features", label, F.col(fold).cast("int").alias("fold"), *keys,
                            F.xxhash64(*keys).alias("_hash"))
     # position of a row among the training rows of each fold, all folds in one pass
-    places = {f"_rank{f}": F.when(F.col("fold") != f, 1).otherwise(0) for f in range(n_folds)}
+    places = {f"_rank{f}": F.when(F.col("fold") != f, 1).otherwise(0) for f in range(n_folds)} | {"_place": F.lit(1)}
     ranked = materialise(with_running_totals(ordered, ["_hash", *keys], places))
     sizes = ranked.agg(*[F.max(c).alias(c) for c in places]).first()
     prediction = pipeline.getStages()[-1].getPredictionCol()
     results = []
+    if len(pipeline.getStages()) == 1 and hasattr(pipeline.getStages()[-1], "curve"):
+        return grown_curve(pipeline.getStages()[-1], ranked, n_folds, [[max(1, int(round(s * sizes[f"_rank{f}"]))) for s in shares] for f in range(n_folds)])
     plain = plain_least_squares(pipeline)
     if plain:
         arrays = ranked.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"), "fold", *places)
@@ -119,6 +128,21 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
     return df.sparkSession.createDataFrame(results, "fold int, train_size int, train_r2 double, test_r2 double")
 
 
+def grown_curve(last, ranked: DataFrame, n_folds: int, sizes: Sequence[Sequence[int]]) -> DataFrame:
+    """The curve of an estimator that grows all its points in one pass; ``ranked`` has ``_place``, in one order, and ``_rank`` per fold."""
+    tasks, about = [], []
+    for f in range(n_folds):
+        ends = ranked.filter((F.col("fold") != f) & F.col(f"_rank{f}").isin(sorted(set(sizes[f])))).select(f"_rank{f}", "_place").collect()  # a row a size
+        last_place = {r[0]: r["_place"] for r in ends}
+        for size in sizes[f]:
+            about.append((len(tasks), f, size))
+            tasks.append((f, last_place[size]))
+    scores = last.curve(ranked, "fold", "_place", tasks)
+    wide = scores.groupBy("task").agg(F.max(F.when(~F.col("held"), F.col("r2"))).alias("train_r2"), F.max(F.when(F.col("held"), F.col("r2"))).alias("test_r2"))
+    points = ranked.sparkSession.createDataFrame(about, "task int, fold int, train_size int")
+    return points.join(wide, "task").select("fold", "train_size", "train_r2", "test_r2")
+
+
 def plain_least_squares(pipeline: Pipeline) -> bool:
     last = pipeline.getStages()[-1]
     return (len(pipeline.getStages()) == 1 and isinstance(last, LinearRegression) and not last.getRegParam() and last.getFitIntercept()

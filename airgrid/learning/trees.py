@@ -1,160 +1,4 @@
-"""Tree ensembles Spark ML does not have."""
+"""The tree ensembles by name; ``forest`` and ``boosting`` grow them."""
 
-from __future__ import annotations
-
-from multiprocessing.pool import ThreadPool
-
-import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target, keyword_only
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasSeed
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from airgrid.learning.base import EnsembleModel, Supervised
-from airgrid.session import materialise
-
-STAGES_PER_WRITE = 10  # in between, the weights of one stage are cached until the next has used them
-
-
-class ExtraTreesModel(EnsembleModel):
-    """Mean prediction of trees grown on randomly cut features."""
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        keep = dataset.columns
-        x = vector_to_array(F.col(self.getFeaturesCol()))
-        names = self.members[0].stages[0].getInputCols()
-        spread = dataset.select(*keep, *[x[k].alias(n) for k, n in enumerate(names)])
-        scored, predictions = self.member_predictions(spread)
-        mean = sum((F.col(p) for p in predictions[1:]), F.col(predictions[0])) / len(predictions)
-        return scored.select(*keep, mean.alias(self.getPredictionCol()))
-
-
-class ExtraTrees(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Averaged trees, each grown on the whole data with its own random cut points per feature.
-
-    The cut points are drawn evenly between a feature's smallest and largest
-    value, as many as ``cuts``; a tree then picks the best of them at each node.
-    """
-
-    numTrees = Param(Params._dummy(), "numTrees", "number of trees", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "deepest level", TypeConverters.toInt)
-    minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "fewest rows in a leaf", TypeConverters.toInt)
-    cuts = Param(Params._dummy(), "cuts", "random cut points per feature", TypeConverters.toInt)
-    parallelism = Param(Params._dummy(), "parallelism", "trees fitted at a time", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=100, maxDepth=30,
-                 minInstancesPerNode=1, cuts=30, parallelism=4, seed=42) -> None:
-        super().__init__()
-        self._setDefault(numTrees=100, maxDepth=30, minInstancesPerNode=1, cuts=30, parallelism=4, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> ExtraTreesModel:
-        x = vector_to_array(F.col(self.getFeaturesCol()))
-        size = dataset.select(F.size(x)).first()[0]
-        names = [f"_x{k}" for k in range(size)]
-        rows = dataset.select(*[x[k].alias(n) for k, n in enumerate(names)], self.getLabelCol())
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            ends = rows.agg(*[F.min(n) for n in names], *[F.max(n) for n in names]).first()
-            draw = np.random.default_rng(self.getSeed())
-            cuts = self.getOrDefault(self.cuts)
-            pipelines = []
-            for k in range(self.getOrDefault(self.numTrees)):
-                splits = []
-                for f in range(size):
-                    low, high = ends[f], ends[f + size]
-                    inner = np.unique(draw.uniform(low, high, cuts)) if high > low else np.array([low])
-                    splits.append([float("-inf"), *[float(v) for v in inner], float("inf")])
-                cut = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"{n}_b" for n in names])
-                joined = VectorAssembler(inputCols=[f"{n}_b" for n in names], outputCol="_buckets")
-                tree = DecisionTreeRegressor(
-                    featuresCol="_buckets", labelCol=self.getLabelCol(), predictionCol="_tree", maxBins=cuts + 2,
-                    maxDepth=self.getOrDefault(self.maxDepth), seed=self.getSeed() + k,
-                    minInstancesPerNode=self.getOrDefault(self.minInstancesPerNode))
-                pipelines.append(Pipeline(stages=[cut, joined, tree]))
-            # the trees do not depend on each other: several fits are submitted at a time
-            fit = inheritable_thread_target(dataset.sparkSession)(lambda pipeline: pipeline.fit(rows))
-            with ThreadPool(self.getOrDefault(self.parallelism)) as pool:
-                members = pool.map(fit, pipelines)
-        finally:
-            rows.unpersist()
-        return self._copyValues(ExtraTreesModel(members))
-
-
-class AdaBoostModel(EnsembleModel):
-    """Weighted median of the members' predictions."""
-
-    memberWeights = Param(Params._dummy(), "memberWeights", "say of each member", TypeConverters.toListFloat)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        keep = dataset.columns
-        scored, names = self.member_predictions(dataset)
-        says = self.getOrDefault(self.memberWeights)
-        pairs = F.array_sort(F.array(*[F.struct(F.col(n).alias("p"), F.lit(s).alias("w")) for n, s in zip(names, says)]))
-        half = F.lit(0.5 * sum(says))
-        start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("p"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            upto = acc["upto"] + pair["w"]
-            return F.struct(upto.alias("upto"),
-                            F.when(acc["p"].isNull() & (upto >= half), pair["p"]).otherwise(acc["p"]).alias("p"))
-
-        median = F.aggregate(pairs, start, step, lambda acc: acc["p"])
-        return scored.select(*keep, median.alias(self.getPredictionCol()))
-
-
-class AdaBoost(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """AdaBoost.R2 with linear loss over shallow trees; rows carry their weight from stage to stage."""
-
-    numTrees = Param(Params._dummy(), "numTrees", "most stages", TypeConverters.toInt)
-    learningRate = Param(Params._dummy(), "learningRate", "shrinkage of each stage's say", TypeConverters.toFloat)
-    maxDepth = Param(Params._dummy(), "maxDepth", "depth of the trees", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", numTrees=50,
-                 learningRate=1.0, maxDepth=3, seed=42) -> None:
-        super().__init__()
-        self._setDefault(numTrees=50, learningRate=1.0, maxDepth=3, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, dataset: DataFrame) -> AdaBoostModel:
-        label, features = self.getLabelCol(), self.getFeaturesCol()
-        rate = self.getOrDefault(self.learningRate)
-        rows, before = materialise(dataset.select(features, label, F.lit(1.0).alias("_weight"))), None
-        members, says = [], []
-        for k in range(self.getOrDefault(self.numTrees)):
-            tree = DecisionTreeRegressor(featuresCol=features, labelCol=label, predictionCol="_tree", weightCol="_weight",
-                                         maxDepth=self.getOrDefault(self.maxDepth), seed=self.getSeed() + k)
-            fitted = Pipeline(stages=[tree]).fit(rows)
-            if before is not None:
-                before.unpersist()
-            scored = fitted.transform(rows).withColumn("_error", F.abs(F.col("_tree") - F.col(label)))
-            worst, lost, weight = scored.agg(F.max("_error"), F.sum(F.col("_weight") * F.col("_error")), F.sum("_weight")).first()
-            if not worst:
-                members, says = [*members, fitted], [*says, 1.0]
-                break
-            loss = lost / worst / weight
-            if loss >= 0.5:
-                if not members:
-                    members, says = [fitted], [1.0]
-                break
-            beta = loss / (1.0 - loss)
-            members.append(fitted)
-            says.append(float(rate * np.log(1.0 / beta)))
-            factor = F.pow(F.lit(beta), (F.lit(1.0) - F.col("_error") / worst) * rate)
-            before, rows = rows, scored.select(features, label, (F.col("_weight") * factor).alias("_weight"))
-            if k % STAGES_PER_WRITE == STAGES_PER_WRITE - 1:
-                rows = materialise(rows)  # the plan does not grow with the stages
-            else:
-                rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        rows.unpersist()
-        model = self._copyValues(AdaBoostModel(members))
-        model._set(memberWeights=says)
-        return model
+from airgrid.learning.boosting import AdaBoost, AdaBoostModel, BoostedModel, BoostedTrees  # noqa: F401
+from airgrid.learning.forest import ExtraTrees, ExtraTreesModel, RandomForest, RandomForestModel  # noqa: F401

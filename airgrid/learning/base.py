@@ -6,12 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
-                             MLReadable, MLReader, MLWritable, MLWriter)
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +24,35 @@ class Supervised(HasFeaturesCol, HasLabelCol, HasPredictionCol):
                               F.col(self.getLabelCol()).cast("double").alias("y"), *extra)
 
 
-def summed(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[int, float] | np.ndarray]) -> np.ndarray:
+PIECE = 4096  # numbers of a summed vector that travel as one row
+
+
+def summed(rows: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray]) -> np.ndarray:
     """Sum of one numpy vector per partition.
 
     Each task folds its rows, batch by batch, into a vector; the vectors are
-    added up by position in a shuffle, so the driver gets one vector however
-    many partitions there are.
+    cut into pieces that meet in a shuffle and are added up as they stream by,
+    so the driver gets one vector however many partitions there are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = partial(batches)
-        yield pd.DataFrame({"k": np.arange(len(total), dtype="int32"), "v": np.asarray(total, dtype="float64")})
+        total = np.asarray(partial(batches), dtype="float64")
+        pieces = [total[at:at + PIECE].tobytes() for at in range(0, len(total), PIECE)]
+        yield pd.DataFrame({"k": np.arange(len(pieces), dtype="int32"), "v": pieces})
 
-    cells = rows.mapInPandas(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
-    got = cells.toPandas().sort_values("k")
-    return got["v"].to_numpy()
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        for pdf in batches:
+            for k, v in zip(pdf["k"], pdf["v"]):
+                if k != now and now is not None:
+                    yield pd.DataFrame({"k": np.array([now], dtype="int32"), "v": [total.tobytes()]})
+                total, now = np.frombuffer(v) if k != now else total + np.frombuffer(v), k
+        if now is not None:
+            yield pd.DataFrame({"k": np.array([now], dtype="int32"), "v": [total.tobytes()]})
+
+    kind = "k int, v binary"
+    met = rows.mapInPandas(run, kind).repartition("k").sortWithinPartitions("k").mapInPandas(add, kind)
+    return np.concatenate([np.frombuffer(bytes(r["v"])) for r in sorted(met.collect(), key=lambda r: r["k"])])
 
 
 def moments(rows: DataFrame, n_features: int, center: np.ndarray, fold: str | None = None, n_folds: int = 1) -> np.ndarray:
@@ -70,7 +83,10 @@ def moments(rows: DataFrame, n_features: int, center: np.ndarray, fold: str | No
 
 def feature_means(rows: DataFrame) -> np.ndarray:
     """Mean of each element of ``x``: the centre that keeps the Gram matrices well scaled."""
-    size = len(rows.select("x").first()["x"])
+    first = rows.select(F.size("x")).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    size = first[0]
     return np.array(rows.agg(*[F.avg(F.col("x")[k]) for k in range(size)]).first(), dtype="float64")
 
 
@@ -90,57 +106,3 @@ class LinearFormModel(Model, Supervised, DefaultParamsReadable, DefaultParamsWri
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return dataset.withColumn(self.getPredictionCol(), linear_expression(
             self.getFeaturesCol(), self.getOrDefault(self.coefficients), self.getOrDefault(self.intercept)))
-
-
-class _EnsembleWriter(MLWriter):
-    def __init__(self, instance: EnsembleModel) -> None:
-        super().__init__()
-        self.instance = instance
-
-    def saveImpl(self, path: str) -> None:
-        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession,
-                                         extraMetadata={"members": len(self.instance.members)})
-        for k, member in enumerate(self.instance.members):
-            member.write().save(f"{path}/member-{k}")
-
-
-class _EnsembleReader(MLReader):
-    def __init__(self, cls: type) -> None:
-        super().__init__()
-        self.cls = cls
-
-    def load(self, path: str) -> EnsembleModel:
-        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        members = [PipelineModel.load(f"{path}/member-{k}") for k in range(metadata["members"])]
-        model = self.cls(members)
-        model._resetUid(metadata["uid"])
-        DefaultParamsReader.getAndSetParams(model, metadata)
-        return model
-
-
-class EnsembleModel(Model, Supervised, MLReadable, MLWritable):
-    """Several fitted pipelines whose predictions are combined."""
-
-    def __init__(self, members: Sequence[PipelineModel] = ()) -> None:
-        super().__init__()
-        self.members = list(members)
-
-    def write(self) -> MLWriter:
-        return _EnsembleWriter(self)
-
-    @classmethod
-    def read(cls) -> MLReader:
-        return _EnsembleReader(cls)
-
-    def member_predictions(self, dataset: DataFrame) -> tuple[DataFrame, list[str]]:
-        """The data with one prediction column per member, and their names."""
-        names = []
-        keep = dataset.columns
-        out = dataset
-        for k, member in enumerate(self.members):
-            name = f"_{self.uid}_{k}"
-            out = member.transform(out).withColumnRenamed(member.stages[-1].getPredictionCol(), name)
-            out = out.select(*keep, *names, name)
-            names.append(name)
-        return out, names
-

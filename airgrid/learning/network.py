@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -15,8 +17,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.learning.base import Supervised, feature_means, moments, summed
-from airgrid.learning.linear import centred
+from airgrid.learning.base import Supervised, feature_means, summed
+from airgrid.learning.forest import matrix, scores_of_stages, training_rows
+from airgrid.session import materialise, scratch_path
+
+BATCHES = 256  # parts that rows are dealt into; a step takes one or several
+LOCAL_BYTES = 128 << 20  # of inputs and labels that one task trains on
+LAST = (1 << 63) - 1
 
 
 def unpack(flat: np.ndarray, layers: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -39,19 +46,184 @@ def forward(z: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[n
     return outputs
 
 
-def gradient(z: np.ndarray, y: np.ndarray, flat: np.ndarray, layers: list[int], penalty: float) -> np.ndarray:
+def gradient_sum(z: np.ndarray, y: np.ndarray, flat: np.ndarray, layers: list[int]) -> np.ndarray:
+    """Gradient of half the squared error, summed over the rows."""
     parts = unpack(flat, layers)
     outputs = forward(z, parts)
-    delta = (outputs[-1][:, 0] - y)[:, None] / len(y)
+    delta = (outputs[-1][:, 0] - y)[:, None]
     grads: list[np.ndarray] = []
     for k in range(len(parts) - 1, -1, -1):
         w, _ = parts[k]
-        grads.append(np.concatenate([(outputs[k].T @ delta + penalty * w / len(y)).ravel(), delta.sum(axis=0)]))
+        grads.append(np.concatenate([(outputs[k].T @ delta).ravel(), delta.sum(axis=0)]))
         if k:
             delta = (delta @ w.T) * (outputs[k] > 0)
     return np.concatenate(grads[::-1])
 
 
+def decay(flat: np.ndarray, layers: list[int]) -> np.ndarray:
+    """The weights that the penalty pulls at: all but the offsets."""
+    out = np.zeros_like(flat)
+    for (w, _), (kept, _) in zip(unpack(flat, layers), unpack(out, layers)):
+        kept[...] = w
+    return out
+
+
+@dataclass(frozen=True)
+class Task:
+    """One network to train: on the rows outside ``fold`` with an id of at most ``upto``."""
+
+    number: int
+    fold: int
+    upto: int
+    layers: tuple[int, ...]
+    alpha: float
+    step: float
+    patience: int
+    epochs: int
+    per_epoch: int  # steps, a power of two
+    seed: int
+
+
+class Adam:
+    """The weights of one task on their way, and when to stop."""
+
+    def __init__(self, task: Task):
+        self.task = task
+        draw, parts = np.random.default_rng(task.seed), []
+        for a, b in zip(task.layers, task.layers[1:]):
+            bound = np.sqrt(6.0 / (a + b))
+            parts.append(draw.uniform(-bound, bound, a * b + b))
+        self.flat = np.concatenate(parts)
+        self.first, self.second, self.steps = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.best, self.best_flat, self.waited, self.epochs = np.inf, self.flat, 0, 0
+
+    def take(self, gradient: np.ndarray, n: float) -> None:
+        if not n:
+            return
+        g = (gradient + self.task.alpha * decay(self.flat, list(self.task.layers))) / n
+        self.steps += 1
+        self.first = 0.9 * self.first + 0.1 * g
+        self.second = 0.999 * self.second + 0.001 * g * g
+        self.flat = self.flat - self.task.step * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.999**self.steps)) + 1e-8)
+
+    def over(self, loss: float) -> bool:
+        """Whether the loss on the rows put aside has stopped falling; called once an epoch."""
+        self.epochs += 1
+        if loss < self.best - 1e-4:
+            self.best, self.best_flat, self.waited = loss, self.flat, 0
+        else:
+            self.waited += 1
+        return self.waited > self.task.patience or self.epochs >= self.task.epochs
+
+
+def scaled(x: np.ndarray, y: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and label by their means and deviations (``stats``: two rows, the label last)."""
+    return (x - stats[0, :-1]) / stats[1, :-1], (y - stats[0, -1]) / stats[1, -1]
+
+
+def statistics(rows: DataFrame, tasks: Sequence[Task], center: np.ndarray) -> np.ndarray:
+    """(task, 2, features + 1): means and deviations of what each task learns from, in one pass; and their number of rows."""
+    size = len(center) + 1
+
+    def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        total = np.zeros((len(tasks), 2 * size + 1))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            z = np.column_stack([np.stack(pdf["x"].to_numpy()) - center, pdf["y"].to_numpy()])
+            fold, ids = pdf["fold"].to_numpy(), pdf["id"].to_numpy()
+            for k, task in enumerate(tasks):
+                mine = z[(fold != task.fold) & (ids <= task.upto)]
+                total[k] += np.concatenate([mine.sum(axis=0), (mine * mine).sum(axis=0), [len(mine)]])
+        return total.ravel()
+
+    total = summed(rows, partial).reshape(len(tasks), -1)
+    n = np.maximum(total[:, -1:], 1)
+    mean = total[:, :size] / n
+    spread = np.sqrt(np.maximum(total[:, size:-1] / n - mean * mean, 0))
+    spread[spread <= 1e-12] = 1.0
+    mean[:, :-1] += center
+    return np.stack([mean, spread], axis=1), total[:, -1]
+
+
+def train_here(task: Task, stats: np.ndarray, x: np.ndarray, y: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """All steps of a task over rows sorted by batch; batch -1 is the part put aside."""
+    z, t = scaled(x, y, stats)
+    state, layers = Adam(task), list(task.layers)
+    ends = np.searchsorted(batch, np.arange(0, BATCHES + 1, BATCHES // task.per_epoch))
+    aside = slice(0, ends[0])
+    while True:
+        for a, b in zip(ends, ends[1:]):
+            state.take(gradient_sum(z[a:b], t[a:b], state.flat, layers), b - a)
+        error = forward(z[aside], unpack(state.flat, layers))[-1][:, 0] - t[aside]
+        if state.over(float(error @ error) / max(len(error), 1)):
+            return state.best_flat
+
+
+def train_small(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray) -> list[np.ndarray]:
+    """One task of Spark a network: for tables within ``LOCAL_BYTES``."""
+    sent = rows.sparkSession.sparkContext.broadcast((list(tasks), stats))
+    wanted = F.array(*[F.struct(F.lit(t.number).alias("task"), F.lit(t.fold).alias("_fold"), F.lit(t.upto).cast("bigint").alias("_upto")) for t in tasks])
+    spread = rows.select("*", F.explode(wanted).alias("t")).filter((F.col("fold") != F.col("t._fold")) & (F.col("id") <= F.col("t._upto")))
+
+    def train(table: pa.Table) -> pa.Table:
+        work, scales = sent.value
+        task = work[table.column("task")[0].as_py()]
+        ids, y, batch = (table.column(c).to_numpy() for c in ("id", "y", "batch"))
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        order = np.lexsort((y, ids, batch))
+        flat = train_here(task, scales[task.number], x[order], y[order], batch[order])
+        return pa.table({"task": pa.array([task.number], pa.int32()), "flat": pa.array([flat.tobytes()], pa.binary())})
+
+    grouped = spread.select(F.col("t.task").alias("task"), "id", "y", "batch", "x").groupBy("task").applyInArrow(train, "task int, flat binary")
+    found = {r["task"]: np.frombuffer(bytes(r["flat"])) for r in grouped.collect()}
+    return [found.get(t.number, Adam(t).flat) for t in tasks]
+
+
+def train_large(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray) -> list[np.ndarray]:
+    """A Spark job a step for all tasks together, over the step's rows alone; gradients are added up, never weights averaged."""
+    path = scratch_path(rows.sparkSession, "batches")
+    rows.write.partitionBy("batch").parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    states = {t.number: Adam(t) for t in tasks}
+    running = list(tasks)
+
+    def told(part: DataFrame, value: Callable, sizes: Sequence[int], now: Sequence[Task]) -> list[np.ndarray]:
+        flats = {t.number: states[t.number].flat for t in now}
+
+        def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray:
+            total = [np.zeros(s + 1) for s in sizes]
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                x, y, fold, ids = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["fold"].to_numpy(), pdf["id"].to_numpy()
+                for k, task in enumerate(now):
+                    mine = (fold != task.fold) & (ids <= task.upto)
+                    z, t = scaled(x[mine], y[mine], stats[task.number])
+                    total[k] += np.append(value(z, t, flats[task.number], list(task.layers)), mine.sum())
+            return np.concatenate(total)
+
+        return np.split(summed(part, partial), np.cumsum([s + 1 for s in sizes])[:-1])
+
+    def lost(z: np.ndarray, t: np.ndarray, flat: np.ndarray, layers: list[int]) -> np.ndarray:
+        error = forward(z, unpack(flat, layers))[-1][:, 0] - t
+        return np.array([error @ error])
+
+    while running:
+        group = BATCHES // max(t.per_epoch for t in running)
+        waiting = {t.number: 0.0 for t in running}
+        for begin in range(0, BATCHES, group):
+            part = table.filter(F.col("batch").between(begin, begin + group - 1))
+            for task, sums in zip(running, told(part, gradient_sum, [len(states[t.number].flat) for t in running], running)):
+                waiting[task.number] = waiting[task.number] + sums
+                if (begin + group) % (BATCHES // task.per_epoch) == 0:
+                    states[task.number].take(waiting[task.number][:-1], waiting[task.number][-1])
+                    waiting[task.number] = 0.0
+        losses = told(table.filter(F.col("batch") == -1), lost, [1] * len(running), running)
+        running = [t for t, (loss, n) in zip(running, losses) if not states[t.number].over(loss / max(n, 1))]
+    return [states[t.number].best_flat for t in tasks]
+
+
 class PerceptronModel(Model, Supervised, DefaultParamsReadable, DefaultParamsWritable):
     layers = Param(Params._dummy(), "layers", "sizes from input to output", TypeConverters.toListInt)
     weights = Param(Params._dummy(), "weights", "all weights in one vector", TypeConverters.toListFloat)
@@ -78,9 +250,8 @@ class PerceptronModel(Model, Supervised, DefaultParamsReadable, DefaultParamsWri
 class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
     """Rectified hidden layers, squared loss, early stopping on a tenth of the rows; ``maxIter`` is only a backstop.
 
-    Every epoch is one Spark job: each partition takes Adam steps over its own
-    mini-batches from the common weights, and the results are averaged by rows.
-    Batches stream through Arrow; a partition is never held whole.
+    Mini-batches are dealt by the hash of a row, and a step takes the gradient summed over a whole batch, so the weights do
+    not depend on how the rows are partitioned.  ``batchSize`` rows make a step, up to ``BATCHES`` steps an epoch.
     """
 
     hidden = Param(Params._dummy(), "hidden", "hidden layer sizes", TypeConverters.toListInt)
@@ -97,64 +268,64 @@ class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
         self._setDefault(hidden=[100], maxIter=50_000, stepSize=1e-3, batchSize=200, alpha=1e-4, patience=10, seed=42)
         self._set(**{k: list(v) if isinstance(v, tuple) else v for k, v in self._input_kwargs.items()})
 
+    def trained(self, dataset: DataFrame, asked: Sequence[tuple[int, int, dict]], fold: str | None = None, row_id: str | None = None):
+        """Tasks, weights, scales and rows for each (fold held out, largest id, parameters)."""
+        key = F.xxhash64("x", "y", F.lit(self.getSeed()))
+        rows = training_rows(dataset, self.getFeaturesCol(), self.getLabelCol(), fold, row_id)
+        batch = F.when(F.pmod(key, F.lit(10)) == 0, -1).otherwise(F.pmod(F.shiftright(key, 8), F.lit(BATCHES))).cast("int")
+        rows = rows.withColumn("batch", batch).persist(StorageLevel.MEMORY_AND_DISK)
+        center = feature_means(rows)
+        base = {p.name: v for p, v in self.extractParamMap().items()}
+        tasks = []
+        for k, (held, upto, point) in enumerate(asked):
+            at = base | point
+            tasks.append(Task(k, held, upto, (len(center), *at["hidden"], 1), at["alpha"], at["stepSize"], at["patience"], at["maxIter"], at["batchSize"], at["seed"]))
+        stats, sizes = statistics(rows, tasks, center)
+        tasks = [replace(t, per_epoch=1 << int(np.clip(np.ceil(np.log2(max(n / t.per_epoch, 1))), 0, np.log2(BATCHES)))) for t, n in zip(tasks, sizes)]
+        small = rows.count() * (len(center) + 1) * 8 <= LOCAL_BYTES
+        flats = (train_small if small else train_large)(rows, tasks, stats)
+        return tasks, flats, stats, rows
+
     def _fit(self, dataset: DataFrame) -> PerceptronModel:
-        x = vector_to_array(F.col(self.getFeaturesCol()))
-        held_out = F.pmod(F.xxhash64(x, F.col(self.getLabelCol())), F.lit(10)) == 0
-        rows = self.training_rows(dataset, held_out.alias("held_out")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            center = feature_means(rows)
-            n, offset, xx, _, yy, label_mean = centred(moments(rows, len(center), center)[0])
-            middle, scale = center + offset, np.sqrt(np.diag(xx) / n)
-            scale[scale == 0] = 1.0
-            label_scale = float(np.sqrt(yy / n)) or 1.0
-            layers = [len(center), *self.getOrDefault(self.hidden), 1]
-            flat = self._start(layers)
-            step, size, penalty = (self.getOrDefault(p) for p in (self.stepSize, self.batchSize, self.alpha))
-            best, best_flat, waited = np.inf, flat, 0
-            for _ in range(self.getOrDefault(self.maxIter)):
-
-                def epoch(batches: Iterator[pd.DataFrame], start: np.ndarray = flat) -> np.ndarray:
-                    w, first, second = start.copy(), np.zeros(len(start)), np.zeros(len(start))
-                    steps, seen, sse, tested = 0, 0, 0.0, 0
-                    for pdf in batches:
-                        if pdf.empty:
-                            continue
-                        z = (np.stack(pdf["x"].to_numpy()) - middle) / scale
-                        y = (pdf["y"].to_numpy() - label_mean) / label_scale
-                        out = pdf["held_out"].to_numpy(dtype=bool)
-                        if out.any():
-                            error = forward(z[out], unpack(start, layers))[-1][:, 0] - y[out]
-                            sse, tested = sse + float(error @ error), tested + int(out.sum())
-                        z, y = z[~out], y[~out]
-                        for at in range(0, len(y), size):
-                            g = gradient(z[at:at + size], y[at:at + size], w, layers, penalty)
-                            steps += 1
-                            first = 0.9 * first + 0.1 * g
-                            second = 0.999 * second + 0.001 * g * g
-                            w = w - step * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
-                        seen += len(y)
-                    return np.concatenate([w * seen, [seen, sse, tested]])
-
-                total = summed(rows, epoch)
-                loss = total[-2] / max(total[-1], 1.0)  # of the weights this epoch started from
-                if loss < best - 1e-4:
-                    best, best_flat, waited = loss, flat, 0
-                else:
-                    waited += 1
-                    if waited > self.getOrDefault(self.patience):
-                        break
-                flat = total[:-3] / total[-3]
-        finally:
-            rows.unpersist()
+        tasks, flats, stats, rows = self.trained(dataset, [(-1, LAST, {})])
+        rows.unpersist()
         model = self._copyValues(PerceptronModel())
-        model._set(layers=layers, weights=best_flat.tolist(), middle=middle.tolist(), scale=scale.tolist(),
-                   label=[float(label_mean), label_scale])
+        model._set(layers=list(tasks[0].layers), weights=flats[0].tolist(), middle=stats[0, 0, :-1].tolist(), scale=stats[0, 1, :-1].tolist(),
+                   label=[float(stats[0, 0, -1]), float(stats[0, 1, -1])])
         return model
 
-    def _start(self, layers: list[int]) -> np.ndarray:
-        draw = np.random.default_rng(self.getSeed())
-        parts = []
-        for a, b in zip(layers, layers[1:]):
-            bound = np.sqrt(6.0 / (a + b))
-            parts.append(draw.uniform(-bound, bound, a * b + b))
-        return np.concatenate(parts)
+    def scores(self, found, training: bool = False) -> DataFrame:
+        """(task, held, stage, r2, mae, rmse, n) of trained tasks on the rows they hold out and, if asked, on those they learned from."""
+        tasks, flats, stats, rows = found
+        sent = rows.sparkSession.sparkContext.broadcast((tasks, flats, stats))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            work, weights, scales = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, y, fold = (batch.column(c).to_numpy() for c in ("id", "y", "fold"))
+                x = matrix(batch.column("x"))
+                for task, flat in zip(work, weights):
+                    held = fold == task.fold
+                    mine = np.flatnonzero(held | (training & (ids <= task.upto)))
+                    if len(mine):
+                        z, _ = scaled(x[mine], y[mine], scales[task.number])
+                        p = forward(z, unpack(flat, list(task.layers)))[-1][:, 0] * scales[task.number][1, -1] + scales[task.number][0, -1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), task.number, np.int32)), pa.array(held[mine]), pa.array(y[mine]), pa.array(p)],
+                                                         ["task", "held", "y", "p"])
+
+        told = rows.select("id", "y", "fold", "x").mapInArrow(run, "task int, held boolean, y double, p double").withColumn("copies", F.lit(1))
+        scored = materialise(scores_of_stages(told, ["task", "held"], ["p"]))
+        rows.unpersist()
+        return scored
+
+    def staged_scores(self, dataset: DataFrame, fold: str, n_folds: int, points: Sequence[dict]) -> DataFrame:
+        """(point, fold, r2, mae, rmse, n) of every point and fold, all trained side by side."""
+        found = self.trained(dataset, [(f, LAST, p) for p in points for f in range(n_folds)], fold)
+        return self.scores(found).select(F.floor(F.col("task") / n_folds).cast("int").alias("point"), (F.col("task") % n_folds).cast("int").alias("fold"),
+                                         "r2", "mae", "rmse", "n")
+
+    def curve(self, dataset: DataFrame, fold: str, row_id: str, tasks: Sequence[tuple[int, int]]) -> DataFrame:
+        """(task, held, r2, n) for tasks (fold, largest row_id to learn from)."""
+        return self.scores(self.trained(dataset, [(f, upto, {}) for f, upto in tasks], fold, row_id), True)

@@ -19,9 +19,11 @@ from airgrid.llm.words import word_bounds
 
 # Fixed base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT, WINDOW = 20, 30, 8
-# Adaptive rules: a document goes if a metric is beyond SLACK times this quantile (in per mille) of its group plus a margin.
-QUANTILE, SLACK = 750, 3
-MIN_GROUP = 200  # documents a group's sketch needs to stand alone; smaller ones use their language's, then the whole table's
+# Adaptive rules: a document goes if a metric is beyond SLACK times a quantile (in per mille) plus a margin.  The quantile is
+# the group's, blended with its language's, and that with the table's: of n documents a level's own counts n against WEIGHT.
+# A group's cut-off is at most BOUND times its language's, and that at most BOUND times the table's.
+QUANTILE, SLACK, WEIGHT, BOUND = 500, 3, 50, 4
+MOST = 1_000_000  # from here on more documents leave a level's say as it is: products stay within 64 bits
 MARGIN = {"symbol_rate": 30, "dup_line_rate": 30, "repeat_rate": 50, "word_length": 0}  # per mille; for groups whose quantile is 0
 METRICS = list(MARGIN)
 SYMBOLS = np.zeros(256, bool)
@@ -98,24 +100,39 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: its number of documents and a cut-off per metric, all from the sketch."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group: its number of documents ``n_group`` and the quantile ``q_`` of each metric, all from the sketch."""
     upto = Window.partitionBy(*keys, "metric").orderBy("bucket")
     whole = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(whole)})
     quantile = F.min(F.when(F.col("_upto") * 1000 >= F.col("_all") * QUANTILE, F.col("bucket")))
     per_metric = ranked.groupBy(*keys, "metric").agg(upper(quantile).alias("q"), F.max("_all").alias("n_group"))
-    return per_metric.groupBy(*keys).agg(F.max("n_group").alias("n_group"), *[
-        F.max(F.when(F.col("metric") == m, F.col("q") * SLACK + MARGIN[m])).alias(f"cut_{m}") for m in METRICS])
+    return per_metric.groupBy(*keys).agg(F.max("n_group").alias("n_group"), *[F.max(F.when(F.col("metric") == m, F.col("q"))).alias(f"q_{m}") for m in METRICS])
+
+
+def blended(own: Column, n: Column, coarser: Column) -> Column:
+    """A level's quantile drawn towards that of the level above, the more the fewer documents it has."""
+    n = F.least(n, F.lit(MOST))
+    return F.call_function("div", own * n + coarser * WEIGHT, n + WEIGHT)
+
+
+def cutoff(metric: str, group: Column, language: Column, table: Column) -> Column:
+    """The cut-off of a document by the quantiles of its group, language and table."""
+    q = f"q_{metric}"
+    upper_q = table[q]
+    lang_q = blended(language[q], language["n_group"], upper_q)
+    group_q = blended(group[q], group["n_group"], lang_q)
+    of_table, of_lang, of_group = (x * SLACK + MARGIN[metric] for x in (upper_q, lang_q, group_q))
+    return F.least(of_group, BOUND * F.least(of_lang, BOUND * of_table))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts and verdict for every row of ``docs(doc_id, text, lang, source)``.
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated windows of eight.  Otherwise a row is kept
-    if none of its rates is beyond its group's cut-off, ``SLACK`` times the group's ``QUANTILE`` plus a margin.  A group is
-    a language and source with ``MIN_GROUP`` rows or more, else the language if that has as many, else the whole table.
-    A null language or source is a group like any other; a null text is empty and fails.  Repeated rows count each.
+    if none of its rates is beyond the cut-off of its language and source: ``SLACK`` times a ``QUANTILE`` plus a margin,
+    where the quantile moves from the table's to the language's to the group's own as these grow, without a step, and is
+    bounded by the levels above, so that a source made of junk does not set its own standard.  A null language or source is a group like any other; a null text is empty and fails.  Repeated rows count each.
     """
     kept = stored(measure(docs, ["doc_id", "lang", "source"]), "measured")
     words = F.greatest("n_words", F.lit(1))
@@ -126,37 +143,43 @@ def judge(docs: DataFrame) -> DataFrame:
     finest = stored(sketches(rated, ["lang", "source"]), "sketches")
     by_lang = merged(finest, ["lang"])
     everywhere = merged(by_lang, [])
-    out, levels = rated, [(cutoffs(finest, ["lang", "source"]), ["lang", "source"]), (cutoffs(by_lang, ["lang"]), ["lang"])]
-    for level, (cut, keys) in enumerate(levels):
-        cut = cut.filter(F.col("n_group") >= MIN_GROUP).select(
-            *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*[f"cut_{m}" for m in METRICS]).alias(f"cut_{level}"))
+    out = rated
+    for name, level, keys in (("_group", quantiles(finest, ["lang", "source"]), ["lang", "source"]), ("_language", quantiles(by_lang, ["lang"]), ["lang"])):
+        cut = level.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("n_group", *[f"q_{m}" for m in METRICS]).alias(name))
         same = F.lit(True)
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
         out = out.join(cut, same, "left").drop(*[f"_{k}" for k in keys])
-    last = cutoffs(everywhere, []).first()  # one row: the whole table's
-    whole = F.struct(*[F.lit(last[f"cut_{m}"] if last else None).cast("bigint").alias(f"cut_{m}") for m in METRICS])
-    cut = F.coalesce("cut_0", "cut_1", whole)
+    last = quantiles(everywhere, []).first()  # one row: the whole table's
+    whole = F.struct(*[F.lit(last[f"q_{m}"] if last else None).cast("bigint").alias(f"q_{m}") for m in METRICS])
     beyond = F.lit(False)
     for m in METRICS:
-        beyond = beyond | (F.col(m) > cut[f"cut_{m}"])
+        beyond = beyond | (F.col(m) > cutoff(m, F.col("_group"), F.col("_language"), whole))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & ~beyond).alias("kept"))
 
 
-_CUTS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q * {SLACK} + {k} END) AS cut_{m}" for m, k in MARGIN.items())
+_QUANTILES = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q END) AS q_{m}" for m in METRICS)
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
 
 
-def _cut_sql(name: str, sketch: str, keys: str) -> str:
+def _level_sql(name: str, sketch: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
-    return f"""{name} AS (SELECT {by}max(n_group) AS n_group, {_CUTS} FROM (SELECT {by}metric, max(a) AS n_group,
+    return f"""{name} AS (SELECT {by}max(n_group) AS n_group, {_QUANTILES} FROM (SELECT {by}metric, max(a) AS n_group,
         min(CASE WHEN c * 1000 >= a * {QUANTILE} THEN CASE WHEN bucket < 64 THEN bucket
             ELSE ((bucket - 64) % 32 + 33) * (1::BIGINT << ((bucket - 64) // 32 + 1)) - 1 END END) AS q
         FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS c, sum(n) OVER (PARTITION BY {by}metric) AS a
             FROM {sketch}) GROUP BY {by}metric) {f'GROUP BY {keys}' if keys else ''})"""
 
 
+def _cut_sql(m: str) -> str:
+    n_lang, n_group = (f"least({level}.n_group, {MOST})" for level in "ba")
+    lang_q = f"((b.q_{m} * {n_lang} + c.q_{m} * {WEIGHT}) // ({n_lang} + {WEIGHT}))"
+    group_q = f"((a.q_{m} * {n_group} + {lang_q} * {WEIGHT}) // ({n_group} + {WEIGHT}))"
+    of_group, of_lang, of_table = (f"({q} * {SLACK} + {MARGIN[m]})" for q in (group_q, lang_q, f"c.q_{m}"))
+    return f"least({of_group}, {BOUND} * least({of_lang}, {BOUND} * {of_table}))"
+
+
 SQL_RULES = f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_SPLIT} AS words FROM documents),
     w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM docs),
     grams AS (SELECT rid, i, [{', '.join(['w', *[f'lead(w, {k}) OVER o' for k in range(1, 8)]])}] AS g FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
@@ -176,9 +199,9 @@ SQL_RULES = f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang,
         + (x >> (length(to_base(x, 2)) - 6)) END AS bucket, count(*) AS n FROM valued GROUP BY ALL),
     by_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM finest GROUP BY ALL),
     everywhere AS (SELECT metric, bucket, sum(n) AS n FROM by_lang GROUP BY ALL),
-    {_cut_sql('cut_0', 'finest', 'lang, source')}, {_cut_sql('cut_1', 'by_lang', 'lang')}, {_cut_sql('cut_2', 'everywhere', '')}
+    {_level_sql('cut_0', 'finest', 'lang, source')}, {_level_sql('cut_1', 'by_lang', 'lang')}, {_level_sql('cut_2', 'everywhere', '')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
-    {' '.join(f"AND {m} <= CASE WHEN a.n_group >= {MIN_GROUP} THEN a.cut_{m} WHEN b.n_group >= {MIN_GROUP} THEN b.cut_{m} ELSE c.cut_{m} END" for m in METRICS)} AS kept
+    {' '.join(f"AND {m} <= {_cut_sql(m)}" for m in METRICS)} AS kept
 FROM rated LEFT JOIN cut_0 a ON rated.lang IS NOT DISTINCT FROM a.lang AND rated.source IS NOT DISTINCT FROM a.source
     LEFT JOIN cut_1 b ON rated.lang IS NOT DISTINCT FROM b.lang CROSS JOIN cut_2 c"""
 

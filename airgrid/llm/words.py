@@ -1,16 +1,21 @@
 """Words of whole texts as numpy arrays, without a Python step per word.
 
-Words are runs of anything but ASCII white space (blank, tab to carriage return).  A word's name is a 64-bit polynomial
-hash of its bytes; the name of a run of words is one of their names.  Two families of multipliers give two independent names.
+Words are runs of anything but ASCII white space (blank, tab to carriage return).  A word's name is a polynomial hash of its
+bytes modulo the prime 2**61 - 1, mixed to 64 bits; the name of a run of words is one of their names.  Two families, each with
+a point and byte values of its own, give two independent names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-# Odd multipliers of the two families, and the mixing constants of the published splitmix64 finaliser (fixed values).
+# Constants of the published splitmix64 generator (fixed values), and odd numbers that tell the families apart.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+PRIME = np.uint64((1 << 61) - 1)
+BLOCK = 1 << 14
+_29, _30, _31, _32, _61 = (np.uint64(k) for k in (29, 30, 31, 32, 61))
+_LOW_29, _LOW_30, _LOW_31, _LOW_32 = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,50 +25,87 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_values(family: int) -> np.ndarray:
-    """A pseudo-random 64-bit value for each byte."""
-    with np.errstate(over="ignore"):
-        return mixed(np.arange(1, 257, dtype=np.uint64) * BASES[family] * np.uint64(0xA24BAED4963EE407))
+def folded(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, for any 64-bit number."""
+    out = x & PRIME
+    out += x >> _61
+    return np.minimum(out, out - PRIME)  # a difference below zero wraps around to a large number
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves that fit 64 bits: 2**62 is 2, and 2**61 is 1."""
+    x, y = np.broadcast_arrays(x, y)
+    out = np.empty(len(x), np.uint64)
+    for at in range(0, len(x), BLOCK):  # a block stays in the cache
+        a, b = x[at:at + BLOCK], y[at:at + BLOCK]
+        a1, a0, b1, b0 = a >> _31, a & _LOW_31, b >> _31, b & _LOW_31
+        middle = a1 * b0
+        middle += a0 * b1
+        product = a1 * b1
+        product += product
+        a0 *= b0
+        product += a0
+        product += middle >> _30
+        middle &= _LOW_30
+        middle <<= _31
+        product += middle
+        out[at:at + BLOCK] = folded(product)
+    return out
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+def byte_values(family: int) -> np.ndarray:
+    """A pseudo-random number below the prime for each byte."""
+    with np.errstate(over="ignore"):
+        return folded(mixed(np.arange(1, 257, dtype=np.uint64) * BASES[family] * np.uint64(0xA24BAED4963EE407)))
 
 
 class Powers:
-    """Powers of a family's multiplier and of its inverse modulo 2**64, grown as needed."""
+    """Powers of a family's point and of its inverse modulo the prime, grown as needed."""
 
     def __init__(self, family: int):
-        self.base, self.inverse = BASES[family], _inverse(BASES[family])
+        self.point = int(folded(mixed(np.array([BASES[family]])))[0])
+        self.inverse = pow(self.point, -1, int(PRIME))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                factors = np.full(n, self.base)
-                factors[0] = 1
-                self.up = np.cumprod(factors)
-                factors = np.full(n, self.inverse)
-                factors[0] = 1
-                self.down = np.cumprod(factors)
+        while len(self.up) < n:
+            have = len(self.up)
+            ups, downs = (np.array([pow(x, have, int(PRIME))], np.uint64) for x in (self.point, self.inverse))
+            self.up = np.concatenate([self.up, times(self.up, ups)])
+            self.down = np.concatenate([self.down, times(self.down, downs)])
         return self.up, self.down
 
 
 class Sums:
-    """Prefix sums of a sequence of 64-bit values, from which any run of it gets its name."""
+    """Prefix sums of a sequence of numbers below the prime, from which any run of it gets its name.
+
+    The sums are kept in two parts, of the low 32 bits and of the rest, so that they never overflow.
+    """
 
     def __init__(self, values: np.ndarray, powers: Powers):
         n = len(values)
         up, self.down = powers.upto(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * up[:n], out=self.sums[1:])
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        for at in range(0, n, BLOCK):
+            terms = times(folded(values[at:at + BLOCK]), up[at:min(n, at + BLOCK)])
+            for part, sums in ((terms & _LOW_32, self.low), (terms >> _32, self.high)):
+                here = sums[at + 1:at + 1 + len(part)]
+                np.cumsum(part, out=here)
+                here += sums[at]
 
     def names(self, begins: np.ndarray, ends: np.ndarray | int) -> np.ndarray:
         """Names of the runs [begin, end)."""
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[ends] - self.sums[begins]) * self.down[begins] + (ends - begins).astype(np.uint64))
+        out = np.empty(len(begins), np.uint64)
+        for at in range(0, len(begins), BLOCK):
+            b, e = begins[at:at + BLOCK], ends[at:at + BLOCK]
+            high = self.high[e] - self.high[b]
+            total = folded((self.low[e] - self.low[b]) + (high >> _29))
+            high &= _LOW_29
+            high <<= _32
+            total += high
+            with np.errstate(over="ignore"):
+                out[at:at + BLOCK] = mixed(times(folded(total), self.down[b]) + (e - b).astype(np.uint64))
+        return out
 
 
 SPACE = np.zeros(256, bool)

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.learning.base import feature_means, moments
-from airgrid.learning.linear import BayesianRidge, LinearSVR
+from airgrid.learning.kernel import KernelSVR
+from airgrid.learning.linear import BayesianRidge
 from airgrid.learning.network import Perceptron
 from airgrid.learning.trees import AdaBoost, BoostedTrees, ExtraTrees, RandomForest
 from airgrid.operators import summaries
@@ -50,7 +51,7 @@ def default_models(label: str, trees: int = 100, depth: int = 30) -> dict[str, P
         "Polynomial": Pipeline(stages=[squares, LinearRegression(
             featuresCol="squares", labelCol=label, predictionCol=column_name("Polynomial"), solver="normal")]),
         "Bayesian Ridge": one("Bayesian Ridge", BayesianRidge),
-        "SVR": one("SVR", LinearSVR),
+        "SVR": one("SVR", KernelSVR),
         "MLP": one("MLP", Perceptron),
         "Ada Boost": one("Ada Boost", AdaBoost),
         "Random Forest": one("Random Forest", RandomForest, numTrees=trees, maxDepth=depth),
@@ -67,7 +68,7 @@ DEFAULT_GRIDS = {
     "Elastic Net": {"regParam": [round(0.05 * k, 2) for k in range(1, 21)],
                     "elasticNetParam": [round(0.01 * k, 2) for k in range(100)]},
     "Bayesian Ridge": {p: [1e-6, 1e-5, 1e-4] for p in ("alpha_1", "alpha_2", "lambda_1", "lambda_2")},
-    "SVR": {"C": [10.0 ** (-3 + 6 * k / 9) for k in range(10)]},
+    "SVR": {"gamma": [10.0 ** (-3 + 6 * k / 9) for k in range(10)], "landmarks": [100, 200, 300], "C": [10.0 ** (-3 + 6 * k / 9) for k in range(10)]},
     "MLP": {"hidden": [[10], [50], [100], [100, 50, 10], [10, 100, 50], [10, 50, 100]]},
     "Ada Boost": {"numTrees": [100, 500, 1000], "learningRate": [round(0.1 * k, 1) for k in range(11)]},
     "Random Forest": {"numTrees": [100, 200, 300], "minSplit": [1, 2, 3, 4], "minInstancesPerNode": [1, 2, 3, 4],

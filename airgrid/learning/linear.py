@@ -163,16 +163,14 @@ class LinearSVR(Estimator, Supervised, DefaultParamsReadable, DefaultParamsWrita
 
 def nystroem_features(df: DataFrame, features: str, landmarks: np.ndarray, gamma: float, output: str) -> DataFrame:
     """Approximate radial-basis kernel map: similarity to each landmark, whitened by the landmarks' own kernel."""
-    apart = ((landmarks[:, None, :] - landmarks[None, :, :]) ** 2).sum(axis=2)
-    scales, basis = np.linalg.eigh(np.exp(-gamma * apart))
-    whiten = (basis / np.sqrt(np.clip(scales, 1e-12, None))) @ basis.T
+    from airgrid.learning.kernel import inverse_root, similarities
+
+    whiten = inverse_root(similarities(landmarks, landmarks, gamma), 1e-12)
 
     @F.pandas_udf("array<double>")
     def mapped(x: pd.Series) -> pd.Series:
         if x.empty:
             return pd.Series([], dtype="object")
-        z = np.stack(x.to_numpy())
-        square = (z**2).sum(axis=1)[:, None] - 2 * z @ landmarks.T + (landmarks**2).sum(axis=1)[None, :]
-        return pd.Series(list(np.exp(-gamma * square) @ whiten))
+        return pd.Series(list(similarities(np.stack(x.to_numpy()), landmarks, gamma) @ whiten))
 
     return df.withColumn(output, array_to_vector(mapped(vector_to_array(F.col(features)))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -106,8 +106,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` array<int> and ``decoded`` binary (the bytes the ids stand for) of every whole text.
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``ids`` array<int> and ``decoded`` binary (the bytes the ids stand for) of every whole text, and the columns ``keep``.
 
     ``vocabulary`` is the path of a rank file; its content, of fixed size, travels to the tasks.  A null text is empty
     and has no ids.  Rows are independent: repeated rows, null doc_ids and other columns do not matter.
@@ -123,16 +123,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
             packed, decoded = zip(*map(codec.encode_packed, batch.column("text").to_pylist()))
             ends = np.cumsum([0, *map(len, packed)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.binary()), *[batch.column(c) for c in keep]],
+                                             ["doc_id", "ids", "decoded", *keep])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        encode, "doc_id bigint, ids array<int>, decoded binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(encode, f"doc_id bigint, ids array<int>, decoded binary{kinds}")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Token count and digests of ids and decoded bytes."""
+def digests(encoded: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Token count and digests of ids and decoded bytes, after the columns ``keep``."""
     return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        "doc_id", *keep, F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from airgrid.llm.catalog import register, table
 from airgrid.llm.tasks import slices
@@ -163,7 +164,10 @@ def held_out():
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every row with ``score`` (higher: label 1 likelier); a null text is scored as an empty one."""
+    """Every row with ``score`` (higher: label 1 likelier); a null text is scored as an empty one.
+
+    Raises ValueError if ``docs`` has a column ``_text`` or ``score``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
     keep = docs.columns
     if "_text" in keep or "score" in keep:
@@ -174,8 +178,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([sent.value.score(t) for t in batch.column("_text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], scores], [*keep, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).mapInArrow(scored, f"{kinds}, score double")
+    kinds = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return docs.withColumn("_text", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).mapInArrow(scored, kinds)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

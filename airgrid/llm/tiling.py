@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from airgrid.llm.catalog import register, table
 from airgrid.llm.tasks import slices, stored
@@ -196,8 +197,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(chars) // BLOCK_CHARS
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kinds += ", n_tokens bigint, contaminated boolean, item_id bigint, covered bigint, item_tokens bigint, n_tiles bigint"
+    made = [StructField(n, BooleanType() if n == "contaminated" else LongType()) for n in names]
+    kinds = StructType([*docs.schema.fields, *made])
     found = docs
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("text", "item_id").collect()

@@ -234,4 +234,5 @@ def test_pipeline_stages(spark):
     clean = stages["decontamination"](spark, docs, SF_DIR)
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect() if not any(b in r.text for b in bench)}
     out = corpus_pipeline.run(spark, SF_DIR)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < docs.count()
+    assert out.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < docs.count()
+    assert out.filter("size(ids) <> n_tokens OR lang IS NULL OR source IS NULL").count() == 0

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from airgrid.llm.catalog import register, table
 from airgrid.llm.tasks import Memo, kept, slices
 
-MEMO_CHUNKS = 200_000  # distinct chunks of text a worker remembers
+MEMO_CHUNKS = 300_000  # distinct chunks of text, and as many matches of the pattern, that a worker remembers
 # A chunk starts where one blank or line end stands between two other characters.  The splitting pattern always breaks
 # there: its matches cover white space only in front of other characters.
 CHUNK = r"(?<=\S)(?=[ \n]\S)"
@@ -78,7 +78,7 @@ class Codec:
         self.matches = regex.compile(pattern).findall
         self.chunks = re.compile(CHUNK).split
         self.mapped = {i: c for i, c in enumerate(byte_characters())}
-        self.memo = Memo(MEMO_CHUNKS)
+        self.memo, self.pieces = Memo(MEMO_CHUNKS), Memo(MEMO_CHUNKS)
 
     def encode_packed(self, text: str) -> tuple[bytes, bytes]:
         """The ids of a text as little-endian 32-bit numbers, and the bytes that these ids decode to."""
@@ -94,13 +94,31 @@ class Codec:
         return np.frombuffer(self.encode_packed(text)[0], "<i4").tolist()
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not remembered; a match that is itself a vocabulary entry is that entry."""
-        cut = {c: [m.encode() for m in self.matches(c)] for c in chunks}
-        rare = list({m for pieces in cut.values() for m in pieces if m not in self.ranks})
-        merged = dict(zip(rare, self.model.encode([m.decode("latin-1").translate(self.mapped) for m in rare], num_threads=1) if rare else []))
-        for c, pieces in cut.items():
-            ids = list(chain.from_iterable([self.ranks[m]] if m in self.ranks else merged[m] for m in pieces))
-            self.memo[c] = np.array(ids, "<i4").tobytes(), self.decode(ids)
+        """Encode chunks that are not remembered, from matches that may be; a match that is itself a vocabulary entry is that entry."""
+        cut = {c: self.matches(c) for c in chunks}
+        new = {m for found in cut.values() for m in found if m not in self.pieces}
+        if self.pieces.make_room(len(new)):
+            new = {m for found in cut.values() for m in found}
+        rare = []
+        for m in new:
+            data = m.encode()
+            if data in self.ranks:
+                self.pieces[m] = self.packed([self.ranks[data]])
+            else:
+                rare.append((m, data.decode("latin-1").translate(self.mapped)))
+        if rare:
+            for (m, _), ids in zip(rare, self.model.encode([x for _, x in rare], num_threads=1)):
+                self.pieces[m] = self.packed(ids)
+        remembered = self.pieces
+        for c, found in cut.items():
+            if len(found) == 1:
+                self.memo[c] = remembered[found[0]]
+            else:
+                each = [remembered[m] for m in found]
+                self.memo[c] = b"".join([ids for ids, _ in each]), b"".join([decoded for _, decoded in each])
+
+    def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("i", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

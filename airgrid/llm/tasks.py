@@ -53,6 +53,9 @@ class Memo(dict):
         super().__init__()
         self.most = most
 
-    def make_room(self, new: int) -> None:
-        if len(self) + new > self.most:
+    def make_room(self, new: int) -> bool:
+        """Whether all had to be forgotten for ``new`` entries."""
+        full = len(self) + new > self.most
+        if full:
             self.clear()
+        return full

@@ -582,13 +582,15 @@ class _Forest(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPara
 
         Points that differ in trees, depth or ``minSplit`` alone are read off the same trees.
         """
+        rows = training_rows(dataset, self.getFeaturesCol(), self.getLabelCol(), fold)
+        cuts = feature_cuts(rows)
         full = [{p.name: v for p, v in self.extractParamMap().items()} | p for p in points]
+        for p in full:  # as many features as there are, or more, are all of them
+            p["featuresPerSplit"] = p["featuresPerSplit"] if p["featuresPerSplit"] < len(cuts) else 0
         shared = sorted({(p["minInstancesPerNode"], p["featuresPerSplit"]) for p in full})
         readings = [sorted({(p["maxDepth"], max(2, p["minSplit"])) for p in full if (p["minInstancesPerNode"], p["featuresPerSplit"]) == s}) for s in shared]
         growths = [self.growth(min_leaf=s[0], features=s[1], max_depth=max(d for d, _ in r), min_split=min(m for _, m in r)) for s, r in zip(shared, readings)]
         counts = sorted({p["numTrees"] for p in full})
-        rows = training_rows(dataset, self.getFeaturesCol(), self.getLabelCol(), fold)
-        cuts = feature_cuts(rows)
         table = coded(rows, cuts)
         jobs = []
         for f in range(n_folds):

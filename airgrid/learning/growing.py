@@ -143,16 +143,19 @@ def chosen(growth: Growth, paths: np.ndarray, n_features: int) -> np.ndarray:
     return draws.argsort(axis=1).argsort(axis=1) < growth.features
 
 
-def best_splits(by_feature: list[tuple[np.ndarray, np.ndarray, np.ndarray]], totals: np.ndarray, paths: np.ndarray, growth: Growth, values: list[np.ndarray],
+def best_splits(by_feature: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None], totals: np.ndarray, paths: np.ndarray, growth: Growth, values: list[np.ndarray],
                 columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature (-1 for none), cut, gain and left sums for each segment; ``by_feature`` has (seg, code, sums) in order."""
+    """Feature (-1 for none), cut, gain and left sums for each segment; ``by_feature`` has (seg, code, sums) in order, or None for those ``columns`` leaves out."""
     may = chosen(growth, paths, len(by_feature))
     if columns is not None:
         may &= columns
     feature, cut, left = np.full(totals.shape[1], -1), np.zeros(totals.shape[1], np.int64), np.zeros_like(totals)
     # a gain within rounding of nothing is none
     gain = 1e-9 * np.abs(totals[2] ** 2 / np.maximum(totals[1], 1e-300)) + 1e-12
-    for f, (seg, code, sums) in enumerate(by_feature):
+    for f, part in enumerate(by_feature):
+        if columns is not None and not columns[f]:
+            continue
+        seg, code, sums = part
         g, c, s = best_cuts(seg, code, sums, totals, growth, values[f], uniform(paths, 200 + f) if growth.random_cuts else None)
         better = may[:, f] & (g > gain * (1 + TIE))
         feature[better], cut[better], gain[better], left[:, better] = f, c[better], g[better], s[:, better]
@@ -170,10 +173,11 @@ def grow(codes: np.ndarray, sums: np.ndarray, growth: Growth, values: list[np.nd
     open_nodes = tree.add(totals[2] / np.maximum(totals[1] + growth.l2, 1e-300), totals[0], path)
     place = np.where(sums[0] > 0, 0, -1)  # open node of each cell
     live = np.flatnonzero(place >= 0)
-    orders = [live[np.argsort(codes[live, f], kind="stable")] for f in range(codes.shape[1])]
+    used = np.flatnonzero(columns) if columns is not None else range(codes.shape[1])
+    orders = {f: live[np.argsort(codes[live, f], kind="stable")] for f in used}
     while depth < growth.max_depth and len(open_nodes):
         wide = totals[0] >= max(2, growth.min_split, 2 * growth.min_leaf)
-        by_feature = [(place[o], codes[o, f], sums[:, o]) for f, o in enumerate(orders)]
+        by_feature = [(place[orders[f]], codes[orders[f], f], sums[:, orders[f]]) if f in orders else None for f in range(codes.shape[1])]
         feature, cut, gain, left = best_splits(by_feature, totals, tree.path[open_nodes], growth, values, columns)
         feature = np.where(wide, feature, -1)
         splits = np.flatnonzero(feature >= 0)
@@ -189,7 +193,7 @@ def grow(codes: np.ndarray, sums: np.ndarray, growth: Growth, values: list[np.nd
         open_nodes = np.stack([first, first + 1], axis=1).ravel()
         totals = np.stack([left[:, splits], totals[:, splits] - left[:, splits]], axis=2).reshape(3, -1)
         small = np.uint16 if len(open_nodes) < 1 << 16 else np.int64  # sorted in linear time
-        for f, o in enumerate(orders):
+        for f, o in orders.items():
             o = o[place[o] >= 0]
             orders[f] = o[np.argsort(place[o].astype(small), kind="stable")]
         depth += 1

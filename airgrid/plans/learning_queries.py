@@ -13,6 +13,7 @@ from airgrid.learning import selection
 from airgrid.learning.collection import (ModelCollection, ModelStack, column_name, default_models, feature_importances,
                                          tree_lines)
 from airgrid.learning.linear import BayesianRidge
+from airgrid.learning.trees import BoostedTrees
 from airgrid.operators import features, matching, scoring
 from airgrid.operators.binding import if_small
 from airgrid.plans.catalog import register
@@ -117,6 +118,25 @@ register("ml_polynomial")(scores_of("Polynomial"))
 register("ml_svr")(scores_of("SVR"))
 register("ml_mlp")(scores_of("MLP"))
 register("ml_ada_boost")(scores_of("Ada Boost"))
+@register("tree_stump", """
+    WITH sums AS (SELECT blh, count(*) AS n, sum(PM25) AS s FROM features GROUP BY blh),
+    cuts AS (SELECT blh, sum(n) OVER w AS n_left, sum(s) OVER w AS s_left, sum(n) OVER () AS n_all, sum(s) OVER () AS s_all
+             FROM sums WINDOW w AS (ORDER BY blh)),
+    best AS (SELECT * FROM cuts WHERE n_left < n_all
+             ORDER BY round(s_left * s_left / n_left + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) - s_all * s_all / n_all, 3) DESC, blh LIMIT 1)
+    SELECT blh AS cut, round(s_left / n_left, 4) AS below, round((s_all - s_left) / (n_all - n_left), 4) AS above, CAST(n_left AS BIGINT) AS n_below FROM best""")
+def _(t):
+    # a boosted tree of one level from nothing: its leaves are the means on either side of the best cut
+    rows = spread(t.features)
+    table = VectorAssembler(inputCols=["blh"], outputCol="features").transform(rows)
+    model = BoostedTrees(labelCol=LABEL, maxIter=1, stepSize=1.0, maxDepth=1).fit(table)
+    scored = model.transform(table.select("features", "blh"))
+    sides = scored.groupBy("prediction").agg(F.max("blh").alias("cut"), F.count("*").alias("n"))
+    low = F.struct("cut", "prediction", "n")
+    return rounded(sides.agg(F.min(low).alias("low"), F.max(low).alias("high")).select(
+        F.col("low.cut").alias("cut"), F.col("low.prediction").alias("below"), F.col("high.prediction").alias("above"), F.col("low.n").alias("n_below")), 4)
+
+
 register("ml_random_forest")(scores_of("Random Forest"))
 register("ml_extra_trees")(scores_of("Extra Trees"))
 register("ml_gradient_boost")(scores_of("Gradient Boost"))
@@ -183,6 +203,22 @@ def _(t):
     return rounded(selection.learning_curve(pipeline, site_folds(t, 5), INPUTS, LABEL, "fold", 5, ROW_KEY, shares), 4)
 
 
+def plain_curve(name):
+    """The curve of a model under plain folds by row order."""
+
+    def run(t):
+        folds = features.contiguous_folds(spread(t.features), ROW_KEY, 5)
+        shares = [k / 20 for k in range(1, 21)]
+        return rounded(selection.learning_curve(default_models(LABEL)[name], folds, INPUTS, LABEL, "fold", 5, ROW_KEY, shares), 4)
+
+    return run
+
+
+register("learning_curve_linear")(plain_curve("Linear Regression"))
+register("learning_curve_extra_trees")(plain_curve("Extra Trees"))
+register("learning_curve_mlp")(plain_curve("MLP"))
+
+
 @register("forward_selection")
 def _(t):
     steps = selection.forward_selection(site_folds(t, 5), [*INPUTS, "lat", "lon", "n_snapshots"], LABEL, "fold", 5)

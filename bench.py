@@ -30,6 +30,7 @@ def main() -> None:
         # every row is worked out and thrown away; none comes to the driver
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)  # what is done stays known if the rest is stopped
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     sys.stdout.flush()

@@ -15,7 +15,7 @@ from airgrid.llm.catalog import QUERIES, SQL
 from airgrid.llm.words import Powers
 from check import canonical
 
-TABLES = ["documents", "conversations", "benchmark", "labels"]
+TABLES = ["documents", "conversations", "benchmark", "labels", "embeddings"]
 
 
 @pytest.fixture(scope="module")

@@ -33,7 +33,7 @@ from airgrid.learning.growing import (Growth, Tree, best_splits, bootstrap_count
 from airgrid.session import materialise, scratch_path
 
 CODES = 256  # a code is one byte
-LOCAL_ROWS = 200_000  # rows of a node that one task finishes
+LOCAL_ROWS = 1_000_000  # rows of a node that one task finishes
 SUMS_BYTES = 64 << 20  # of sums that a task holds at a time
 MODEL_BYTES = 64 << 20  # of trees that are sent to the tasks at a time
 TREES_AT_A_TIME = 10  # trees of a job that share one copy of the rows

@@ -8,6 +8,7 @@ decompress the file; ours reads the tail first and decompresses only the frames
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -136,7 +137,9 @@ class WordEncoder:
     """The tokenizers library, asked once per distinct word or part of a word.
 
     The vocabulary's normaliser and splitter never carry anything across ASCII white space and drop it, so a text's ids
-    are those of its words in turn.  Strings of special tokens are ordinary text.
+    are those of its words in turn.  A special token's string stands for that token wherever it occurs, as in the library;
+    words that hold one go through the library whole.  A vocabulary whose added tokens hold or take in white space, or are
+    looked for in normalised text, is refused.
     """
 
     def __init__(self, content: str):
@@ -146,7 +149,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(content).get("added_tokens") or []
+        if any(t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added):
+            raise ValueError("added tokens that hold or take in white space, or are looked for in normalised text")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
         self.merge = self.tokenizer.model.tokenize
         self.characters = dict(enumerate(byte_characters()))
         self.words, self.parts = Memo(MEMO_WORDS), Memo(MEMO_PARTS)
@@ -163,7 +169,7 @@ class WordEncoder:
         return b"".join(found)
 
     def word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
+        if PLAIN.fullmatch(word) and not self.special.search(word):
             return b"".join(map(self.part, PARTS.findall(word.lower())))
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -182,8 +188,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
     """Encode every whole text, append ``end_id`` and write token files in ascending doc_id order under ``folder``.
 
     Returns the written manifest: one row per file with ``file, part, n_docs, n_tokens, base`` (ids in files before).
-    Null doc_ids come first, rows with equal doc_ids in any order but together; a null text is empty and holds the end
-    id alone.  Empty input gives no files.  A task writes under a name of its own and renames when done, so a repeated
+    Null doc_ids come first, rows with equal doc_ids together, by a hash of their text (over several files if they are
+    many); a null text is empty and holds the end id alone.  Empty input gives no files.  A task writes under a name of its own and renames when done, so a repeated
     task replaces a file by the same content.
     """
     spark = docs.sparkSession
@@ -214,7 +220,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                                               "n_tokens": pa.array([total], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
-                          ).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+                          ).withColumn("_name", F.xxhash64("text")).repartitionByRange("doc_id", "_name"
+                          ).sortWithinPartitions("doc_id", "_name").drop("_name")
     # one row a file comes to the driver, as many as there are key ranges
     files = sorted(ordered.mapInArrow(write, "part int, n_docs bigint, n_tokens bigint").collect())
     rows, base = [], 0

@@ -24,9 +24,7 @@ def rank_library():
 
 @pytest.fixture(scope="module")
 def word_library():
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
 
 
 def expected_bpe(rows, library):
@@ -73,6 +71,14 @@ def test_token_files_round_trip(spark, word_library):
     assert got == expected_tokens(list(zip(docs.doc_id.tolist(), docs.text)), word_library)
 
 
+def test_special_tokens_as_the_library_takes_them(spark, word_library, tmp_path):
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|>", "it<|endoftext|>'s", "<|endoftext|><|endoftext|>x",
+             "<|ENDOFTEXT|> <|end <|endoftext| >", "\n<|endoftext|>\t中<|endoftext|>Été", "'<|endoftext|>'"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_output.read_tokens(token_output.write_tokens(docs, f"{tmp_path}/s", P.path("word_bpe_49k.json"), 1), f"{tmp_path}/s")
+    assert sorted(map(tuple, token_output.checksums(got).collect())) == expected_tokens(list(enumerate(texts)), word_library)
+
+
 def test_token_files_of_hard_texts(hard, empty, word_library, tmp_path):
     path = P.path("word_bpe_49k.json")
     got = token_output.read_tokens(token_output.write_tokens(hard, f"{tmp_path}/a", path, 1), f"{tmp_path}/a")

@@ -102,28 +102,28 @@ def _(t):
     return rounded(with_falling_axis(axis, ["x"], "y", "v"))
 
 
-def region_rings(t):
-    return regions.rings(t.region_vertices, part="part")
+def region_edges(t):
+    return regions.edges(t.region_vertices, part="part")
 
 
 @register("region_bounds", """
     SELECT name, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM region_vertices GROUP BY 1""")
 def _(t):
-    return regions.with_bounds(region_rings(t)).select("name", "minx", "miny", "maxx", "maxy")
+    return regions.bounds(t.region_vertices)
 
 
 @register("point_in_polygon_join", f"""WITH {EDGES}, sites AS (SELECT DISTINCT latitude, longitude FROM monitors)
     {inside_pairs("sites", "latitude, longitude", "longitude", "latitude")}""")
 def _(t):
     sites = t.monitors.select("latitude", "longitude").distinct()
-    return regions.point_in_region_join(sites, region_rings(t), "longitude", "latitude")
+    return regions.point_in_region_join(sites, region_edges(t), "longitude", "latitude")
 
 
 @register("clip_to_region", f"""WITH {EDGES}, pairs AS ({inside_pairs("grid_cells", "y, x", "lon", "lat")}),
     kept AS (SELECT DISTINCT y, x FROM pairs)
     SELECT time, y, x, round(AOD, 6) AS AOD FROM daily_grid JOIN kept USING (y, x)""")
 def _(t):
-    clipped = regions.clip(t.grid_cells, region_rings(t))
+    clipped = regions.clip(t.grid_cells, region_edges(t))
     return rounded(regions.clip_field(t.daily_grid, clipped).select("time", "y", "x", "AOD"))
 
 
@@ -141,7 +141,7 @@ CELL_WIDTH, CELL_HEIGHT = 1.3, 0.17
     SELECT y, x FROM centres UNION SELECT y, x FROM sides
     WHERE least(c1, c2, c3, c4) <= 0 AND greatest(c1, c2, c3, c4) >= 0""")
 def _(t):
-    return regions.clip_all_touched(t.grid_cells, region_rings(t), CELL_WIDTH, CELL_HEIGHT).select("y", "x")
+    return regions.clip_all_touched(t.grid_cells, region_edges(t), CELL_WIDTH, CELL_HEIGHT).select("y", "x")
 
 
 @register("to_geojson", f"""WITH {EDGES}, sites AS (SELECT DISTINCT latitude, longitude, site_name FROM monitors),
@@ -151,7 +151,7 @@ def _(t):
     FROM inside""")
 def _(t):
     sites = t.monitors.select("latitude", "longitude", "site_name").distinct()
-    inside = regions.point_in_region_join(sites, region_rings(t), "longitude", "latitude")
+    inside = regions.point_in_region_join(sites, region_edges(t), "longitude", "latitude")
     return inside.select(sinks.to_geojson(inside, ["site_name", "name"], "longitude", "latitude").alias("feature"))
 
 

@@ -107,6 +107,36 @@ def test_point_in_region_against_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+@pytest.mark.parametrize("most", [12, 64])
+def test_index_of_a_long_outline(spark, monkeypatch, most):
+    """A star of many vertices with a hole, a part touching lattice lines, and a rectangle on them."""
+    monkeypatch.setattr(regions.cells, "__defaults__", (regions.BLOCK_DEGREES, most))
+    draw = random.Random(8)
+
+    def star(n, cx, cy, size):
+        turns = [2 * math.pi * k / n for k in range(n)]
+        corners = [(cx + size * f * math.cos(a), cy + size * f * math.sin(a)) for a, f in ((a, draw.uniform(0.9, 1)) for a in turns)]
+        return [*corners, corners[0]]
+
+    shapes = {"long": [star(4000 if most == 64 else 300, 2.0, 1.0, 9.0), star(60, 2.5, 1.5, 4.0),
+                       [(15.0, 5.0), (20.0, 5.0), (20.0, 10.0), (15.0, 10.0), (15.0, 5.0)]],
+              "box": [[(-10.0, -5.0), (10.0, -5.0), (10.0, 5.0), (-10.0, 5.0), (-10.0, -5.0)]]}
+    vertices = spark.createDataFrame([(n, p, 3 * k, *v) for n, shape in shapes.items() for p, ring in enumerate(shape)
+                                      for k, v in enumerate(ring)], "name string, part int, k int, lon double, lat double")
+    points = [(k, draw.uniform(-12, 22), draw.uniform(-12, 14)) for k in range(1500)]
+    points += [(2000 + 40 * i + j, -12.5 + 2.5 * i / 2, -12.5 + 2.5 * j / 2) for i in range(30) for j in range(22)]  # on lines and corners
+    points += [(9000 + k, *v) for k, v in enumerate(shapes["long"][0][:150])]
+    edges = regions.edges(vertices, part="part")
+    index, sides = regions.cells(edges)
+    assert index.selectExpr("max(size(edges)) AS n").first().n <= most and len(sides) > 1
+    placed = spark.createDataFrame(points, "id int, lon double, lat double")
+    want = {(k, n) for k, x, y in points for n, shape in shapes.items() if sum(crossing(ring, x, y) for ring in shape) % 2}
+    rows = [(r["id"], r["name"]) for r in regions.point_in_region_join(placed, edges).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert sorted(r["id"] for r in regions.clip(placed, regions.rings(vertices, part="part")).collect()) == sorted({k for k, _ in want})
+    assert regions.clip(placed, edges.limit(0)).count() == 0
+
+
 def test_nearest_cell_keeps_to_the_tolerance(spark):
     random.seed(1)
     axis = RegularAxis(0.0, 10.0, 20)

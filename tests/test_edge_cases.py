@@ -83,7 +83,7 @@ def test_constant_and_empty_inputs(spark):
     same = spark.createDataFrame([("a", 2.0)] * 4 + [("b", 1.0), ("b", 3.0)], "g string, v double")
     curve = summaries.kde_curve(same, ["g"], "v", 0.0, 4.0, 5)
     assert curve.filter("g = 'a' AND density IS NOT NULL").count() == 0 and curve.filter("g = 'b' AND density > 0").count() == 5
-    whole = {r.x: r.density for r in summaries.kde_curve(same.filter("g = 'b'"), ["g"], "v", -90.0, 90.0, 5, bandwidths=None).collect()}
+    whole = {r.x: r.density for r in summaries.kde_curve(same.filter("g = 'b'"), ["g"], "v", -90.0, 90.0, 5).collect()}
     assert len(whole) == 5 and all(d is not None for d in whole.values())
     constant = same.filter("g = 'a'")
     for f in (summaries.histogram, summaries.histogram_right_closed):

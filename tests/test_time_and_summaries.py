@@ -139,6 +139,18 @@ def test_kernel_density_against_brute_force(spark):
             assert got[(g, float(x))]["density"] == pytest.approx(want, abs=1e-12)
 
 
+def test_kernel_density_keeps_far_tails(spark):
+    values = [0.0, 0.1, -0.2, 0.05, 0.3, 50.0] * 5
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    h = np.std(values, ddof=1) * len(values) ** -0.2
+    for r in summaries.kde_curve(df, ["g"], "v", -150.0, 250.0, 81).collect():
+        want = sum(math.exp(-((r.x - v) / h) ** 2 / 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
+        assert r.density == pytest.approx(want, rel=1e-2, abs=1e-300 if abs(r.x) < 80 else 1e-30)
+        assert r.density >= 0.0
+    far = summaries.kde_curve(df, ["g"], "v", -1e30, 1e30, 3).collect()
+    assert all(r.density >= 0.0 for r in far)
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(-1.0,), (0.0,), (12.1,), (99999.9,), (100000.0,)], "m double")
     shares = rows(summaries.category_shares(df, ["m"], summaries.AQI_EDGES, summaries.AQI_CATEGORIES), "bin")

@@ -148,9 +148,10 @@ def count_min(prefixes: DataFrame, counters: int) -> np.ndarray:
 
 
 def screened(prefixes: DataFrame, counters: int) -> DataFrame:
-    """The prefixes with ``single``: how many of a conversation's prefixes so far, this one included, the sketch proves to be its own.
+    """The prefixes with ``single``: 0: possibly shared, 1: the first that the sketch proves to be its conversation's own, above: all after it.
 
-    0: possibly shared, 1: the first of a tail, above: the rest of the tail.  The root is always taken as shared.
+    Whatever follows a prefix of its own is its own too, also where the sketch's estimate is too high to prove that.  The root is
+    always taken as shared.
     ``is_last`` tells a conversation's whole length.
     """
     sketch = count_min(prefixes, counters)
@@ -166,7 +167,9 @@ def screened(prefixes: DataFrame, counters: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int64))], [*batch.schema.names, "own"])
 
     schema = ", ".join(f"{c} {t}" for c, t in prefixes.dtypes)
-    return with_sums(prefixes.mapInArrow(estimate, f"{schema}, own bigint"), "conv_id", {"single": F.col("own")}, "is_last").drop("own")
+    counted = with_sums(prefixes.mapInArrow(estimate, f"{schema}, own bigint"), "conv_id", {"proven": F.col("own")}, "is_last")
+    follows = (F.col("proven") == 1) & (F.col("own") == 0)  # else one conversation would have several first ones
+    return counted.withColumn("single", F.when(follows, 2).otherwise(F.col("proven"))).drop("own", "proven")
 
 
 def hashed_ends(ends: DataFrame) -> DataFrame:

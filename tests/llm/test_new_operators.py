@@ -116,6 +116,25 @@ def test_trie_is_that_of_plain_python(spark, ranges, counters):
     assert got == plain_trie(convs)
 
 
+@pytest.mark.parametrize("counters", [512, 1024, 2048])
+def test_a_tail_begins_once_where_the_sketch_is_too_high_further_on(spark, counters):
+    rows = odd_conversations()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = prefix_trie.rebuilt(prefix_trie.placed(prefix_trie.turn_rows(df)))
+    found = prefix_trie.screened(prefix_trie.materialise(prefix_trie.named_prefixes(turns)), counters).select("conv_id", "depth", "single").toPandas()
+    tops = found[found.single == 1]
+    assert len(tops) and not tops.conv_id.duplicated().any()
+    tails = found[found.single > 1].merge(tops, on="conv_id")
+    assert len(tails) == (found.single > 1).sum() and (tails.depth_x > tails.depth_y).all()
+    assert trie_rows(prefix_trie.build_trie(turns, counters)) == plain_trie(plain_rebuilt(plain_order(rows)))
+
+
+def test_trie_query_is_that_of_plain_python_on_a_larger_table(spark):
+    folder = SF_DIR.replace("sf0.001", "sf0.1")
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert trie_rows(QUERIES["op12_prefix_trie"](spark, folder)) == plain_trie(plain_rebuilt(plain_order(rows)))
+
+
 def test_trie_of_conversations_as_they_are(spark):
     rows = odd_conversations()
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -22,19 +22,32 @@ def _star(arcs: DataFrame, keep_larger: bool) -> DataFrame:
         least.filter(F.col("u") != F.col("m")).select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges(u, v)``; the component is its least node.
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs from one other at most, and from none that hangs itself: then no round changes anything."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs")).union(edges.select("v", F.lit(0)))
+    found = ends.groupBy("node").agg(F.sum("hangs").alias("times"), F.min("hangs").alias("least"))
+    return found.filter("times > 1 OR (times = 1 AND least = 0)").isEmpty()
+
 
-    Each round writes its edges to the shared folder; rounds end when an edge set repeats itself.
+def star_forest(edges: DataFrame) -> DataFrame:
+    """(u, v) for every node u of ``edges(u, v)`` but the least of its component, which is v.
+
+    Each round writes its edges to the shared folder; rounds end when the edges are stars, so a forest with no more than a few
+    new edges takes few rounds, one without any takes none.
     """
     edges = stored(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(edges):
         large = _star(_both(edges), keep_larger=True).distinct()
         edges = stored(_star(large.filter(F.col("v") <= F.col("u")), keep_larger=False).distinct(), "edges")
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.crc32(F.concat(F.col("u").cast("string"), F.col("v").cast("string"))))).first()
-        if mark == seen:
-            break
-        seen = mark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return edges
+
+
+def members(forest: DataFrame) -> DataFrame:
+    """(node, component) for every node of a forest of stars; the component is its least node."""
+    return forest.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        forest.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges(u, v)``; the component is its least node."""
+    return members(star_forest(edges))

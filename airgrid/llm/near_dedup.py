@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airgrid.llm.catalog import register, table
-from airgrid.llm.components import components
+from airgrid.llm.components import members, star_forest
 from airgrid.llm.tasks import slices, stored
 from airgrid.llm.tiles import text_key
 from airgrid.llm.words import BASES, Powers, Sums, Words, mixed
@@ -186,10 +186,12 @@ def placed_documents(docs: DataFrame, words: int = 5, percent: int = 80, extra:
     sets = stored(_sets(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), words)
                   .join(involved, "set_key", "left_semi").dropDuplicates(["set_key"]), "sets")
     links = stored(_confirmed(stars, sets, percent), "links")
-    hubs = stored(_to_hubs(shared, components(links), links, stars, percent), "hubs")
-    links = stored(links.union(_confirmed(hubs, sets, percent)), "links")
-    rest = _confirmed(_across(shared, components(links), sets, stars.union(hubs), percent), sets, percent)
-    part = components(links.union(rest))
+    # each step's links are added to the components found so far, so that a step without new ones takes no further round
+    forest = star_forest(links)
+    hubs = stored(_to_hubs(shared, members(forest), links, stars, percent), "hubs")
+    forest = star_forest(forest.union(_confirmed(hubs, sets, percent)))
+    rest = _confirmed(_across(shared, members(forest), sets, stars.union(hubs), percent), sets, percent)
+    part = members(star_forest(forest.union(rest)))
     named = rows.drop("bands").join(part.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "_part", F.coalesce("component", "set_key"))
     smallest = named.filter("_part is not null").groupBy("_part").agg(F.min("doc_id").alias("_least"))

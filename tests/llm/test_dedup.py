@@ -124,6 +124,29 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}}
 
 
+def test_components_found_so_far_take_no_further_round(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    written = []
+    monkeypatch.setattr(components, "stored", lambda df, label, f=components.stored: written.append(label) or f(df, label))
+    forest = components.star_forest(frame)
+    rounds = len(written)
+    again = components.star_forest(forest.union(frame.limit(0)))
+    assert len(written) == rounds + 1  # written once, no round
+    joined = components.star_forest(again.union(spark.createDataFrame([(0, 59), (59, 7)], "u long, v long")))
+    for found, of in ((again, edges), (joined, [*edges, (0, 59), (59, 7)])):
+        least = {x: x for e in of for x in e if e[0] != e[1]}
+        for _ in range(60):
+            for a, b in of:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        assert dict(map(tuple, components.members(found).collect())) == least
+    del written[:]
+    near_dedup.link_documents(spark.createDataFrame([(k, f"a text of its own, word by word, number {k // 2}") for k in range(8)], "doc_id long, text string")).count()
+    assert written == ["edges"] * 3  # no links, or stars: no round in any of the three steps
+
+
 def expected_bytes(rows):
     texts = [(t or "").encode() for _, t in rows]
     times = Counter(t[k:k + 200] for t in texts for k in range(len(t) - 199))

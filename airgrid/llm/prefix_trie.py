@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm.catalog import register, table
-from airgrid.llm.scans import in_order, with_sums
+from airgrid.llm.scans import in_order, with_sums, wrapped
 from airgrid.llm.tasks import stored
 from airgrid.session import materialise
 
@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SKETCH_ROWS = 3
 MOST_COUNTERS = 1 << 24  # a row of the sketch; one byte each, so a task holds 48 MB at most
 PIECE = 1 << 16  # counters in one row of the table of sketch pieces
-ENDS_BYTES = 1 << 18  # of conv_ids in one row on their way to a hash
+ENDS_SPAN = 1 << 12  # of conv_ids in one row on their way to a hash; a power of two
 NAME = ["d0", "d1"]  # the two halves of a prefix's name
 BASE_STEP, HEAD_TURNS = 20, 3  # the query's rebuilt conversations start with up to three turns of every twentieth
 
@@ -40,9 +40,12 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
 
 
 def placed(turns: DataFrame) -> DataFrame:
-    """Turns with ``place``, from 1, in their conversation: by turn (null first), then by the digest of role and text."""
+    """Turns with ``place``, from 1, in their conversation: by turn (null first), then by the digest of role and text.
+
+    ``is_last`` tells a conversation's last turn.
+    """
     ordered = in_order(turns, "conv_id", [F.col("turn").asc_nulls_first(), "key"])
-    return with_sums(ordered, "conv_id", {"place": F.lit(1)}).drop("turn")
+    return with_sums(ordered.drop("turn"), "conv_id", {"place": F.lit(1)}, "is_last")
 
 
 def rebuilt(turns: DataFrame) -> DataFrame:
@@ -50,7 +53,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
 
     Every conversation also gets a row with place 0 and neither key nor words, so that one without turns is not lost.
     """
-    sizes = turns.groupBy("conv_id").agg(F.max("place").alias("n"))
+    sizes = turns.filter("is_last").select("conv_id", F.col("place").alias("n"))
     base = F.col("conv_id") - F.col("conv_id") % BASE_STEP
     wanted = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
     known = stored(sizes.select("conv_id", base.alias("_base"), wanted.alias("_skip"), "n"), "sizes")
@@ -77,21 +80,15 @@ def _half(digest: Column, begin: int) -> Column:
 
 
 def named_prefixes(turns: DataFrame) -> DataFrame:
-    """A row per prefix of placed turns: ``d0``, ``d1`` name it, ``p0``, ``p1`` the prefix before it; sorted by conversation."""
+    """A row per prefix of placed turns: ``d0``, ``d1`` name it, ``p0``, ``p1`` the prefix before it; written sorted by conversation."""
     tagged = F.sha2(F.concat_ws("/", F.col("place").cast("string"), "key"), 256)
     zero = F.lit(0).cast("bigint")
     halves = [F.when(F.col("key").isNull(), zero).otherwise(_half(tagged, begin)) for begin in (1, 17)]
     rows = turns.select("conv_id", F.col("place").alias("depth"), "n_words", *[h.alias(f"h{k}") for k, h in enumerate(halves)])
-    summed = with_sums(in_order(rows, "conv_id", ["depth"]), "conv_id", {d: F.col(f"h{k}") for k, d in enumerate(NAME)})
-
-    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # the name less this turn's part; sums wrap around
-            minus = [pa.array(batch.column(f"d{k}").to_numpy() - batch.column(f"h{k}").to_numpy()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "depth", "n_words", *NAME)], *minus],
-                                             ["conv_id", "depth", "n_words", *NAME, "p0", "p1"])
-
-    return summed.mapInArrow(before, "conv_id bigint, depth bigint, n_words bigint, d0 bigint, d1 bigint, p0 bigint, p1 bigint")
+    summed = with_sums(in_order(rows, "conv_id", ["depth"]), "conv_id", {d: F.col(f"h{k}") for k, d in enumerate(NAME)}, write=materialise)
+    # the name less this turn's part; sums wrap around
+    minus = [wrapped(F.col(f"d{k}"), F.bitwise_not(F.col(f"h{k}")), 1).alias(f"p{k}") for k in (0, 1)]
+    return summed.select("conv_id", "depth", "n_words", *NAME, *minus)
 
 
 def places_of(d0: np.ndarray, d1: np.ndarray, row: int, counters: int) -> np.ndarray:
@@ -158,45 +155,28 @@ def screened(prefixes: DataFrame, counters: int) -> DataFrame:
     sent = prefixes.sparkSession.sparkContext.broadcast(pa.compress(sketch.tobytes(), "zstd", asbytes=True))
     size = sketch.size
 
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(pa.decompress(sent.value, size, "zstd", asbytes=True), np.uint8).reshape(SKETCH_ROWS, counters)
-        for batch in batches:
-            d0, d1 = (batch.column(d).to_numpy() for d in NAME)
-            least = np.min([counts[row, places_of(d0, d1, row, counters)] for row in range(SKETCH_ROWS)], axis=0)
-            own = (least == 1) & (batch.column("depth").to_numpy() > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int64))], [*batch.schema.names, "own"])
+    held: list[np.ndarray] = []  # a task's copy
+
+    def proven(batch: pa.RecordBatch) -> np.ndarray:
+        if not held:
+            held.append(np.frombuffer(pa.decompress(sent.value, size, "zstd", asbytes=True), np.uint8).reshape(SKETCH_ROWS, counters))
+        d0, d1 = (batch.column(d).to_numpy() for d in NAME)
+        least = np.min([held[0][row, places_of(d0, d1, row, counters)] for row in range(SKETCH_ROWS)], axis=0)
+        return ((least == 1) & (batch.column("depth").to_numpy() > 0)).astype(np.int64)
 
-    schema = ", ".join(f"{c} {t}" for c, t in prefixes.dtypes)
-    counted = with_sums(prefixes.mapInArrow(estimate, f"{schema}, own bigint"), "conv_id", {"proven": F.col("own")}, "is_last")
-    follows = (F.col("proven") == 1) & (F.col("own") == 0)  # else one conversation would have several first ones
-    return counted.withColumn("single", F.when(follows, 2).otherwise(F.col("proven"))).drop("own", "proven")
+    counted = with_sums(prefixes, "conv_id", {"proven": proven}, "is_last")
+    follows = (F.col("proven") == 1) & (F.col("_proven") == 0)  # else one conversation would have several first ones
+    return counted.withColumn("single", F.when(follows, 2).otherwise(F.col("proven"))).drop("_proven", "proven")
 
 
 def hashed_ends(ends: DataFrame) -> DataFrame:
     """(d0, d1, depth, ends_sha256) of the conv_ids that end at each node, joined in ascending order.
 
-    The ids are sorted over many tasks and packed into pieces there; a hash takes its pieces in order, as they stream by.
+    Ids of a short span are packed into a piece, at most ``ENDS_SPAN`` of them; a hash takes its pieces in order, as they
+    stream by.
     """
     key = ["depth", *NAME]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, size = None, [], 0
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(key, now), first=ids[0], ids=",".join(map(str, ids)))], schema=out)
-
-        out = pa.schema([*[(c, pa.int64()) for c in key], ("first", pa.int64()), ("ids", pa.string())])
-        for batch in batches:
-            for *node, conv in zip(*[batch.column(c).to_pylist() for c in [*key, "conv_id"]]):
-                if node != now or size > ENDS_BYTES:
-                    if ids:
-                        yield done()
-                    now, ids, size = node, [], 0
-                ids.append(conv)
-                size += 12
-        if ids:
-            yield done()
-
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
@@ -210,10 +190,10 @@ def hashed_ends(ends: DataFrame) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(key, now), ends_sha256=state.hexdigest())])
 
-    names = "depth bigint, d0 bigint, d1 bigint"
-    by = [*key, "conv_id"]
-    pieces = ends.select(*by).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(pack, f"{names}, first bigint, ids string")
-    return pieces.repartition(*key).sortWithinPartitions(*key, "first").mapInArrow(hash_all, f"{names}, ends_sha256 string")
+    span = F.shiftright("conv_id", ENDS_SPAN.bit_length() - 1)
+    ids = F.concat_ws(",", F.sort_array(F.collect_list("conv_id")).cast("array<string>")).alias("ids")
+    pieces = ends.groupBy(*key, span.alias("span")).agg(ids)
+    return pieces.repartition(*key).sortWithinPartitions(*key, "span").mapInArrow(hash_all, "depth bigint, d0 bigint, d1 bigint, ends_sha256 string")
 
 
 def build_trie(turns: DataFrame, most_counters: int = MOST_COUNTERS) -> DataFrame:
@@ -223,18 +203,21 @@ def build_trie(turns: DataFrame, most_counters: int = MOST_COUNTERS) -> DataFram
     turns are the first ``depth`` turns of that conversation.  No rows in, no rows out.  Names have 128 bits.  The sketch
     has four counters a prefix up to ``most_counters``; beyond that more prefixes are shuffled, with the same result.
     """
-    prefixes = materialise(named_prefixes(turns))
+    prefixes = named_prefixes(turns)
     n = max(1, prefixes.count())
     counters = min(most_counters, 1 << max(10, (4 * n - 1).bit_length()))
-    rows = stored(screened(prefixes, counters), "prefixes")
+    rows = screened(prefixes, counters)
     shared, tops, tails = rows.filter("single = 0"), rows.filter("single = 1"), rows.filter("single > 1")
     node = ["depth", *NAME]
     nodes = shared.groupBy(*node).agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.max("n_words").alias("n_words"),
                                       F.max("p0").alias("p0"), F.max("p1").alias("p1"))
-    nodes = stored(nodes, "nodes")
-    above = [(F.col("depth") - 1).alias("depth"), F.col("p0").alias("d0"), F.col("p1").alias("d1")]
-    born = nodes.filter("depth > 0").select(*above).unionByName(tops.select(*above)).groupBy(*node).agg(F.count("*").alias("n_children"))
-    known = stored(nodes.join(born, node, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))), "known")
+    # a node's row meets a row from each child, so that children are counted without a join
+    above = [(F.col("depth") - 1).alias("depth"), F.col("p0").alias("d0"), F.col("p1").alias("d1"), F.lit(1).alias("n_children")]
+    facts = ["n_convs", "conv_id", "n_words", "p0", "p1"]
+    nothing_known = [F.lit(None).cast("bigint").alias(c) for c in facts]
+    both = F.array(F.struct(*node, F.lit(0).alias("n_children"), *facts), F.struct(*above, *nothing_known))
+    met = nodes.select(F.inline(both)).filter("depth >= 0").unionByName(tops.select(*above, *nothing_known)).groupBy(*node)
+    known = stored(met.agg(F.sum("n_children").alias("n_children"), *[F.max(c).alias(c) for c in facts]), "known")
     # a node counts at its smallest member: each conversation hands the sums of its own nodes to the prefixes above them
     leaf = (F.col("n_children") == 0).cast("bigint")
     own = known.select("conv_id", "depth", leaf.alias("leaves"), ((F.col("n_convs") - 1) * F.col("n_words")).alias("tokens"))
@@ -246,7 +229,7 @@ def build_trie(turns: DataFrame, most_counters: int = MOST_COUNTERS) -> DataFram
     subtree = climbing.filter("n_leaves > 0 OR saved_tokens > 0").groupBy(*node).agg(
         F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     ends = hashed_ends(shared.filter("is_last"))
-    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("conv_id").alias("parent_conv_id"))
+    parents = known.select((F.col("depth") + 1).alias("depth"), F.col("d0").alias("p0"), F.col("d1").alias("p1"), F.col("conv_id").alias("parent_conv_id"))
     nothing = F.sha2(F.lit(""), 256)
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     end_here = F.when(F.col("is_last"), F.sha2(F.col("conv_id").cast("string"), 256)).otherwise(nothing).alias("ends_sha256")
@@ -265,7 +248,7 @@ def conversation_trie(conversations: DataFrame) -> DataFrame:
     or text is empty; rows with a null conv_id belong to no conversation and take no part.  Extra columns do not matter.
     """
     turns = placed(turn_rows(conversations))
-    return build_trie(turns.select("conv_id", "key", "n_words", "place").unionByName(roots(turns.select("conv_id").distinct())))
+    return build_trie(turns.select("conv_id", "key", "n_words", "place").unionByName(roots(turns.filter("is_last"))))
 
 
 _CRC_TABLE = """SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t

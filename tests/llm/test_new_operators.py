@@ -39,6 +39,22 @@ def test_running_sums_go_on_over_ranges(spark, parts):
         assert got[c].tolist() == want[c].tolist(), c
 
 
+def test_running_sums_are_worked_out_once_for_all_that_read_them(spark):
+    rows = spark.createDataFrame([(c, k, "user", f"{c % 3} {k}") for c in range(40) for k in range(5)], "conv_id long, turn long, role string, text string")
+    placed = prefix_trie.placed(prefix_trie.turn_rows(rows))
+    named = prefix_trie.named_prefixes(prefix_trie.rebuilt(placed))
+    for df in (placed, named, prefix_trie.screened(named, 1 << 10)):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_wrap_around(spark):
+    ends = [0, 1, -1, 2**32 - 1, 2**32, -2**32, 2**62, -2**62, 2**63 - 1, -2**63, 0x123456789ABCDEF]
+    df = spark.createDataFrame([(a, b) for a in ends for b in ends], "a long, b long")
+    got = df.select("a", "b", scans.wrapped(F.col("a"), F.col("b")).alias("plus"), scans.wrapped(F.col("a"), F.bitwise_not(F.col("b")), 1).alias("minus"))
+    for r in got.collect():
+        assert (r.plus - (r.a + r.b)) % 2**64 == 0 and (r.minus - (r.a - r.b)) % 2**64 == 0
+
+
 # operator 12
 
 def plain_trie(convs: dict[int, list[tuple[str, str]]]) -> dict[tuple[int, int], tuple]:
@@ -142,6 +158,14 @@ def test_trie_of_conversations_as_they_are(spark):
     assert prefix_trie.conversation_trie(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 4, 1 << 12])
+def test_ends_are_hashed_over_many_pieces(spark, ranges, monkeypatch, span):
+    monkeypatch.setattr(prefix_trie, "ENDS_SPAN", span)
+    rows = [(c * step, k, "user", f"{c % 2} {k}") for c in range(-30, 30) for k in range(2) for step in (1, 10**15)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert trie_rows(prefix_trie.conversation_trie(df)) == plain_trie(plain_order(rows))
+
+
 def test_tails_stay_out_of_the_groups(spark):
     rows = [(c, k, "user", f"{c} {k}") for c in range(50) for k in range(20)]
     turns = prefix_trie.placed(prefix_trie.turn_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))

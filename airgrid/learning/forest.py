@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.learning.base import Supervised
-from airgrid.learning.growing import (Growth, Tree, best_splits, bootstrap_counts, cell_sums, cells_of, grow, root_path)
+from airgrid.learning.cells import PREDICTED, added_stages, as_bytes, batch_arrays, cell_table, scores_by_cell, summed_draws, told_of
+from airgrid.learning.growing import (Growth, Tree, best_splits, bootstrap_counts, cell_sums, cells_of, grow, keys_of, root_path)
 from airgrid.session import materialise, scratch_path
 
 CODES = 256  # a code is one byte
 LOCAL_ROWS = 1_000_000  # rows of a node that one task finishes
 SUMS_BYTES = 64 << 20  # of sums that a task holds at a time
 MODEL_BYTES = 64 << 20  # of trees that are sent to the tasks at a time
+KNOWN_CELLS = 1_000_000  # whose predictions a task remembers
 TREES_AT_A_TIME = 10  # trees of a job that share one copy of the rows
 
 CODED = "id bigint, fold int, y double, codes binary"
@@ -79,16 +82,21 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def coded(rows: DataFrame, cuts: Sequence[np.ndarray]) -> DataFrame:
-    """``rows(id, fold, y, x)`` with one byte a feature, written once for all the passes to come."""
+    """``rows(id, fold, y, x)`` with one byte a feature, written once for all the passes to come.
+
+    Rows with equal codes lie together, so that a task meets few cells; a cell that holds many rows is cut over several ranges.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 codes = codes_of(matrix(batch.column("x")), cuts)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "fold", "y")], pa.array([r.tobytes() for r in codes], pa.binary())],
-                                                 ["id", "fold", "y", "codes"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "fold", "y")], as_bytes(codes)], ["id", "fold", "y", "codes"])
 
-    return materialise(rows.select("id", "fold", "y", "x").mapInArrow(encode, CODED))
+    path = scratch_path(rows.sparkSession, "coded")
+    told = rows.select("id", "fold", "y", "x").mapInArrow(encode, CODED).withColumn("_part", F.spark_partition_id())
+    told.repartitionByRange("codes", "_part").sortWithinPartitions("codes").drop("_part").write.parquet(path)
+    return rows.sparkSession.read.schema(CODED).parquet(path)
 
 
 def training_rows(dataset: DataFrame, features: str, label: str, fold: str | None = None, row_id: str | None = None) -> DataFrame:
@@ -100,11 +108,6 @@ def training_rows(dataset: DataFrame, features: str, label: str, fold: str | Non
                                                            y.alias("y"), x.alias("x"))
 
 
-def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, fold, y = (batch.column(c).to_numpy() for c in ("id", "fold", "y"))
-    return ids, fold, y, np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-
-
 def state_of(batch: pa.RecordBatch) -> np.ndarray:
     """What boosting has put aside for each row: one number a job, or nothing."""
     if "state" not in batch.schema.names:
@@ -311,9 +314,55 @@ def grown(rows: DataFrame, n_rows: int, jobs: Sequence[Job], growths: Sequence[G
     return out
 
 
-def written_trees(rows: DataFrame, n_rows: int, n_trees: int, growth: Growth, values: list[np.ndarray]) -> str:
+def by_cells(n_rows: int, n_cells: int, draws: int) -> bool:
+    """Whether trees are grown from sums per cell: a task can hold the cells, and ``draws`` sums a job are less than its rows."""
+    return n_cells <= LOCAL_ROWS and (n_rows > LOCAL_ROWS or 24 * n_cells * draws <= 20 * n_rows)
+
+
+def counted(table: DataFrame) -> tuple[int, int]:
+    """Rows and, within some hundredths, cells of a coded table."""
+    return tuple(table.agg(F.count("*"), F.approx_count_distinct("codes", 0.02)).first())
+
+
+def draws_of(jobs: Sequence[Job], growth: Growth) -> dict[int, Sequence[int]]:
+    return {j.number: range(*j.trees) if growth.bootstrap else [-1] for j in jobs}
+
+
+def grown_by_cells(rows: DataFrame, jobs: Sequence[Job], growths: Sequence[Growth], values: list[np.ndarray], use: Callable, schema: str) -> DataFrame:
+    """What ``use`` makes of each job, its cells and (tree, growth, grown tree) for all its draws."""
+    seed, bootstrap = growths[0].seed, growths[0].bootstrap
+    table = cell_table(rows, jobs, draws_of(jobs, growths[0]), lambda ids, t: bootstrap_counts(ids, t, seed) if bootstrap else None)
+    sent = rows.sparkSession.sparkContext.broadcast(({j.number: j for j in jobs}, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, cuts = sent.value
+
+        def trees(job: Job, t: int, cells: np.ndarray, sums: np.ndarray) -> Iterator[tuple[int, int, Tree]]:
+            for k in range(*job.trees) if t < 0 else [t]:
+                for g, growth in enumerate(growths):
+                    yield k, g, grow(cells, sums, growth, cuts, root_path(growth.seed, k))
+
+        for number, draws in groupby(summed_draws(batches, len(cuts)), key=lambda d: d[0]):
+            yield from use(work[number], ((cells, trees(work[number], t, cells, sums)) for _, t, cells, sums in draws))
+
+    return table.mapInArrow(run, schema)
+
+
+def written_trees(rows: DataFrame, n_rows: int, n_trees: int, growth: Growth, values: list[np.ndarray], n_cells: int | None = None) -> str:
     """Path of the table of ``n_trees`` trees: a row per tree, or per subtree (``part``) below its upper levels (part -1)."""
     spark = rows.sparkSession
+    if n_cells is not None and by_cells(n_rows, n_cells, TREES_AT_A_TIME if growth.bootstrap else 1):
+        width = max(1, min(TREES_AT_A_TIME, LOCAL_ROWS // max(n_cells, 1)))
+        jobs = [Job(k, trees=(b, min(b + width, n_trees))) for k, b in enumerate(range(0, n_trees, width))]
+
+        def rows_of(job, draws):
+            for _, trees in draws:
+                for t, _, tree in trees:
+                    yield tree_row(t, 0, tree)
+
+        path = scratch_path(spark, "trees")
+        grown_by_cells(rows, jobs, [growth], values, rows_of, TABLE).write.parquet(path)
+        return path
     jobs = [Job(k, trees=(b, min(b + TREES_AT_A_TIME, n_trees))) for k, b in enumerate(range(0, n_trees, TREES_AT_A_TIME))]
 
     def make_use(_: int) -> Callable:
@@ -349,13 +398,42 @@ def tree_of(row: dict, names: Sequence[str] = Tree.NAMES) -> Tree:
     return tree
 
 
+def add_readings(sums: np.ndarray, tree: Tree, cells: np.ndarray, readings: Sequence[tuple[int, int]], above: Sequence[float]) -> None:
+    """Add what a tree says of each cell, read at each (depth, fewest rows to split); ``above`` has the values over a subtree."""
+    for m in {m for _, m in readings}:
+        depths = sorted({d for d, k in readings if k == m})
+        for d in [d for d in depths if d < len(above)]:  # read above this subtree
+            sums[:, readings.index((d, m))] += above[d]
+        below = tuple(d - len(above) for d in depths if d >= len(above))
+        for d, nodes in zip(below, tree.descend(cells, below, m) if below else []):
+            sums[:, readings.index((d + len(above), m))] += tree.value[nodes]
+
+
 def fold_scores(rows: DataFrame, n_rows: int, jobs: Sequence[Job], growths: Sequence[Growth], values: list[np.ndarray], readings: Sequence[Sequence[tuple[int, int]]],
-                trees_upto: Sequence[int]) -> DataFrame:
+                trees_upto: Sequence[int], n_cells: int | None = None) -> DataFrame:
     """(task, held, growth, reading, stage, r2, mae, rmse, n) of the mean prediction of the first trees.
 
     ``readings`` lists for each growth the (depth, fewest rows to split) at which its trees are read; ``trees_upto`` the
     number of trees up to each stage.
     """
+    if n_cells is not None and by_cells(n_rows, n_cells, TREES_AT_A_TIME if growths[0].bootstrap else 1):
+
+        def told_by(job, draws):
+            sums, codes = {}, None
+            for cells, trees in draws:
+                codes = cells
+                for _, g, tree in trees:
+                    if g not in sums:
+                        sums[g] = np.zeros((len(cells), len(readings[g])))
+                    add_readings(sums[g], tree, cells, readings[g], [])
+            for g, total in sums.items():
+                yield told_of(job.task, g, job.stage, codes, total)
+
+        told = added_stages(grown_by_cells(rows, jobs, growths, values, told_by, PREDICTED), trees_upto, len(values))
+        found = scores_by_cell(rows, told, {j.task: (j.fold, j.upto, j.score_training) for j in jobs}, len(values))
+        n_stages = len(trees_upto)
+        return found.select("task", "held", "growth", F.floor(F.col("place") / n_stages).cast("int").alias("reading"), "n", (F.col("place") % n_stages).alias("stage"),
+                            "r2", "mae", "rmse")
 
     def make_use(offset: int) -> Callable:
         def use(job, node, ids, y, held, cells, which, trees, above):
@@ -371,13 +449,7 @@ def fold_scores(rows: DataFrame, n_rows: int, jobs: Sequence[Job], growths: Sequ
                 mine = readings[g + offset]
                 if g not in sums:
                     sums[g] = np.zeros((len(seen), len(mine)))
-                for m in {m for _, m in mine}:
-                    depths = sorted({d for d, k in mine if k == m})
-                    for d in [d for d in depths if d < len(above)]:  # read above this subtree
-                        sums[g][:, mine.index((d, m))] += above[d]
-                    below = tuple(d - len(above) for d in depths if d >= len(above))
-                    for d, nodes in zip(below, tree.descend(cells[seen], below, m) if below else []):
-                        sums[g][:, mine.index((d + len(above), m))] += tree.value[nodes]
+                add_readings(sums[g], tree, cells[seen], mine, above)
             for g, total in sums.items():
                 flat = total[at]
                 count = len(scored)
@@ -415,16 +487,28 @@ def sum_of_trees(sent: Broadcast, cuts: Sequence[np.ndarray]) -> Callable:
     """A function of feature arrays: the sum of the values that one chunk of trees gives."""
 
     @F.pandas_udf("double")
-    def add(x: pd.Series) -> pd.Series:
-        if x.empty:
-            return pd.Series([], dtype="float64")
+    def add(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         above, trees = sent.value
-        cells, which = cells_of(codes_of(np.stack(x.to_numpy()), cuts))
-        total, reached = np.zeros(len(cells)), {t: tree.descend(cells) for t, tree in above.items()}
-        for t, part, tree in trees:
-            here = np.flatnonzero(reached[t] == part) if t in reached else slice(None)
-            total[here] += tree.value[tree.descend(cells[here])]
-        return pd.Series(total[which])
+        known, told = np.zeros(0), np.zeros(0)  # cells met in this task, in order, and their sums
+        for x in batches:
+            if x.empty:
+                yield pd.Series([], dtype="float64")
+                continue
+            cells, which = cells_of(codes_of(np.stack(x.to_numpy()), cuts))
+            keys = keys_of(cells)
+            if not len(known) or len(known) > KNOWN_CELLS:
+                known, told = keys[:0], told[:0]
+            at = np.searchsorted(known, keys)
+            new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != keys) if len(known) else np.arange(len(keys))
+            if len(new):
+                fresh, total = cells[new], np.zeros(len(new))
+                reached = {t: tree.descend(fresh) for t, tree in above.items()}
+                for t, part, tree in trees:
+                    here = np.flatnonzero(reached[t] == part) if t in reached else slice(None)
+                    total[here] += tree.value[tree.descend(fresh[here])]
+                known, told = np.insert(known, at[new], keys[new]), np.insert(told, at[new], total)
+                at = np.searchsorted(known, keys)
+            yield pd.Series(told[at][which])
 
     return add
 
@@ -573,8 +657,8 @@ class _Forest(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPara
         rows = training_rows(dataset, self.getFeaturesCol(), self.getLabelCol())
         cuts = feature_cuts(rows)
         table = coded(rows, cuts)
-        n_trees = self.getOrDefault(self.numTrees)
-        path = written_trees(table, table.count(), n_trees, self.growth(), cuts)
+        n_trees, (n_rows, n_cells) = self.getOrDefault(self.numTrees), counted(table)
+        path = written_trees(table, n_rows, n_trees, self.growth(), cuts, n_cells)
         return self._copyValues(self.model_class(path, cuts, 0.0, 1.0 / n_trees))
 
     def staged_scores(self, dataset: DataFrame, fold: str, n_folds: int, points: Sequence[dict]) -> DataFrame:
@@ -597,7 +681,8 @@ class _Forest(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPara
             for stage, (begin, end) in enumerate(zip([0, *counts], counts)):
                 jobs += [Job(0, f, (b, min(b + TREES_AT_A_TIME, end)), f, stage) for b in range(begin, end, TREES_AT_A_TIME)]
         jobs = [Job(k, j.fold, j.trees, j.task, j.stage) for k, j in enumerate(jobs)]
-        found = fold_scores(table, table.count(), jobs, growths, cuts, readings, counts)
+        n_rows, n_cells = counted(table)
+        found = fold_scores(table, n_rows, jobs, growths, cuts, readings, counts, n_cells)
         where = [(k, shared.index((p["minInstancesPerNode"], p["featuresPerSplit"])), readings[shared.index((p["minInstancesPerNode"], p["featuresPerSplit"]))].index(
             (p["maxDepth"], max(2, p["minSplit"]))), counts.index(p["numTrees"])) for k, p in enumerate(full)]
         places = dataset.sparkSession.createDataFrame(where, "point int, growth int, reading int, stage int")
@@ -611,7 +696,8 @@ class _Forest(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultPara
         n_trees, growth = self.getOrDefault(self.numTrees), self.growth()
         jobs = [Job(0, f, (b, min(b + TREES_AT_A_TIME, n_trees)), k, 0, upto, True) for k, (f, upto) in enumerate(tasks) for b in range(0, n_trees, TREES_AT_A_TIME)]
         jobs = [Job(k, j.fold, j.trees, j.task, j.stage, j.upto, True) for k, j in enumerate(jobs)]
-        return fold_scores(table, table.count(), jobs, [growth], cuts, [[(growth.max_depth, growth.min_split)]], [n_trees])
+        n_rows, n_cells = counted(table)
+        return fold_scores(table, n_rows, jobs, [growth], cuts, [[(growth.max_depth, growth.min_split)]], [n_trees], n_cells)
 
 
 class RandomForestModel(ForestModel):

@@ -200,10 +200,22 @@ def grow(codes: np.ndarray, sums: np.ndarray, growth: Growth, values: list[np.nd
     return tree
 
 
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """A key for each row of codes, in the order of the rows: the first code counts most."""
+    if codes.shape[1] > 8:
+        return np.ascontiguousarray(codes).view(f"S{codes.shape[1]}").ravel()
+    wide = np.zeros((len(codes), 8), np.uint8)
+    wide[:, 8 - codes.shape[1]:] = codes
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
 def cells_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows of ``codes`` and which of them each row is."""
     if not len(codes):
         return codes, np.zeros(0, np.int64)
+    if codes.shape[1] <= 8:
+        _, first, which = np.unique(keys_of(codes), return_index=True, return_inverse=True)
+        return codes[first], which
     order = np.lexsort(codes.T[::-1])
     ordered = codes[order]
     new = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)]

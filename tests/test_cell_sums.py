@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 
-from airgrid.learning import cells, forest, growing
+from airgrid.learning import boosting, cells, forest, growing
+from airgrid.learning.boosting import AdaBoost, BoostedTrees
 from airgrid.learning.forest import ExtraTrees, RandomForest
 
 
@@ -89,3 +90,41 @@ def test_keys_keep_the_order_of_rows():
         found, which = growing.cells_of(codes)
         assert [tuple(r) for r in found] == sorted({tuple(r) for r in codes}) and (found[which] == codes).all()
         assert (np.searchsorted(growing.keys_of(found), growing.keys_of(codes)) == which).all()
+
+
+@pytest.fixture
+def boosted_on_rows(monkeypatch, on_rows):
+    monkeypatch.setattr(boosting, "packed", no_copies)
+
+    def back():
+        on_rows()
+        monkeypatch.setattr(boosting, "packed", forest.packed)
+        monkeypatch.setattr(boosting, "draws_by_cell", lambda *_: 0)
+        monkeypatch.setattr(boosting, "ada_takes_cells", lambda *_: False)
+        monkeypatch.setattr(forest, "LOCAL_ROWS", 200_000)
+
+    return back
+
+
+BOOSTED = [BoostedTrees(labelCol="y", maxIter=5, maxDepth=3), BoostedTrees(labelCol="y", maxIter=5, maxDepth=3, rowShare=0.8, columnShare=0.7, l2=1.0), AdaBoost(labelCol="y", numTrees=5)]
+GRIDS = [{"maxIter": [2, 5], "stepSize": [0.1, 1.0], "minInstancesPerNode": [1, 60]}, {"maxIter": [2, 5], "stepSize": [0.1, 1.0]}, {"numTrees": [2, 5], "learningRate": [0.5, 1.0]}]
+
+
+@pytest.mark.parametrize("estimator, grid", list(zip(BOOSTED, GRIDS)), ids=["gradient", "drawn", "ada"])
+def test_rounds_from_cells_are_those_of_the_rows(spark, monkeypatch, boosted_on_rows, estimator, grid):
+    df = table_of(spark, 2400)
+    monkeypatch.setattr(cells, "ROWS", 300)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 1500)  # before: a Spark job for every level of every round
+    monkeypatch.setattr(boosting, "ROUNDS_PER_WRITE", 2)
+    points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+
+    def told():
+        staged = {(r["point"], r["fold"]): (r["r2"], r["mae"], r["rmse"], r["n"]) for r in estimator.staged_scores(df, "fold", 4, points).collect()}
+        return predictions(estimator.fit(df), df), staged
+
+    fit, staged = told()
+    boosted_on_rows()
+    fit_wanted, staged_wanted = told()
+    assert fit == pytest.approx(fit_wanted, abs=1e-9)
+    assert len(staged) == 4 * len(points) and staged.keys() == staged_wanted.keys()
+    assert all(staged[k] == pytest.approx(staged_wanted[k], abs=1e-9) for k in staged)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.learning.base import Supervised, feature_means, summed
-from airgrid.learning.forest import matrix, scores_of_stages, training_rows
-from airgrid.session import materialise, scratch_path
+from airgrid.learning.forest import matrix, training_rows
+from airgrid.learning.growing import mixed
+from airgrid.session import materialise
 
 BATCHES = 256  # parts that rows are dealt into; a step takes one or several
-LOCAL_BYTES = 128 << 20  # of inputs and labels that one task trains on
+LOCAL_BYTES = 16 << 20  # of inputs and labels that one task trains on
+AT_ONCE = 1024  # rows of a gradient that are worked out together
+PACKED_ROWS = 1 << 18  # that are cut by batch at a time
+PART_ROWS = 8192  # of a batch, times networks, that are worth a task
 LAST = (1 << 63) - 1
 
 
@@ -39,25 +43,29 @@ def forward(z: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[n
     """Outputs of every layer, rectified but for the last."""
     outputs = [z]
     for k, (w, b) in enumerate(parts):
-        z = z @ w + b
+        z = z @ w
+        z += b
         if k < len(parts) - 1:
-            z = np.maximum(z, 0.0)
+            np.maximum(z, 0.0, out=z)
         outputs.append(z)
     return outputs
 
 
 def gradient_sum(z: np.ndarray, y: np.ndarray, flat: np.ndarray, layers: list[int]) -> np.ndarray:
-    """Gradient of half the squared error, summed over the rows."""
-    parts = unpack(flat, layers)
-    outputs = forward(z, parts)
-    delta = (outputs[-1][:, 0] - y)[:, None]
-    grads: list[np.ndarray] = []
-    for k in range(len(parts) - 1, -1, -1):
-        w, _ = parts[k]
-        grads.append(np.concatenate([(outputs[k].T @ delta).ravel(), delta.sum(axis=0)]))
-        if k:
-            delta = (delta @ w.T) * (outputs[k] > 0)
-    return np.concatenate(grads[::-1])
+    """Gradient of half the squared error, summed over the rows; ``AT_ONCE`` rows at a time stay in the processor's cache."""
+    parts, total = unpack(flat, layers), np.zeros(len(flat))
+    grads = unpack(total, layers)
+    for a in range(0, len(z), AT_ONCE):
+        outputs = forward(z[a:a + AT_ONCE], parts)
+        delta = (outputs[-1][:, 0] - y[a:a + AT_ONCE])[:, None]
+        for k in range(len(parts) - 1, -1, -1):
+            (w, _), (pull, offset) = parts[k], grads[k]
+            pull += outputs[k].T @ delta
+            offset += delta.sum(axis=0)
+            if k:
+                delta = delta @ w.T
+                delta *= outputs[k] > 0
+    return total
 
 
 def decay(flat: np.ndarray, layers: list[int]) -> np.ndarray:
@@ -180,30 +188,63 @@ def train_small(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray) -> li
     return [found.get(t.number, Adam(t).flat) for t in tasks]
 
 
-def train_large(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray) -> list[np.ndarray]:
-    """A Spark job a step for all tasks together, over the step's rows alone; gradients are added up, never weights averaged."""
-    path = scratch_path(rows.sparkSession, "batches")
-    rows.write.partitionBy("batch").parquet(path)
-    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+def dealt(rows: DataFrame, n_rows: int, n_tasks: int) -> tuple[RDD, int]:
+    """Rows packed by batch, and how many partitions a batch has: those of batch b begin at (b + 1) times that, so the part put aside comes first."""
+    context = rows.sparkSession.sparkContext
+    parts = int(np.clip(np.ceil(n_rows / (BATCHES + 1) * n_tasks / PART_ROWS), 1, max(1, context.defaultParallelism)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, y, fold, at = (batch.column(c).to_numpy() for c in ("id", "y", "fold", "batch"))
+            x, place = matrix(batch.column("x")), (at.astype(np.int64) + 1) * parts + (mixed(ids, 7) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0])
+            cut = [[c[order[a:b]].tobytes() for a, b in zip(starts, [*starts[1:], len(order)])] for c in (x, y, fold.astype(np.int32), ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(place[order[starts]]), *[pa.array(c, pa.binary()) for c in cut]], ["place", "x", "y", "fold", "id"])
+
+    def joined(blocks: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
+        kept = [b for _, b in blocks]
+        if kept:
+            yield tuple(np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*kept), (np.float64, np.float64, np.int32, np.int64)))
+
+    wide = rows.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(int(wide), PACKED_ROWS)))  # else a block is some tens of rows
+    try:
+        packed = rows.select("id", "fold", "y", "batch", "x").mapInArrow(pack, "place bigint, x binary, y binary, fold binary, id binary").rdd
+    finally:
+        rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", wide)
+    keyed = packed.map(lambda r: (r["place"], (bytes(r["x"]), bytes(r["y"]), bytes(r["fold"]), bytes(r["id"]))))
+    return keyed.partitionBy((BATCHES + 1) * parts, int).mapPartitions(joined, True).persist(StorageLevel.MEMORY_AND_DISK), parts
+
+
+def train_large(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray, n_rows: int) -> list[np.ndarray]:
+    """A Spark job a step for all tasks together, over the step's rows alone; gradients are added up, never weights averaged.
+
+    Rows are dealt once to the batches' own partitions and kept there, so that a job is a few tasks without a plan or a shuffle.
+    """
+    table, parts = dealt(rows, n_rows, len(tasks))
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast(stats)
     states = {t.number: Adam(t) for t in tasks}
     running = list(tasks)
 
-    def told(part: DataFrame, value: Callable, sizes: Sequence[int], now: Sequence[Task]) -> list[np.ndarray]:
+    def told(begin: int, count: int, value: Callable, now: Sequence[Task]) -> list[np.ndarray]:
+        """For each task the sum over ``count`` batches from ``begin`` on, with the number of rows after it."""
         flats = {t.number: states[t.number].flat for t in now}
 
-        def partial(batches: Iterator[pd.DataFrame]) -> np.ndarray:
-            total = [np.zeros(s + 1) for s in sizes]
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x, y, fold, ids = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["fold"].to_numpy(), pdf["id"].to_numpy()
-                for k, task in enumerate(now):
+        def add(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+            for x, y, fold, ids in blocks:
+                x, out = x.reshape(len(y), -1), []
+                for task in now:
                     mine = (fold != task.fold) & (ids <= task.upto)
-                    z, t = scaled(x[mine], y[mine], stats[task.number])
-                    total[k] += np.append(value(z, t, flats[task.number], list(task.layers)), mine.sum())
-            return np.concatenate(total)
+                    z, t = scaled(x, y, sent.value[task.number]) if mine.all() else scaled(x[mine], y[mine], sent.value[task.number])
+                    out.append(np.append(value(z, t, flats[task.number], list(task.layers)), len(t)))
+                yield out
 
-        return np.split(summed(part, partial), np.cumsum([s + 1 for s in sizes])[:-1])
+        found = context.runJob(table, add, range((begin + 1) * parts, (begin + 1 + count) * parts))
+        return [sum(f[k] for f in found) if found else np.zeros(2) for k in range(len(now))]
 
     def lost(z: np.ndarray, t: np.ndarray, flat: np.ndarray, layers: list[int]) -> np.ndarray:
         error = forward(z, unpack(flat, layers))[-1][:, 0] - t
@@ -213,14 +254,14 @@ def train_large(rows: DataFrame, tasks: Sequence[Task], stats: np.ndarray) -> li
         group = BATCHES // max(t.per_epoch for t in running)
         waiting = {t.number: 0.0 for t in running}
         for begin in range(0, BATCHES, group):
-            part = table.filter(F.col("batch").between(begin, begin + group - 1))
-            for task, sums in zip(running, told(part, gradient_sum, [len(states[t.number].flat) for t in running], running)):
+            for task, sums in zip(running, told(begin, group, gradient_sum, running)):
                 waiting[task.number] = waiting[task.number] + sums
                 if (begin + group) % (BATCHES // task.per_epoch) == 0:
                     states[task.number].take(waiting[task.number][:-1], waiting[task.number][-1])
                     waiting[task.number] = 0.0
-        losses = told(table.filter(F.col("batch") == -1), lost, [1] * len(running), running)
+        losses = told(-1, 1, lost, running)
         running = [t for t, (loss, n) in zip(running, losses) if not states[t.number].over(loss / max(n, 1))]
+    table.unpersist()
     return [states[t.number].best_flat for t in tasks]
 
 
@@ -282,8 +323,9 @@ class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
             tasks.append(Task(k, held, upto, (len(center), *at["hidden"], 1), at["alpha"], at["stepSize"], at["patience"], at["maxIter"], at["batchSize"], at["seed"]))
         stats, sizes = statistics(rows, tasks, center)
         tasks = [replace(t, per_epoch=1 << int(np.clip(np.ceil(np.log2(max(n / t.per_epoch, 1))), 0, np.log2(BATCHES)))) for t, n in zip(tasks, sizes)]
-        small = rows.count() * (len(center) + 1) * 8 <= LOCAL_BYTES
-        flats = (train_small if small else train_large)(rows, tasks, stats)
+        n_rows = rows.count()
+        small = n_rows * (len(center) + 1) * 8 <= LOCAL_BYTES
+        flats = train_small(rows, tasks, stats) if small else train_large(rows, tasks, stats, n_rows)
         return tasks, flats, stats, rows
 
     def _fit(self, dataset: DataFrame) -> PerceptronModel:
@@ -312,11 +354,17 @@ class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
                     if len(mine):
                         z, _ = scaled(x[mine], y[mine], scales[task.number])
                         p = forward(z, unpack(flat, list(task.layers)))[-1][:, 0] * scales[task.number][1, -1] + scales[task.number][0, -1]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), task.number, np.int32)), pa.array(held[mine]), pa.array(y[mine]), pa.array(p)],
-                                                         ["task", "held", "y", "p"])
-
-        told = rows.select("id", "y", "fold", "x").mapInArrow(run, "task int, held boolean, y double, p double").withColumn("copies", F.lit(1))
-        scored = materialise(scores_of_stages(told, ["task", "held"], ["p"]))
+                        for side in (True, False):
+                            t, error = y[mine][held[mine] == side], (y[mine] - p)[held[mine] == side]
+                            if len(t):
+                                sums = len(t), float(t.sum()), float(t @ t), float(np.abs(error).sum()), float(error @ error)
+                                yield pa.RecordBatch.from_pylist([dict(zip(("task", "held", "n", "y", "yy", "ae", "ee"), (task.number, side, *sums)))])
+
+        told = rows.select("id", "y", "fold", "x").mapInArrow(run, "task bigint, held boolean, n bigint, y double, yy double, ae double, ee double")
+        added = told.groupBy(F.col("task").cast("int").alias("task"), "held").agg(*[F.sum(c).alias(c) for c in ("n", "y", "yy", "ae", "ee")])
+        spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+        scored = materialise(added.select("task", "held", F.lit(0).alias("stage"), (1 - F.col("ee") / F.when(spread > 0, spread)).alias("r2"),
+                                          (F.col("ae") / F.col("n")).alias("mae"), F.sqrt(F.col("ee") / F.col("n")).alias("rmse"), "n"))
         rows.unpersist()
         return scored
 

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 
-from airgrid.learning import boosting, cells, forest, growing
+from airgrid.learning import boosting, cells, forest, growing, network
 from airgrid.learning.boosting import AdaBoost, BoostedTrees
 from airgrid.learning.forest import ExtraTrees, RandomForest
+from airgrid.learning.network import Perceptron
 
 
 def table_of(spark, n=3000, seed=2, partitions=5):
@@ -128,3 +129,25 @@ def test_rounds_from_cells_are_those_of_the_rows(spark, monkeypatch, boosted_on_
     assert fit == pytest.approx(fit_wanted, abs=1e-9)
     assert len(staged) == 4 * len(points) and staged.keys() == staged_wanted.keys()
     assert all(staged[k] == pytest.approx(staged_wanted[k], abs=1e-9) for k in staged)
+
+
+def test_a_step_of_the_perceptron_is_one_stage(spark, monkeypatch):
+    df, context = table_of(spark, 2000), spark.sparkContext
+    monkeypatch.setattr(network, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(network, "BATCHES", 8)
+    monkeypatch.setattr(network, "PART_ROWS", 60)  # several tasks a step
+    estimator = Perceptron(labelCol="y", hidden=[6], maxIter=4, batchSize=20)
+    context.setJobGroup("steps", "")
+    try:
+        large = estimator.fit(df)
+        tracker = context.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("steps")]
+    finally:
+        context._jsc.sc().clearJobGroup()
+    assert len(jobs) >= 4 * 9
+    # a shuffle in each would make it two stages and more; the first steps also deal the rows
+    infos = [tracker.getStageInfo(k) for k in {k for j in jobs for k in j.stageIds}]
+    assert sum(bool(i and i.numCompletedTasks) for i in infos) <= len(jobs) + 8
+    monkeypatch.setattr(network, "LOCAL_BYTES", 1 << 40)
+    small = estimator.fit(df)
+    assert large.getOrDefault(large.weights) == pytest.approx(small.getOrDefault(small.weights), abs=1e-8)

@@ -58,8 +58,11 @@ def between_satellites_weights(cells: DataFrame, view_a: Geostationary, view_b:
 
 
 def apply_weights(field: DataFrame, weights: DataFrame, values: Sequence[str], by: Sequence[str] = ("time",)) -> DataFrame:
-    """Weighted sums on the target cells; a value with a missing corner is missing."""
-    joined = field.select(*by, "i", "j", *values).join(if_small(weights), ["i", "j"])
+    """Weighted sums on the target cells; a value with a missing corner is missing.
+
+    The field is never sent whole to every executor: the planner judges it by its files, which may hold far fewer rows than it has.
+    """
+    joined = field.select(*by, "i", "j", *values).hint("merge").join(if_small(weights), ["i", "j"])
     return joined.groupBy(*by, "y", "x").agg(*[
         F.when(F.count(v) == F.max("n_corners"), F.sum(F.col(v) * F.col("w"))).alias(v) for v in values])
 

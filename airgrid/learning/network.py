@@ -23,7 +23,7 @@ from airgrid.learning.growing import mixed
 from airgrid.session import materialise
 
 BATCHES = 256  # parts that rows are dealt into; a step takes one or several
-LOCAL_BYTES = 16 << 20  # of inputs and labels that one task trains on
+LOCAL_BYTES = 128 << 20  # of inputs and labels that one task trains on; of those of all networks side by side, twice as many
 AT_ONCE = 1024  # rows of a gradient that are worked out together
 PACKED_ROWS = 1 << 18  # that are cut by batch at a time
 PART_ROWS = 8192  # of a batch, times networks, that are worth a task
@@ -324,7 +324,8 @@ class Perceptron(Estimator, Supervised, HasSeed, DefaultParamsReadable, DefaultP
         stats, sizes = statistics(rows, tasks, center)
         tasks = [replace(t, per_epoch=1 << int(np.clip(np.ceil(np.log2(max(n / t.per_epoch, 1))), 0, np.log2(BATCHES)))) for t, n in zip(tasks, sizes)]
         n_rows = rows.count()
-        small = n_rows * (len(center) + 1) * 8 <= LOCAL_BYTES
+        size = n_rows * (len(center) + 1) * 8
+        small = size <= LOCAL_BYTES and size * len(tasks) <= 2 * LOCAL_BYTES
         flats = train_small(rows, tasks, stats) if small else train_large(rows, tasks, stats, n_rows)
         return tasks, flats, stats, rows
 

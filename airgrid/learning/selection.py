@@ -21,7 +21,7 @@ from airgrid.learning.base import feature_means, moments
 from airgrid.learning.linear import BayesianRidge, centred, elastic_net_weights, evidence_ridge
 from airgrid.operators import summaries
 from airgrid.operators.ranking import with_running_totals
-from airgrid.session import materialise
+from airgrid.session import materialise, scratch_path
 
 if TYPE_CHECKING:
     from airgrid.learning.collection import ModelCollection
@@ -91,7 +91,9 @@ def learning_curve(pipeline: Pipeline, df: DataFrame, inputs: Sequence[str], lab
                            F.xxhash64(*keys).alias("_hash"))
     # position of a row among the training rows of each fold, all folds in one pass
     places = {f"_rank{f}": F.when(F.col("fold") != f, 1).otherwise(0) for f in range(n_folds)} | {"_place": F.lit(1)}
-    ranked = materialise(with_running_totals(ordered, ["_hash", *keys], places))
+    path = scratch_path(df.sparkSession, "ranked")  # as Parquet, a third of a checkpoint
+    with_running_totals(ordered, ["_hash", *keys], places).write.parquet(path)
+    ranked = df.sparkSession.read.parquet(path)
     sizes = ranked.agg(*[F.max(c).alias(c) for c in places]).first()
     prediction = pipeline.getStages()[-1].getPredictionCol()
     results = []
